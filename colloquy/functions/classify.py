@@ -23,11 +23,12 @@ def six_places(c: str | Column) -> Column:
     return col_(c).cast("decimal(18,6)").cast("double")
 
 
-def call_type(title: str | Column, invitees: str | Column, d: Dictionaries = DEFAULT) -> Column:
+def call_type(title: str | Column, invitee_count: str | Column, d: Dictionaries = DEFAULT) -> Column:
     """Support if the title holds a support keyword; Internal if it holds an
-    internal keyword or there is at most one invitee; else External."""
+    internal keyword or there is at most one invitee (NULL counts as none);
+    else External. Pass ``F.size(invitees)`` for an invitee array."""
     t = F.lower(col_(title))
-    few_invitees = F.coalesce(F.size(col_(invitees)), F.lit(0)) <= 1
+    few_invitees = F.coalesce(col_(invitee_count), F.lit(0)) <= 1
     return (F.when(contains_any(t, d.support_keywords), F.lit("Support"))
             .when(contains_any(t, d.internal_keywords), F.lit("Internal"))
             .when(few_invitees, F.lit("Internal"))
