@@ -1,3 +1,59 @@
-"""Queries registered in this module."""
+"""Queries over competitor/product mentions (binding B2 text -> B4), joined
+to B3 meetings."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import analytics as A
+from ..sources import bindings as B
+from .registry import register
+
+
+@register("enr15_16_turn_mentions", B.with_bindings("SELECT * FROM b4_mentions", "b4_mentions"))
+def enr15_16_turn_mentions(spark, root):
+    """ENR15 / ENR16 (JOI12): whole-word competitor and product mentions per
+    speaker and meeting."""
+    return B.b4_mentions(spark, root)
+
+
+@register("enr17_entities", B.with_bindings("SELECT * FROM b4_entities", "b4_entities"))
+def enr17_entities(spark, root):
+    """ENR17 (SET4): distinct entities per meeting by type."""
+    return B.b4_entities(spark, root)
+
+
+@register("agg9_competitor_mentions", B.with_bindings("""
+SELECT entity_name, count(*) AS count FROM b4_entities WHERE entity_type = 'Competitor'
+GROUP BY entity_name ORDER BY count DESC, entity_name""", "b4_entities"))
+def agg9_competitor_mentions(spark, root):
+    """AGG9 (FIL17): meetings naming each competitor."""
+    return A.mention_counts(B.b4_entities(spark, root), "Competitor")
+
+
+@register("agg10_product_mentions", B.with_bindings("""
+SELECT entity_name, count(*) AS count FROM b4_entities WHERE entity_type = 'Product'
+GROUP BY entity_name ORDER BY count DESC, entity_name""", "b4_entities"))
+def agg10_product_mentions(spark, root):
+    """AGG10: meetings naming each product."""
+    return A.mention_counts(B.b4_entities(spark, root), "Product")
+
+
+@register("agg11_competitor_meetings", B.with_bindings("""
+SELECT c.competitor, c.meeting_id, m.title, m.overall_sentiment AS sentiment, m.sentiment_score, m.call_type,
+       m.start_time, n.mentions
+FROM (SELECT entity_name AS competitor, meeting_id FROM b4_entities WHERE entity_type = 'Competitor') c
+JOIN b3_meetings m ON c.meeting_id = m.meeting_id
+JOIN (SELECT entity_name AS competitor, count(*) AS mentions FROM b4_entities WHERE entity_type = 'Competitor'
+      GROUP BY entity_name) n ON n.competitor = c.competitor
+ORDER BY n.mentions DESC, c.competitor, m.start_time DESC, c.meeting_id""", "b4_entities", "b3_meetings"))
+def agg11_competitor_meetings(spark, root):
+    """AGG11 (JOI2): every meeting naming each competitor, newest first."""
+    return A.competitor_meetings(B.b4_entities(spark, root), B.b3_meetings(spark, root))
+
+
+@register("fil17_product_entities", B.with_bindings(
+    "SELECT meeting_id, entity_name FROM b4_entities WHERE entity_type = 'Product'", "b4_entities"))
+def fil17_product_entities(spark, root):
+    """FIL17: entity rows of one type."""
+    return B.b4_entities(spark, root).filter(F.col("entity_type") == "Product").select("meeting_id", "entity_name")
