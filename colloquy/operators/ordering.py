@@ -7,6 +7,13 @@ key, so a hot group is cut into many range partitions ("chunks"). Chunk sizes
 are pre-aggregated (at most one row per group and partition), turned into
 offsets with a window over that small table, and joined back on
 ``(g, chunk)`` -- a key no larger than one partition.
+
+Both the chunk counts and the join read the same sorted rows. Two separate
+sorts could cut the data at different boundaries (range sampling seeds and
+adaptive partition coalescing differ per exchange), so the sorted, tagged
+rows are materialised once with a reliable checkpoint in the cluster's
+checkpoint folder; that also cuts the lineage and survives executor loss.
+Select only the needed columns before calling.
 """
 
 from __future__ import annotations
@@ -16,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _POS_BITS = 33  # monotonically_increasing_id = partition << 33 | position
 
 
@@ -39,10 +48,8 @@ def group_ordinals(df: DataFrame, group: str | Sequence[str], order: Sequence[st
     if descending:
         okeys = [k.desc() for k in okeys]
     sorted_df = df.orderBy(*[F.col(g) for g in gcols], *okeys)
-    rid = F.monotonically_increasing_id()
-    tagged = (sorted_df
-              .withColumn("_rid", rid)
-              .withColumn("_chunk", F.shiftright(F.col("_rid"), _POS_BITS))
+    tagged = cut_lineage(sorted_df.withColumn("_rid", F.monotonically_increasing_id()))
+    tagged = (tagged.withColumn("_chunk", F.shiftright(F.col("_rid"), _POS_BITS))
               .withColumn("_pos", F.col("_rid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))))
     chunks = tagged.groupBy(*gcols, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"),
                                                   F.min("_pos").alias("_start"))

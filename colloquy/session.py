@@ -20,6 +20,13 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
+# Static settings applied when this module builds the session.
+BUILD_CONF = {
+    "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    # remove checkpoint files once their DataFrames are garbage collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
 
 
 def build_session(master: str | None = None, app: str = "colloquy",
@@ -33,7 +40,8 @@ def build_session(master: str | None = None, app: str = "colloquy",
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    for key, value in BUILD_CONF.items():
+        builder = builder.config(key, value)
     for key, value in REQUIRED_CONF.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
