@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
+from ..operators import enrich as E
 from ..sources import bindings as B
+from . import sqltext as Q
 from .registry import register
 
 
@@ -57,3 +59,41 @@ def agg11_competitor_meetings(spark, root):
 def fil17_product_entities(spark, root):
     """FIL17: entity rows of one type."""
     return B.b4_entities(spark, root).filter(F.col("entity_type") == "Product").select("meeting_id", "entity_name")
+
+
+ROLE_SQL = """
+SELECT t.meeting_id, t.turn_index, t.speaker_name,
+       CASE WHEN (x.email IS NOT NULL
+                  AND (contains(lower(coalesce(t.speaker_name, '')), replace(lower(split_part(x.email, '@', 1)), '.', ' '))
+                       OR contains(lower(split_part(x.email, '@', 1)), lower(coalesce(t.speaker_name, ''))))
+                  AND contains(x.email, CASE WHEN contains(x.email, '@') THEN split_part(x.email, '@', 2) ELSE '' END))
+                 OR contains(lower(coalesce(t.speaker_name, '')), 'system')
+            THEN CASE x.call_type WHEN 'Support' THEN 'Support Agent' WHEN 'Internal' THEN 'Engineer' ELSE 'Account Manager' END
+            WHEN x.call_type = 'Internal' THEN 'Engineer' ELSE 'Customer' END AS speaker_role
+FROM b2_text t LEFT JOIN (
+  SELECT i.meeting_id, a.email, m.call_type FROM (SELECT DISTINCT meeting_id FROM b2_text) i
+  LEFT JOIN b9_addresses a ON a.meeting_id = i.meeting_id LEFT JOIN b3_meetings m ON m.meeting_id = i.meeting_id
+) x ON x.meeting_id = t.meeting_id"""
+
+
+@register("enr14_speaker_roles", B.with_bindings(ROLE_SQL, "b2_text", "b3_meetings", "b9_addresses"))
+def enr14_speaker_roles(spark, root):
+    """ENR14: speaker role per turn from addresses, host domain, staff hints
+    and call type (evaluated once per meeting and speaker)."""
+    turns = B.b2_text(spark, root).select("meeting_id", "turn_index", "speaker_name")
+    ids = turns.select("meeting_id").distinct()
+    mail = B.b9_addresses(spark, root).select("meeting_id", F.array("email").alias("all_emails"), F.col("email").alias("host"))
+    meetings = (ids.join(mail, "meeting_id", "left")
+                .join(B.b3_meetings(spark, root).select("meeting_id", "call_type"), "meeting_id", "left"))
+    return E.speaker_roles(turns, meetings, "speaker_name", B.b9_dictionaries()).select(
+        "meeting_id", "turn_index", "speaker_name", "speaker_role")
+
+
+@register("joi12_dictionary_first_match", B.with_bindings(f"""
+SELECT meeting_id, {Q.first_match('title', B.B3_ACCOUNTS)} AS account FROM b3_meetings""", "b3_meetings"))
+def joi12_dictionary_first_match(spark, root):
+    """JOI12 (ENR4): first dictionary term in the title through a
+    size-checked broadcast nested-loop join and ``min_by`` on the rank."""
+    dic = spark.createDataFrame([(t, i) for i, t in enumerate(B.B3_ACCOUNTS)], "term string, rank int")
+    m = B.b3_meetings(spark, root).select("meeting_id", "title")
+    return E.dictionary_first_match(m, "title", dic, ["meeting_id"], out="account").select("meeting_id", "account")

@@ -279,3 +279,31 @@ def enr22_projection(spark, root):
     """ENR22 + ENR19: named projection with the duration in hours."""
     return A.hours(_m(spark, root)).select("meeting_id", "title", "start_time", "end_time", "duration", "duration_hours",
                                            "overall_sentiment", "sentiment_score", "call_type")
+
+
+# --------------------------------------------------- addresses (binding B9)
+DOMAIN_ACCOUNT_SQL = f"""
+SELECT a.meeting_id, CASE WHEN d.lbl IS NULL THEN NULL ELSE coalesce({_title_case_sql('d.lbl')}, '') END AS account
+FROM b9_addresses a LEFT JOIN (
+  SELECT meeting_id, split_part(split_part(email, '@', 2), '.', 1) AS lbl FROM b9_addresses
+  WHERE contains(email, '@')
+    AND split_part(split_part(email, '@', 2), '.', 1) NOT IN ({', '.join(Q.lit(x) for x in B.B9_IGNORED_DOMAINS)})) d
+ON d.meeting_id = a.meeting_id"""
+
+
+@register("enr5_account_by_domain", B.with_bindings(DOMAIN_ACCOUNT_SQL, "b9_addresses"))
+def enr5_account_by_domain(spark, root):
+    """ENR5: account from the first usable mail domain (title-cased label)."""
+    d = B.b9_dictionaries()
+    a = B.b9_addresses(spark, root)
+    return a.select("meeting_id", C.account_from_emails(F.array("email"), d).alias("account"))
+
+
+@register("enr20_host_display_name", B.with_bindings("""
+SELECT meeting_id, email, array_to_string(list_transform(string_split(split_part(email, '@', 1), '.'),
+                                                         lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS host_name
+FROM b9_addresses""", "b9_addresses"))
+def enr20_host_display_name(spark, root):
+    """ENR20: display name of the host address."""
+    from ..functions import text as X
+    return B.b9_addresses(spark, root).select("meeting_id", "email", X.display_name("email").alias("host_name"))
