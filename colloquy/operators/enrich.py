@@ -16,6 +16,7 @@ from .. import dictionaries as DICT
 from ..dictionaries import DEFAULT, Dictionaries
 from ..functions import classify as C
 from ..functions import text as X
+from .layout import spread
 
 # A dictionary given as a DataFrame is broadcast only up to this many rows.
 MAX_BROADCAST_DICTIONARY_ROWS = 100_000
@@ -112,7 +113,7 @@ def turn_mentions(turns: DataFrame, text_col: str = "sentence", speaker_col: str
         hits.append(F.when(cond, F.struct(F.lit(name).alias("entity_name"), F.lit(kind).alias("entity_type"))))
     keep = ["meeting_id"] + ([speaker_col] if speaker_col else [])
     found = F.filter(F.array(*hits), lambda h: h.isNotNull())
-    return (turns.select(*keep, F.explode(found).alias("_hit"))
+    return (spread(turns).select(*keep, F.explode(found).alias("_hit"))
             .select(*keep, "_hit.entity_name", "_hit.entity_type")
             .distinct())
 

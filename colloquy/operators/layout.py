@@ -1,0 +1,22 @@
+"""Partition layout helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_files: int | None = None) -> DataFrame:
+    """Spread CPU-heavy per-row work (text matching) over all cores when the
+    input comes from fewer files than there are cores.
+
+    A Parquet file with one row group is read by one task, so a large text
+    table stored as a single file would be matched on one core. When the
+    scan reads fewer files than the default parallelism, the rows are
+    redistributed round-robin first; a cluster-sized input (thousands of
+    files) is left as it is, so no shuffle is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    if files == 0 or files >= (min_files or cores):
+        return df
+    return df.repartition(cores)

@@ -58,12 +58,20 @@ def b9_dictionaries() -> Dictionaries:
 
 
 # ------------------------------------------------------------------ Spark side
-def b1_segments(spark: SparkSession, root: str) -> DataFrame:
+def b1_segments(spark: SparkSession, root: str, ordered: bool = True) -> DataFrame:
+    """B1. Turn numbering (id, turn_index) needs a per-user ordinal pass that
+    is materialised, so consumers that never read those two columns ask for
+    ``ordered=False`` and skip it."""
     ev = read_table(spark, root, "events").select("event_id", "ts", "user_id", "event_type", "props")
-    ranked = group_ordinals(ev, "user_id", ["ts", "event_id"], ordinal_col="_n")
-    turn = (F.col("_n") - 1).cast("long")
-    return ranked.select(
-        F.concat(F.col("user_id").cast("string"), F.lit("_t_"), turn.cast("string")).alias("id"),
+    if ordered:
+        ranked = group_ordinals(ev, "user_id", ["ts", "event_id"], ordinal_col="_n")
+        turn = (F.col("_n") - 1).cast("long")
+        numbering = [F.concat(F.col("user_id").cast("string"), F.lit("_t_"), turn.cast("string")).alias("id")]
+        position = [turn.alias("turn_index")]
+    else:
+        ranked, numbering, position = ev, [], []
+    out = ranked.select(
+        *numbering,
         F.col("user_id").alias("meeting_id"),
         F.col("props").alias("sentence"),
         F.concat(F.lit("user "), (F.col("user_id") % 7).cast("string")).alias("speaker_name"),
@@ -72,7 +80,8 @@ def b1_segments(spark: SparkSession, root: str) -> DataFrame:
         F.when(F.col("event_type") == "error", F.lit("negative"))
          .when(F.col("event_type") == "purchase", F.lit("positive"))
          .otherwise(F.lit("neutral")).alias("sentiment_type"),
-        turn.alias("turn_index"))
+        *position)
+    return out
 
 
 def b2_text(spark: SparkSession, root: str) -> DataFrame:
