@@ -11,10 +11,21 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "
                  "conversations")
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Lazily scan ``<root>/<name>.parquet``; column pruning and predicate
-    pushdown happen when a consumer selects and filters."""
-    return spark.read.parquet(os.path.join(root, f"{name}.parquet"))
+    pushdown happen when a consumer selects and filters. The schema is
+    inferred from the footers once per path and passed explicitly afterwards,
+    so building a plan does not re-read footers."""
+    path = os.path.join(root, f"{name}.parquet")
+    schema = _SCHEMAS.get(path)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[path] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)
 
 
 def read_tables(spark: SparkSession, root: str, names=DRIVER_TABLES) -> dict[str, DataFrame]:
