@@ -89,3 +89,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table_path(root: str, name: str) -> str:
     return os.path.join(root, f"{name}.parquet")
+
+
+def scale_conf(input_bytes: int, cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a large run: shuffle partitions sized so each holds about
+    ``target_partition_bytes`` of the input (AQE coalesces what turns out
+    smaller and splits skewed partitions), scans split at the same size.
+    Apply with ``spark.conf.set`` before building the queries."""
+    partitions = max(cores * 3, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+    }
