@@ -14,13 +14,13 @@ def fixed_round(c: str | Column, digits: int) -> Column:
     """Round half-up on the decimal value (to 6 places first), returned as a
     double. Rounding on decimals instead of binary doubles makes
     ``round(2.675, 2)`` 2.68 on every engine."""
-    return F.round(col_(c).cast("decimal(18,6)"), digits).cast("double")
+    return F.round(col_(c).cast("decimal(38,6)"), digits).cast("double")
 
 
 def six_places(c: str | Column) -> Column:
     """A double reported to 6 decimal places (for statistics whose last binary
     digits depend on summation order)."""
-    return col_(c).cast("decimal(18,6)").cast("double")
+    return col_(c).cast("decimal(38,6)").cast("double")
 
 
 def call_type(title: str | Column, invitee_count: str | Column, d: Dictionaries = DEFAULT) -> Column:

@@ -29,7 +29,7 @@ SELECT * FROM (
          CAST(NULL AS VARCHAR) AS text, call_type AS kind, overall_sentiment AS extra, sentiment_score AS time FROM b3_meetings
   UNION ALL SELECT meeting_id, 'transcript', 1, CAST(turn_index AS BIGINT), speaker_name, sentence, sentiment_type, speaker_role,
          CAST(NULL AS DOUBLE) FROM b1_segments
-  UNION ALL SELECT meeting_id, 'action_items', 2, CAST(regexp_extract(id, '_ai_(\\d+)$', 1) AS BIGINT), owner, task, status,
+  UNION ALL SELECT meeting_id, 'action_items', 2, TRY_CAST(regexp_extract(id, '_ai_(\\d+)$', 1) AS BIGINT), owner, task, status,
          deadline, CAST(NULL AS DOUBLE) FROM items
   UNION ALL SELECT meeting_id, 'topics', 3, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), topic, CAST(NULL AS VARCHAR),
          CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE) FROM b5_topics

@@ -49,12 +49,12 @@ def meeting_detail(meetings: DataFrame, segments: DataFrame | None = None, actio
         parts.append(_row(segments, "transcript", "turn_index", "speaker_name", "sentence", "sentiment_type",
                           "speaker_role", "time" if "time" in segments.columns else None))
     if action_items is not None:
-        pos = F.regexp_extract("id", r"_ai_(\d+)$", 1).cast("long")
+        pos = F.regexp_extract("id", r"_ai_(\d+)$", 1).try_cast("long")
         parts.append(_row(action_items, "action_items", pos, "owner", "task", "status", "deadline", None))
     if topics is not None:
         parts.append(_row(topics, "topics", F.lit(0), None, "topic", None, None, None))
     if key_moments is not None:
-        pos = F.regexp_extract("id", r"_km_(\d+)$", 1).cast("long")
+        pos = F.regexp_extract("id", r"_km_(\d+)$", 1).try_cast("long")
         parts.append(_row(key_moments, "key_moments", pos, "speaker", "text", "type", None, "time"))
     if entities is not None:
         parts.append(_row(entities, "entities", F.lit(0), "entity_name", None, "entity_type", None, None))

@@ -22,8 +22,8 @@ def any_contains(expr: str, needles: Iterable[str]) -> str:
 
 
 def round_fixed(expr: str, digits: int) -> str:
-    return f"CAST(round(CAST({expr} AS DECIMAL(18,6)), {digits}) AS DOUBLE)"
+    return f"CAST(round(CAST({expr} AS DECIMAL(38,6)), {digits}) AS DOUBLE)"
 
 
 def six(expr: str) -> str:
-    return f"CAST(CAST({expr} AS DECIMAL(18,6)) AS DOUBLE)"
+    return f"CAST(CAST({expr} AS DECIMAL(38,6)) AS DOUBLE)"
