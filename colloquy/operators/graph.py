@@ -123,9 +123,11 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, query: str) -> tuple[DataF
     query (case-insensitive, wildcards kept); edges touching a seed; nodes =
     seeds plus the existing ends of those edges."""
     seeds = nodes.filter(F.col("label").ilike(f"%{query}%")).select(F.col("id").alias("_sid"))
-    by_src = edges.join(seeds, edges.source == seeds._sid, "left_semi")
-    by_dst = edges.join(seeds, edges.target == seeds._sid, "left_semi")
-    touching = by_src.unionByName(by_dst).distinct()
+    # one pass over the edges: each edge once per end, one semi-join, then
+    # de-duplicate edges whose two ends are both seeds
+    ends = edges.select("source", "target", "relation", F.explode(F.array("source", "target")).alias("_end"))
+    touching = (ends.join(seeds, ends._end == seeds._sid, "left_semi")
+                .select("source", "target", "relation").distinct())
     ids = (seeds.select(F.col("_sid").alias("_id"))
            .unionByName(touching.select(F.explode(F.array("source", "target")).alias("_id")))
            .distinct())
