@@ -83,6 +83,16 @@ RISK_ORDER = ("High", "Medium", "Low")
 # Graph display priority by node type; everything else ranks after these.
 NODE_TYPE_PRIORITY = ("Product", "Competitor", "Meeting", "Customer")
 
+# Retrieval context layout: headers, one block per meeting, one line per
+# quoted sentence, and the message when nothing matched.
+CONTEXT_MEETINGS_HEADER = "--- RELEVANT MEETINGS ---"
+CONTEXT_QUOTES_HEADER = "--- RELEVANT TRANSCRIPT QUOTES ---"
+CONTEXT_MEETING_TEMPLATE = ("Meeting: {title} (ID: {meeting_id})\n"
+                            "Type: {call_type}, Sentiment: {overall_sentiment} (Score: {sentiment_score})\n"
+                            "Summary: {summary}\n")
+CONTEXT_QUOTE_TEMPLATE = '[{title} - {time}s] {speaker}: "{sentence}"'
+NO_MATCHING_MEETINGS = "No relevant meetings found"
+
 # Sizes used by the serving queries.
 PAGE_SIZE = 12
 GRAPH_NODE_LIMIT = 120

@@ -130,3 +130,26 @@ def py_float_text(c: str | Column) -> Column:
 def py_text(c: str | Column) -> Column:
     """Text of a string column as Python's f-string prints it (NULL -> 'None')."""
     return F.coalesce(col_(c).cast("string"), F.lit("None"))
+
+
+def template_parts(template: str) -> list[tuple[str, str | None]]:
+    """Split 'a {x} b' into [('a ', 'x'), (' b', None)]."""
+    import re
+    out, pos = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        out.append((template[pos:m.start()], m.group(1)))
+        pos = m.end()
+    out.append((template[pos:], None))
+    return out
+
+
+def render_template(template: str, floats: tuple[str, ...] = ()) -> Column:
+    """Fill ``{name}`` placeholders with column values as Python's f-string
+    prints them (``floats`` name the double columns)."""
+    pieces = []
+    for text, name in template_parts(template):
+        if text:
+            pieces.append(F.lit(text))
+        if name:
+            pieces.append(py_float_text(name) if name in floats else py_text(name))
+    return F.concat(*pieces)
