@@ -118,3 +118,28 @@ def test_tier_distribution_lists_empty_tiers(spark):
     df = spark.createDataFrame([(10.0,), (0.0,), (None,)], "composite_risk_score double")
     got = [(r.risk_tier, r["count"]) for r in A.tier_distribution(A.with_risk_tier(df)).collect()]
     assert got == [("Low", 1), ("Medium", 0), ("High", 0)]
+
+
+def test_approx_quartiles_close_to_exact(spark):
+    rnd = random.Random(5)
+    df = spark.createDataFrame([(rnd.choice("xy"), rnd.random()) for _ in range(4000)], "g string, v double")
+    exact = {r.g: r for r in A.exact_quartiles(df, "g", "v").collect()}
+    for r in A.approx_quartiles(df, "g", "v").collect():
+        for q in ("q25", "q50", "q75"):
+            assert abs(r[q] - exact[r.g][q]) < 0.01
+
+
+def test_spread_only_for_few_files(spark, tmp_path):
+    from colloquy.operators.layout import spread
+    one = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = str(tmp_path / "many")
+    spark.range(100).repartition(spark.sparkContext.defaultParallelism + 2).write.parquet(many)
+    assert "Repartition" not in spread(spark.read.parquet(many))._jdf.queryExecution().logical().toString()
+
+
+def test_scale_conf():
+    from colloquy.session import scale_conf
+    c = scale_conf(100 << 40, 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    assert int(scale_conf(1 << 20, 8)["spark.sql.shuffle.partitions"]) == 24
