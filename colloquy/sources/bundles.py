@@ -36,9 +36,14 @@ def read_bundle_files(spark: SparkSession, root: str) -> DataFrame:
 
 def stage_bundle_files(spark: SparkSession, root: str, staging_path: str) -> DataFrame:
     """Compact the bundle files into one Parquet table (the only pass over
-    the small JSON files) and return it read back; this also cuts lineage."""
-    read_bundle_files(spark, root).filter(F.col("file").isin(*REQUIRED_FILES)) \
-        .write.mode("overwrite").parquet(staging_path)
+    the small JSON files) and return it read back; this also cuts lineage.
+
+    The table is partitioned by file name, so reading one kind of document
+    (all transcripts, all summaries) prunes to its partition, and it carries a
+    ``decoded`` flag, so the gates read two small columns, not documents."""
+    (read_bundle_files(spark, root).filter(F.col("file").isin(*REQUIRED_FILES))
+     .select("folder", "file", F.col("doc").isNotNull().alias("decoded"), "doc")
+     .write.mode("overwrite").partitionBy("file").parquet(staging_path))
     return spark.read.parquet(staging_path)
 
 
@@ -53,7 +58,7 @@ def gate(files: DataFrame, required=REQUIRED_FILES) -> DataFrame:
     req = F.array(*[F.lit(r) for r in required])
     per_folder = (files.filter(F.col("file").isin(*required)).groupBy("folder")
                   .agg(F.collect_set("file").alias("_present"),
-                       F.bool_or(F.col("doc").isNull()).alias("_undecodable")))
+                       F.bool_or(~decoded_flag(files)).alias("_undecodable")))
     first_missing = F.get(F.array_except(req, F.col("_present")), 0)
     reason = (F.when(first_missing.isNotNull(), F.lit("missing"))
               .when(F.col("_undecodable"), F.lit("undecodable")))
@@ -62,6 +67,10 @@ def gate(files: DataFrame, required=REQUIRED_FILES) -> DataFrame:
     return per_folder.select("folder", reason.alias("reason"), detail.alias("detail"))
 
 
+def decoded_flag(files: DataFrame):
+    return F.col("decoded") if "decoded" in files.columns else F.col("doc").isNotNull()
+
+
 def rejects(status: DataFrame) -> DataFrame:
     """SRC6: the rejected folders with reason and message."""
     return status.filter(F.col("reason").isNotNull())
