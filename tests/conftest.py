@@ -28,3 +28,18 @@ def spark():
 @pytest.fixture()
 def scratch():
     return tempfile.mkdtemp(prefix="colloquy-test-")
+
+
+@pytest.fixture(scope="session")
+def ingested(spark, tmp_path_factory):
+    """The hand-made bundles ingested once: (result, expected, errors, out_dir)."""
+    import reference_model
+    from bundle_factory import make_bundles
+    from colloquy.plans import ingest as ING
+
+    root = str(tmp_path_factory.mktemp("bundles"))
+    out = str(tmp_path_factory.mktemp("tables"))
+    make_bundles(root)
+    res = ING.ingest(spark, root, out)
+    expected, errors = reference_model.run(root)
+    return res, expected, errors, out

@@ -7,9 +7,6 @@ import os
 
 import pytest
 
-import reference_model
-from bundle_factory import make_bundles
-
 from colloquy.operators import sinks as SK
 from colloquy.plans import ingest as ING
 
@@ -22,16 +19,6 @@ def norm(rows):
     return sorted((tuple(v(x) for x in r) for r in rows), key=repr)
 
 
-@pytest.fixture(scope="module")
-def ingested(spark, tmp_path_factory):
-    root = str(tmp_path_factory.mktemp("bundles"))
-    out = str(tmp_path_factory.mktemp("tables"))
-    make_bundles(root)
-    res = ING.ingest(spark, root, out)
-    expected, errors = reference_model.run(root)
-    return res, expected, errors, out
-
-
 TABLES = ["meetings", "transcript_segments", "action_items", "topics", "key_moments", "entities",
           "graph_nodes", "graph_edges"]
 
