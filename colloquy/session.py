@@ -63,8 +63,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     Reads ``spark.checkpoint.dir`` (or the SparkContext's folder). Only when
-    neither is set, as in local tests, a private folder is created and
-    registered.
+    neither is set on a local master, as in tests, a private folder is
+    created and registered; a cluster without the setting is an error, since
+    a machine-local folder does not survive executor loss.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -72,7 +73,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="colloquy-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set; on a cluster it must name a shared folder")
+        conf_dir = tempfile.mkdtemp(prefix="colloquy-ckpt-")  # local runs and tests only
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
