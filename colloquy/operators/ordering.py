@@ -58,7 +58,14 @@ def group_ordinals(df: DataFrame, group: str | Sequence[str], order: Sequence[st
     if size_col:
         chunks = chunks.withColumn(size_col, F.sum("_cnt").over(Window.partitionBy(*gcols)))
     keep = ["_offset", "_start"] + ([size_col] if size_col else [])
-    out = tagged.join(chunks.select(*gcols, "_chunk", *keep), on=[*gcols, "_chunk"], how="inner")
+    right = chunks.select(*[F.col(g).alias(f"_k{i}") for i, g in enumerate(gcols)],
+                          F.col("_chunk").alias("_kc"), *keep)
+    # NULL group keys form one group, as in a window partition, so the join
+    # back is null-safe
+    cond = F.col("_chunk") == F.col("_kc")
+    for i, g in enumerate(gcols):
+        cond = cond & tagged[g].eqNullSafe(F.col(f"_k{i}"))
+    out = tagged.join(right, cond, "inner").drop("_kc", *[f"_k{i}" for i in range(len(gcols))])
     out = out.withColumn(ordinal_col, (F.col("_offset") + F.col("_pos") - F.col("_start") + 1).cast("long"))
     return out.drop("_rid", "_chunk", "_pos", "_offset", "_start")
 

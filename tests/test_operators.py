@@ -32,6 +32,12 @@ def test_group_ordinals_hot_group(spark):
     assert got == expect
 
 
+def test_group_ordinals_null_group(spark):
+    df = spark.createDataFrame([(None, 2, 1), (None, 1, 2), (1, 1, 3)], "g int, k int, id int")
+    got = {r.id: (r.ordinal, r.n) for r in group_ordinals(df, "g", ["k", "id"], size_col="n").collect()}
+    assert got == {2: (1, 2), 1: (2, 2), 3: (1, 1)}
+
+
 def test_group_ordinals_descending(spark):
     df = spark.createDataFrame([(1, 5, 1), (1, 7, 2), (1, 6, 3), (2, 1, 4)], "g int, k int, id int")
     got = {r.id: r.ordinal for r in group_ordinals(df, "g", ["k", "id"], descending=True).collect()}
