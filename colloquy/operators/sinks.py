@@ -66,11 +66,28 @@ def sample(df: DataFrame, order: Sequence[str], n: int = 5, columns: Sequence[st
     return s.select(*columns) if columns else s
 
 
-def write_tables(tables: dict[str, DataFrame], out_dir: str, mode: str = "overwrite") -> dict[str, str]:
-    """SNK1: full refresh of every table as Parquet under ``out_dir``."""
+def write_tables(tables: dict[str, DataFrame], out_dir: str) -> dict[str, str]:
+    """SNK1: full refresh of every table as Parquet under ``out_dir``.
+
+    Each table is written completely to a staging folder first and then
+    swapped in (delete old, rename new), so a failed write never leaves a
+    half-written table behind and readers see the old or the new version."""
     paths = {}
     for name, df in tables.items():
         path = os.path.join(out_dir, name)
-        df.write.mode(mode).parquet(path)
+        staging = os.path.join(out_dir, "_next", name)
+        df.write.mode("overwrite").parquet(staging)
+        _swap(df.sparkSession, staging, path)
         paths[name] = path
     return paths
+
+
+def _swap(spark, src: str, dst: str) -> None:
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    s, d = jvm.org.apache.hadoop.fs.Path(src), jvm.org.apache.hadoop.fs.Path(dst)
+    fs = d.getFileSystem(conf)
+    if fs.exists(d):
+        fs.delete(d, True)
+    if not fs.rename(s, d):
+        raise OSError(f"could not move {src} to {dst}")
