@@ -105,3 +105,24 @@ def test_graph_views(ingested):
     # a topic spelt "Okta" shares the node id, so topic edges appear too
     assert {"MENTIONS", "MENTIONS_COMPETITOR", "DISCUSSES_TOPIC"} <= {r.relation for r in conn}
     assert nodes.filter(F.col("id") == "Okta").first().type == "Topic"
+
+
+def test_api_entry_points_run(spark, ingested):
+    from colloquy.plans import api
+    from colloquy.plans.ingest import load_tables
+    t = load_tables(spark, ingested[3])
+    page, total = api.list_meetings(t, search="summit", limit=5)
+    assert page.count() <= 5 and total.first().total >= page.count()
+    assert api.meeting_detail(t, "M01").filter("section = 'transcript'").count() == 9
+    outs = [api.dashboard(t), *api.competitors(t), api.action_items(t, "Open"), api.graph(t)[0], api.graph(t, "okta")[1],
+            api.connections(t, "Okta"), api.resolution_shift(t), *api.churn_risk(t), *api.topic_breakdown(t),
+            *api.score_statistics(t), *api.role_sentiment(t), *api.action_workload(t), api.degree_centrality(t),
+            *api.entity_load(t), api.sample(t, "meetings")]
+    for df in outs:
+        assert df.count() >= 0
+    ctx, routes, sources, ranked, segs = api.ask(spark, t, [(1, "billing issues"), (2, "okta")])
+    assert {r.route for r in routes.collect()} == {"billing", "competitors"}
+    assert ctx.count() == 2
+    upd = spark.createDataFrame([("M01_ai_0", "Blocked", 1)], "id string, status string, seq int")
+    new, rejects = api.update_action_items(t, upd)
+    assert new.filter("id = 'M01_ai_0'").first().status == "Blocked" and rejects.count() == 0
