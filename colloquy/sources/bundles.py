@@ -76,6 +76,11 @@ def rejects(status: DataFrame) -> DataFrame:
     return status.filter(F.col("reason").isNotNull())
 
 
+def first_rejects(status: DataFrame, n: int = 5) -> DataFrame:
+    """SRC6: the first ``n`` reject messages (by folder) for display."""
+    return rejects(status).orderBy("folder").limit(n).select("folder", "detail")
+
+
 def report(status: DataFrame) -> DataFrame:
     """SRC6: processed and rejected folder counts in one row."""
     return status.agg(F.count_if(F.col("reason").isNull()).alias("processed"),

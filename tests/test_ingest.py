@@ -36,6 +36,9 @@ def test_rejects_match_model(ingested):
     assert got == sorted(errors)
     rep = res.report.first()
     assert rep.rejected == len(errors)
+    from colloquy.sources.bundles import first_rejects
+    shown = [r.detail for r in first_rejects(res.status).collect()]
+    assert shown == [d for _, _, d in sorted(errors)][:5]
 
 
 def test_written_tables_reload(spark, ingested):
