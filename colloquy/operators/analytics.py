@@ -23,17 +23,24 @@ from .ordering import global_top_k, group_ordinals
 
 
 # ------------------------------------------------------------ segment level
-def resolution_shift(segments: DataFrame, meetings: DataFrame) -> DataFrame:
+def resolution_shift(segments: DataFrame, meetings: DataFrame, rank_col: str | None = None,
+                     count_col: str | None = None) -> DataFrame:
     """ALG1 (WIN1-WIN4): share of positive turns in a meeting's last third
     minus share of negative turns in its first third.
 
     Turns are numbered by (turn_index, id); the first third is rn <= n/3 and
     the last third n-rn+1 <= n/3 with real division, so meetings with fewer
     than three turns have empty thirds and drop out. One ordinal pass, then a
-    single partially aggregated group-by computes both thirds.
+    single partially aggregated group-by computes both thirds. When the
+    segments already carry that rank and the meeting's turn count (numbered
+    upstream in the same order), pass their names to skip the ranking pass.
     """
-    seg = segments.select("meeting_id", "turn_index", "id", "sentiment_type")
-    ranked = group_ordinals(seg, "meeting_id", ["turn_index", "id"], ordinal_col="_rn", size_col="_n")
+    if rank_col and count_col:
+        ranked = segments.select("meeting_id", "sentiment_type", F.col(rank_col).alias("_rn"),
+                                 F.col(count_col).alias("_n"))
+    else:
+        seg = segments.select("meeting_id", "turn_index", "id", "sentiment_type")
+        ranked = group_ordinals(seg, "meeting_id", ["turn_index", "id"], ordinal_col="_rn", size_col="_n")
     third = F.col("_n") / F.lit(3.0)
     first = F.col("_rn") <= third
     last = (F.col("_n") - F.col("_rn") + 1) <= third

@@ -58,16 +58,21 @@ def b9_dictionaries() -> Dictionaries:
 
 
 # ------------------------------------------------------------------ Spark side
-def b1_segments(spark: SparkSession, root: str, ordered: bool = True) -> DataFrame:
+def b1_segments(spark: SparkSession, root: str, ordered: bool = True, with_rank: bool = False) -> DataFrame:
     """B1. Turn numbering (id, turn_index) needs a per-user ordinal pass that
     is materialised, so consumers that never read those two columns ask for
-    ``ordered=False`` and skip it."""
+    ``ordered=False`` and skip it. ``with_rank`` also keeps the 1-based turn
+    rank and the user's turn count (``turn_rank``, ``turn_count``): ordering
+    by (turn_index, id) is ordering by that rank, since turn_index is rank-1."""
     ev = read_table(spark, root, "events").select("event_id", "ts", "user_id", "event_type", "props")
     if ordered:
-        ranked = group_ordinals(ev, "user_id", ["ts", "event_id"], ordinal_col="_n")
+        ranked = group_ordinals(ev, "user_id", ["ts", "event_id"], ordinal_col="_n",
+                                size_col="_count" if with_rank else None)
         turn = (F.col("_n") - 1).cast("long")
         numbering = [F.concat(F.col("user_id").cast("string"), F.lit("_t_"), turn.cast("string")).alias("id")]
         position = [turn.alias("turn_index")]
+        if with_rank:
+            position += [F.col("_n").alias("turn_rank"), F.col("_count").alias("turn_count")]
     else:
         ranked, numbering, position = ev, [], []
     out = ranked.select(
