@@ -71,6 +71,15 @@ def ask(spark: SparkSession, t: Tables, questions: list[tuple[int, str]], d: Dic
     return R.context(q, ranked, segments), R.routes(q, ranked, d), R.sources(ranked), ranked, segments
 
 
+def routed_answers(t: Tables, ranked: DataFrame, d: Dictionaries = DEFAULT) -> dict[str, DataFrame]:
+    """The table that answers each route (in place of the reference's canned
+    report text): churn -> account risk list, competitors -> competitor
+    mention counts, billing and search -> the ranked meetings."""
+    return {"churn": A.account_risk_top(A.account_stats(t["meetings"], d)),
+            "competitors": A.mention_counts(t["entities"], "Competitor"),
+            "billing": ranked, DICT.DEFAULT_ROUTE: ranked}
+
+
 def graph(t: Tables, search: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): the neighbourhood of matching nodes, or the
     density-limited default view."""

@@ -123,6 +123,9 @@ def test_api_entry_points_run(spark, ingested):
     ctx, routes, sources, ranked, segs = api.ask(spark, t, [(1, "billing issues"), (2, "okta")])
     assert {r.route for r in routes.collect()} == {"billing", "competitors"}
     assert ctx.count() == 2
+    answers = api.routed_answers(t, ranked)
+    assert set(answers) == {"billing", "churn", "competitors", "search"}
+    assert answers["competitors"].filter("entity_name = 'Okta'").count() == 1
     upd = spark.createDataFrame([("M01_ai_0", "Blocked", 1)], "id string, status string, seq int")
     new, rejects = api.update_action_items(t, upd)
     assert new.filter("id = 'M01_ai_0'").first().status == "Blocked" and rejects.count() == 0
