@@ -3,12 +3,14 @@
 New JSON files under ``<root>/<folder>/`` arrive as a file stream (one row
 per whole file). Each micro-batch (``foreachBatch``):
 
- 1. appends its parsed files to the staging table (``_staging/bundle_files``,
-    partitioned by epoch), so a folder whose six files arrive in different
-    batches is completed later -- completeness is state kept in a table;
- 2. gates the folders touched by the batch over all of their staged files;
+ 1. unions its parsed files with the *pending* files -- files of folders
+    that were not yet complete (or not decodable) after the previous batch.
+    Completeness across batches is this small state table, so a batch reads
+    pending + new files, never the whole history;
+ 2. gates the folders in that union;
  3. leaves out folders already ingested (status table), so a meeting is
-    loaded once;
+    loaded once, and writes the still-incomplete folders' files as the next
+    pending state (``_staging/pending/epoch=<id>``);
  4. builds the eight tables for the accepted folders with the same
     ``plans.ingest.build_tables`` the batch job uses and writes them under
     ``<table>/epoch=<id>`` with overwrite, so a retried epoch replaces its
@@ -33,7 +35,8 @@ from ..operators import sinks as SK
 from ..plans.ingest import build_tables
 from ..sources import bundles as BN
 
-STAGING = "_staging/bundle_files"
+STAGING = "_staging/new_files"
+PENDING = "_staging/pending"
 STATUS = "_ingest_status"
 
 
@@ -53,28 +56,49 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
+def _latest_epoch_dir(spark: SparkSession, root: str, before: int) -> str | None:
+    """Path of the newest ``epoch=<n>`` folder under ``root`` with n < before
+    (a metadata listing of the state folders, one per batch)."""
+    if not _exists(spark, root):
+        return None
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    epochs = [int(st.getPath().getName().split("=", 1)[1]) for st in p.getFileSystem(conf).listStatus(p)
+              if st.getPath().getName().startswith("epoch=")]
+    older = [e for e in epochs if e < before]
+    return os.path.join(root, f"epoch={max(older)}") if older else None
+
+
 def process_batch(spark: SparkSession, batch: DataFrame, epoch: int, out_dir: str,
                   d: Dictionaries = DEFAULT) -> None:
-    staging = os.path.join(out_dir, STAGING)
+    pending_root = os.path.join(out_dir, PENDING)
     status_path = os.path.join(out_dir, STATUS)
     new = (batch.filter(F.col("file").isin(*S.REQUIRED_FILES))
-           .select("folder", "file", "text", F.try_parse_json("text").alias("doc")))
-    new.write.mode("overwrite").parquet(os.path.join(staging, f"epoch={epoch}"))
-    staged = spark.read.parquet(staging)
-    touched = spark.read.parquet(os.path.join(staging, f"epoch={epoch}")).select("folder").distinct()
-    # the latest copy of each file of the touched folders
-    latest = Window.partitionBy("folder", "file").orderBy(F.col("epoch").desc())
-    files = (staged.join(touched, "folder", "left_semi")
-             .withColumn("_k", F.row_number().over(latest)).filter(F.col("_k") == 1).drop("_k", "epoch"))
+           .select("folder", "file", F.try_parse_json("text").alias("doc"), F.lit(epoch).alias("seen")))
+    new_path = os.path.join(out_dir, STAGING, f"epoch={epoch}")
+    new.write.mode("overwrite").parquet(new_path)
+    files = spark.read.parquet(new_path)
+    previous = _latest_epoch_dir(spark, pending_root, epoch)
+    if previous:
+        files = files.unionByName(spark.read.parquet(previous))
+    # the latest copy of each file (a re-sent file replaces the older one);
+    # a partition holds the copies of one file, bounded by the re-sends
+    latest = Window.partitionBy("folder", "file").orderBy(F.col("seen").desc())
+    files = files.withColumn("_k", F.row_number().over(latest)).filter(F.col("_k") == 1).drop("_k")
     status = BN.gate(files)
     if _exists(spark, status_path):
         done = spark.read.parquet(status_path).filter(F.col("reason").isNull()).select("folder")
         status = status.join(done, "folder", "left_anti")
-    accepted = BN.accepted(files, status)
+    status.write.mode("overwrite").parquet(os.path.join(status_path, f"epoch={epoch}"))
+    status = spark.read.parquet(os.path.join(status_path, f"epoch={epoch}"))
+    accepted = BN.accepted(files.drop("seen"), status)
     tables = build_tables(spark, accepted, d)
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(os.path.join(out_dir, name, f"epoch={epoch}"))
-    status.write.mode("overwrite").parquet(os.path.join(status_path, f"epoch={epoch}"))
+    waiting = status.filter(F.col("reason").isNotNull()).select("folder")
+    files.join(waiting, "folder", "left_semi").write.mode("overwrite").parquet(
+        os.path.join(pending_root, f"epoch={epoch}"))
 
 
 def start(spark: SparkSession, bundle_root: str, out_dir: str, checkpoint_location: str,
