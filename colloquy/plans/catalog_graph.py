@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import dictionaries as DICT
 from ..functions import classify as C
 from ..operators import enrich as E
 from ..operators import graph as G

@@ -21,7 +21,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import dictionaries as DICT
 from .. import schemas as S
 from ..dictionaries import DEFAULT, Dictionaries
 from ..functions import classify as C
