@@ -108,12 +108,25 @@ def speaker_meta(files: DataFrame, ids: DataFrame) -> DataFrame:
     return sm.select("meeting_id", F.explode(BN.speaker_meta_values("doc")).alias("speaker"))
 
 
-def build_tables(spark: SparkSession, files: DataFrame, d: Dictionaries = DEFAULT) -> dict[str, DataFrame]:
-    """All eight tables from the accepted, staged bundle files."""
-    meetings = meetings_table(files, d)
+def _materialise(df: DataFrame, work_dir: str | None, name: str) -> DataFrame:
+    """Write a frame read by several consumers once as Parquet (cutting its
+    lineage) and read it back; without a work folder keep it lazy."""
+    if not work_dir:
+        return df
+    path = os.path.join(work_dir, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def build_tables(spark: SparkSession, files: DataFrame, d: Dictionaries = DEFAULT,
+                 work_dir: str | None = None) -> dict[str, DataFrame]:
+    """All eight tables from the accepted, staged bundle files. With
+    ``work_dir`` the meeting rows and the transcript turns -- each read by
+    several tables -- are parsed out of the documents once."""
+    meetings = _materialise(meetings_table(files, d), work_dir, "meetings")
     ids = meetings.select("folder", "meeting_id")
     items, topics_pos, moments = summary_children(files, ids, d)
-    turns = transcript_turns(files, ids)
+    turns = _materialise(transcript_turns(files, ids), work_dir, "turns")
     roles = E.speaker_roles(turns, meetings.select("meeting_id", "all_emails", "host", "call_type"), "speaker_name", d)
     mentions = E.turn_mentions(turns, "sentence", "speaker_name", d)
     ents = E.entities(mentions)
@@ -142,7 +155,7 @@ def ingest(spark: SparkSession, bundle_root: str, out_dir: str, d: Dictionaries
     staged = BN.stage_bundle_files(spark, bundle_root, os.path.join(out_dir, "_staging", "bundle_files"))
     status = BN.gate(staged)
     files = BN.accepted(staged, status)
-    tables = build_tables(spark, files, d)
+    tables = build_tables(spark, files, d, work_dir=os.path.join(out_dir, "_work"))
     if check_keys:
         for name, (_, keys) in S.TABLES.items():
             SK.enforce_keys(tables[name], keys, name)

@@ -93,7 +93,7 @@ def process_batch(spark: SparkSession, batch: DataFrame, epoch: int, out_dir: st
     status.write.mode("overwrite").parquet(os.path.join(status_path, f"epoch={epoch}"))
     status = spark.read.parquet(os.path.join(status_path, f"epoch={epoch}"))
     accepted = BN.accepted(files.drop("seen"), status)
-    tables = build_tables(spark, accepted, d)
+    tables = build_tables(spark, accepted, d, work_dir=os.path.join(out_dir, "_work", f"epoch={epoch}"))
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(os.path.join(out_dir, name, f"epoch={epoch}"))
     waiting = status.filter(F.col("reason").isNotNull()).select("folder")
