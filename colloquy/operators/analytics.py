@@ -202,8 +202,10 @@ def daily_timeline(meetings: DataFrame, days: int = DICT.TIMELINE_DAYS) -> DataF
     g = meetings.groupBy(F.to_date("start_time").alias("date")).agg(
         F.avg("sentiment_score").alias("_avg"), F.count(F.lit(1)).alias("count"))
     last = global_top_k(g, [F.col("date").desc_nulls_first()], days)
-    return (last.select("date", C.fixed_round("_avg", 2).alias("sentiment"), "count")
-            .orderBy(F.col("date").asc_nulls_last()))
+    # the day is reported as ISO text, as the dashboard returns it
+    return (last.orderBy(F.col("date").asc_nulls_last())
+            .select(F.date_format("date", "yyyy-MM-dd").alias("date"), C.fixed_round("_avg", 2).alias("sentiment"),
+                    "count"))
 
 
 def score_summary(meetings: DataFrame, group: str = "call_type", value: str = "sentiment_score",

@@ -66,7 +66,7 @@ UNION ALL SELECT 'customer_risk', customer, avg_sentiment, total_calls, risk FRO
   avg_sentiment, customer LIMIT 12)
 UNION ALL SELECT 'product_risk', topic, NULL, count, NULL FROM issues
 UNION ALL SELECT 'feature_requests', topic, NULL, count, NULL FROM features
-UNION ALL SELECT 'timeline', strftime(date, '%Y-%m-%d'), sentiment, count, NULL FROM timeline""",
+UNION ALL SELECT 'timeline', date, sentiment, count, NULL FROM timeline""",
                            "b3_meetings", "b5_topics",
                            extra={"m": m, "accounts": ACCOUNT_SQL, "issues": ISSUES_SQL, "features": FEATURES_SQL,
                                   "timeline": TIMELINE_SQL})

@@ -102,7 +102,7 @@ def srt8_account_sort(spark, root):
 
 # --------------------------------------------------------------- timeline
 TIMELINE_SQL = f"""
-SELECT date, {Q.round_fixed('avg_score', 2)} AS sentiment, count FROM (
+SELECT strftime(date, '%Y-%m-%d') AS date, {Q.round_fixed('avg_score', 2)} AS sentiment, count FROM (
   SELECT CAST(start_time AS DATE) AS date, avg(sentiment_score) AS avg_score, count(*) AS count
   FROM m GROUP BY 1 ORDER BY date DESC NULLS FIRST LIMIT 30)
 ORDER BY date ASC NULLS LAST"""

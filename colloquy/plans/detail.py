@@ -87,7 +87,7 @@ def dashboard(meetings: DataFrame, topics: DataFrame, d: Dictionaries = DEFAULT)
              "total_calls", "risk"),
         rows(A.topics_matching(topics, d.issue_patterns), "product_risk", "topic", n="count"),
         rows(A.topics_matching(topics, d.feature_patterns), "feature_requests", "topic", n="count"),
-        rows(A.daily_timeline(meetings), "timeline", F.date_format("date", "yyyy-MM-dd"), "sentiment", "count"),
+        rows(A.daily_timeline(meetings), "timeline", "date", "sentiment", "count"),
     ]
     out = parts[0]
     for p in parts[1:]:
