@@ -20,6 +20,8 @@ from ..operators import analytics as A
 from ..operators import filters as FL
 from ..operators import graph as G
 from ..operators import retrieval as R
+from ..operators import sinks as SK
+from .. import schemas as S
 from . import detail as DT
 
 Tables = dict[str, DataFrame]
@@ -137,6 +139,5 @@ def entity_load(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def sample(t: Tables, table: str, n: int = 5) -> DataFrame:
-    from ..operators.sinks import sample as _sample
-    from ..schemas import TABLES
-    return _sample(t[table], list(TABLES[table][1]), n)
+    """First n rows of a stored table in key order."""
+    return SK.sample(t[table], list(S.TABLES[table][1]), n)
