@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
 
@@ -17,6 +19,13 @@ def spread(df: DataFrame, min_files: int | None = None) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     files = len(df.inputFiles())
-    if files == 0 or files >= (min_files or cores):
+    if files == 0 or files >= (min_files or cores) or _spread_already(df, cores):
         return df
     return df.repartition(cores)
+
+
+def _spread_already(df: DataFrame, cores: int) -> bool:
+    """True when the plan already redistributes its rows over at least
+    ``cores`` partitions (so spreading again would add a second shuffle)."""
+    plan = df._jdf.queryExecution().analyzed().toString()
+    return any(int(n) >= cores for n in re.findall(r"Repartition (\d+), true", plan))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..dictionaries import DEFAULT, Dictionaries
 from ..operators.enrich import entities, turn_mentions
+from ..operators.layout import spread
 from ..operators.ordering import group_ordinals
 from .tables import read_table
 
@@ -130,8 +131,14 @@ def b5_topics(spark: SparkSession, root: str) -> DataFrame:
                      ).distinct()
 
 
+def _b6_documents(spark: SparkSession, root: str) -> DataFrame:
+    # one (spread) documents scan shared by the meetings and lines views, so
+    # a query using both reads and redistributes the text once
+    return spread(read_table(spark, root, "documents").select("doc_id", "text", "source"))
+
+
 def b6_meetings(spark: SparkSession, root: str) -> DataFrame:
-    docs = read_table(spark, root, "documents")
+    docs = _b6_documents(spark, root)
     return docs.select(F.col("doc_id").alias("meeting_id"), F.get(F.split("text", "\n"), 0).alias("title"),
                        F.col("text").alias("summary"), F.col("source").alias("call_type"),
                        F.lit(None).cast("string").alias("overall_sentiment"),
@@ -139,7 +146,7 @@ def b6_meetings(spark: SparkSession, root: str) -> DataFrame:
 
 
 def b6_lines(spark: SparkSession, root: str) -> DataFrame:
-    docs = read_table(spark, root, "documents")
+    docs = _b6_documents(spark, root)
     return (docs.select(F.col("doc_id").alias("meeting_id"), F.posexplode(F.split("text", "\n")).alias("pos", "sentence"))
             .select("meeting_id", F.col("pos").cast("long").alias("turn_index"), "sentence",
                     F.col("pos").cast("double").alias("time"),
