@@ -149,3 +149,22 @@ def test_scale_conf():
     c = scale_conf(100 << 40, 8000)
     assert int(c["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
     assert int(scale_conf(1 << 20, 8)["spark.sql.shuffle.partitions"]) == 24
+
+
+def test_spread_not_twice(spark):
+    from colloquy.operators.layout import spread
+    once = spread(spark.read.parquet(f"{SF_SMALL}/documents.parquet"))
+    twice = spread(once.select("doc_id", "text"))
+    assert twice._jdf.queryExecution().analyzed().toString().count("Repartition") == 1
+
+
+def test_dictionary_join_checks_size(spark, monkeypatch):
+    import pytest
+    from colloquy.operators import enrich as E
+    m = spark.createDataFrame([(1, "Helix Data sync"), (2, "nothing")], "meeting_id int, title string")
+    dic = spark.createDataFrame([("helix data", 0), ("sync", 1)], "term string, rank int")
+    got = {r.meeting_id: r.match for r in E.dictionary_first_match(m, "title", dic, ["meeting_id"]).collect()}
+    assert got == {1: "helix data", 2: None}
+    monkeypatch.setattr(E, "MAX_BROADCAST_DICTIONARY_ROWS", 1)
+    with pytest.raises(ValueError):
+        E.dictionary_first_match(m, "title", dic, ["meeting_id"])
