@@ -15,50 +15,60 @@ the join to be exact, which it is.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep, only_needed, row_key
 
 THRESHOLD = 0.8
-RARITY_SLOTS = 1 << 16
+RARITY_BITS = 17
+RARITY_SLOTS = 1 << RARITY_BITS
+# sets of so many words have two bitmaps, of half their words each
+WIDE = 90
+LONGEST = (1 << 17) - 1
 _EPS = 1e-9
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), "[ \\t\\r\\n\\f\\x0B]+"), "")
+def _hashes(text: Column) -> Column:
+    """Hashes of the lower-cased words between blanks, tabs and carriage
+    returns. Splitting at one character needs no pattern matching."""
+    spaced = F.replace(F.replace(text, F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+    return F.array_remove(F.transform(F.split(F.lower(spaced), " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
 
 def rarity(docs: DataFrame, text: str = "text") -> Column:
-    """Ranks of the word slots by their count over all texts, as a constant
-    array column: rank of slot ``s`` at index ``s``."""
-    slot = F.pmod(F.shiftrightunsigned(F.xxhash64("w"), 48), F.lit(RARITY_SLOTS)).cast("int").alias("slot")
-    counts = (docs.select(F.explode(_words(F.col(text).cast("string"))).alias("w")).select(slot)
+    """Classes of the word slots by their count over all texts, half an
+    octave each, as a constant array column: the class of slot ``s`` at
+    index ``s``."""
+    lines = F.replace(F.col(text).cast("string"), F.lit("\n"), F.lit(" "))
+    counts = (docs.select(F.explode(_hashes(lines)).alias("h")).select(_slot(F.col("h")).alias("slot"))
               .groupBy("slot").agg(F.count("*").alias("n")).collect())  # at most RARITY_SLOTS rows
-    ranks = [0] * RARITY_SLOTS
-    for rank, row in enumerate(sorted(counts, key=lambda r: (r["n"], r["slot"]))):
-        ranks[row["slot"]] = rank
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
+    classes = [0] * RARITY_SLOTS
+    for row in counts:
+        classes[row["slot"]] = int(2 * math.log2(row["n"]))
+    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<tinyint>")
 
 
-def _ordered(words: Column, ranks: Column) -> Column:
-    """The distinct words as sorted 63-bit codes: rarity rank of the word's
-    slot in the high bits, the rest of its hash below, so a code stands for
-    one word and ascending codes are rarest first."""
-    low = (1 << 47) - 1
+def _slot(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - RARITY_BITS).cast("int")
 
-    def code(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(ranks, F.shiftrightunsigned(h, 48).cast("int")).cast("bigint"), 47).bitwiseOR(h.bitwiseAND(F.lit(low)))
 
-    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.coalesce(code(w), F.lit(0).cast("bigint")))))
+def _ordered(line: Column, classes: Column) -> Column:
+    """The distinct words as sorted codes: the rarity class of the word's
+    slot, then 55 bits of its hash, so ascending codes are rarest first.
+    Equal words have equal codes in every line."""
+    low = F.lit((1 << 55) - 1).cast("bigint")
+    coded = F.transform(F.array_distinct(_hashes(line)), lambda h: F.shiftleft(
+        F.coalesce(F.get(classes, _slot(h)), F.lit(0).cast("tinyint")).cast("bigint"), 55).bitwiseOR(h.bitwiseAND(low)))
+    return F.sort_array(coded)
 
 
 def line_rows(docs: DataFrame, ranks: Column) -> DataFrame:
-    """One row per line with a word: ``_uid, _th, pos, codes``."""
+    """One row per line: ``_uid, _th, pos, codes``; no codes without words."""
     lines = docs.select(*row_key(), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return (lines.select("_uid", "_th", "pos", _ordered(_words(F.col("line")), ranks).alias("codes"))
-            .where(F.size("codes") > 0))
+    return lines.select("_uid", "_th", "pos", _ordered(F.col("line"), ranks).alias("codes"))
 
 
 def _bitmap(codes: Column) -> Column:
@@ -68,6 +78,10 @@ def _bitmap(codes: Column) -> Column:
                        lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(F.lit(63)).cast("int"))))
 
 
+def _half(codes: Column, odd: int) -> Column:
+    return F.filter(codes, lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(1)) == odd)
+
+
 def line_classes(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Distinct word sets: ``h1, h2`` (128-bit identity), ``n`` words, the
     first line that has it, copies, prefix and bitmap."""
@@ -75,34 +89,50 @@ def line_classes(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     prefix = F.slice("codes", F.lit(1), n - F.ceil(n * F.lit(threshold) - _EPS).cast("int") + 1)
     keyed = lines.select(F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit("line"), "codes").alias("h2"),
                          F.struct("_uid", "_th", "pos").alias("at"), n.alias("n"),
-                         F.transform(prefix, lambda c: F.hash(c)).alias("prefix"), _bitmap(F.col("codes")).alias("bits"))
+                         F.transform(prefix, lambda c: F.hash(c)).alias("prefix"),
+                         F.when(n < WIDE, _bitmap(F.col("codes"))).otherwise(_bitmap(_half("codes", 0))).alias("bits"),
+                         F.when(n < WIDE, F.lit(0).cast("bigint")).otherwise(_bitmap(_half("codes", 1))).alias("wide"))
     return keyed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.first("n").alias("n"),
-                                         F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+                                         F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.first("wide").alias("wide")).where("n > 0")
 
 
 def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
     """Pairs of classes that pass the prefix, length, positional and bitmap
-    filters, each once."""
-    rows = classes.select("h1", "h2", "n", F.posexplode("prefix").alias("p", "tok")).select(
-        "tok", "h1", "h2", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("p").cast("bigint")).alias("np"))
-    n = lambda s: F.shiftright(F.col(f"{s}.np"), 32)
-    p = lambda s: F.col(f"{s}.np").bitwiseAND(F.lit((1 << 32) - 1))
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (n("a") + n("b")) - _EPS)
+    filters, each once. The joined rows carry what the filters need, so what
+    fails them is never shuffled.
+
+    A pair's rows are its shared prefix words. Of two prefixes, one ends
+    first in the common order and meets no word behind the other, so the sets
+    share at most these words and the longer rest; pairs that cannot reach the
+    threshold so are left out before anything is fetched for them."""
+    # word hash, set size and position share one integer: sizes stop at
+    # LONGEST, and sets of that size pass the filters
+    key = (F.shiftleft(F.col("tok").cast("bigint"), 32)
+           .bitwiseOR(F.shiftleft(F.least("n", F.lit(LONGEST)).cast("bigint"), 15))
+           .bitwiseOR(F.least("p", F.lit((1 << 15) - 1)).cast("bigint")))
+    rows = (classes.select("h1", "bits", "wide", "n", F.posexplode("prefix").alias("p", "tok"))
+            .select(key.alias("key"), "h1", "bits", "wide"))
+    n = lambda s: F.shiftright(F.col(f"{s}.key"), 15).bitwiseAND(F.lit(LONGEST))
+    p = lambda s: F.col(f"{s}.key").bitwiseAND(F.lit((1 << 15) - 1))
+    total = n("a") + n("b")
+    need = F.lit(threshold / (1 + threshold)) * total - _EPS
     # words before this shared one may all be shared too, words after likewise
     most = F.least(p("a"), p("b")) + F.least(n("a") - p("a"), n("b") - p("b"))
-    pairs = (rows.alias("a").join(rows.alias("b"), F.expr(
-        "a.tok = b.tok AND (a.h1 < b.h1 OR (a.h1 = b.h1 AND a.h2 < b.h2))"))
-        .where((F.least(n("a"), n("b")) >= F.lit(threshold) * F.greatest(n("a"), n("b")) - _EPS) & (most >= need))
-        .select(F.col("a.h1").alias("a1"), F.col("a.h2").alias("a2"), F.col("b.h1").alias("b1"), F.col("b.h2").alias("b2"))
-        .distinct())
+    differ = F.when((n("a") < WIDE) == (n("b") < WIDE),
+                    F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
+                    + F.bit_count(F.col("a.wide").bitwiseXOR(F.col("b.wide")))).otherwise(
+        F.bit_count(F.col("a.bits").bitwiseXOR(F.col("a.wide")).bitwiseXOR(F.col("b.bits")).bitwiseXOR(F.col("b.wide"))))
+    may = ((F.least(n("a"), n("b")) >= F.lit(threshold) * F.greatest(n("a"), n("b")) - _EPS)
+           & (most >= need) & ((total - differ) / 2 >= need)) | (F.greatest(n("a"), n("b")) == LONGEST)
+    rest = lambda s: F.ceil(n(s) * F.lit(threshold) - _EPS) - 1
+    pairs = (rows.alias("a").join(rows.alias("b"), F.expr("a.key >> 32 = b.key >> 32 AND a.h1 < b.h1") & may)
+             .groupBy(F.col("a.h1").alias("a1"), F.col("b.h1").alias("b1"))
+             .agg(F.count("*").alias("met"), F.max(F.when(F.greatest(n("a"), n("b")) == LONGEST, F.lit(0.0)).otherwise(
+                 need - F.greatest(rest("a"), rest("b")))).alias("least"))
+             .where("met >= least").select("a1", "b1"))
     side = lambda s: classes.select(
-        F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("n").alias(f"{s}n"),
-        F.col("bits").alias(f"{s}bits"), F.col("first").alias(f"{s}first"))
-    both = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
-    differ = F.bit_count(F.col("abits").bitwiseXOR(F.col("bbits")))
-    total = F.col("an") + F.col("bn")
-    return both.where((total - differ) / 2 >= F.lit(threshold / (1 + threshold)) * total - _EPS).select(
-        "a1", "a2", "b1", "b2", "an", "bn", "afirst", "bfirst")
+        F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("n").alias(f"{s}n"), F.col("first").alias(f"{s}first"))
+    return pairs.join(side("a"), "a1").join(side("b"), "b1").select("a1", "a2", "b1", "b2", "an", "bn", "afirst", "bfirst")
 
 
 def similar_classes(docs: DataFrame, ranks: Column, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -113,7 +143,7 @@ def similar_classes(docs: DataFrame, ranks: Column, classes: DataFrame, threshol
             .select("e.h1", "e.h2", "e.first._uid", "e.first._th", "e.first.pos").distinct())
     lines = docs.select(*row_key(), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     sets = keep(only_needed(lines, ends, ["_uid", "_th", "pos"])
-                .select("h1", "h2", _ordered(_words(F.col("line")), ranks).alias("codes")).dropDuplicates(["h1", "h2"]))
+                .select("h1", "h2", _ordered(F.col("line"), ranks).alias("codes")).dropDuplicates(["h1", "h2"]))
     side = lambda s: sets.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("codes").alias(f"{s}codes"))
     shared = F.size(F.array_intersect("acodes", "bcodes"))
     return (cand.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
@@ -149,11 +179,11 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     kept = kept_lines(docs, threshold)
     extra = [c for c in docs.columns if c != "text"]
-    lines = docs.select(*row_key(), *[F.col(c).alias(f"in_{c}") for c in extra], F.col("text").cast("string").alias("text"))
-    joined = (lines.join(kept, ["_uid", "_th"], "left")
+    rows = docs.select(*row_key(), *[F.col(c).alias(f"in_{c}") for c in extra], F.col("text").cast("string").alias("text"))
+    joined = (rows.join(kept, ["_uid", "_th"], "left")
               .withColumn("lines", F.split("text", "\n"))
               .withColumn("blank", F.filter(F.sequence(F.lit(0), F.size("lines") - 1),
-                                            lambda i: F.get("lines", i).rlike("^[ \\t\\r\\f\\x0B]*$")))
+                                            lambda i: F.get("lines", i).rlike("^[ \\t\\r]*$")))
               .withColumn("left", F.array_sort(F.array_union(F.coalesce("kept", F.array().cast("array<int>")), "blank"))))
     out = F.when(F.size("left") == F.size("lines"), F.col("text")).otherwise(
         F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n"))

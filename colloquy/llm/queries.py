@@ -9,10 +9,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, lsh_forest, packing, toxicity
+from . import chat, decontamination, line_dedup, line_frequency, lsh_forest, masked_lm, packing, pii, secrets, toxicity
 from .common import read
 
 TOKENIZER = "word_bpe_49k.json"
+PII_KEY = "colloquy"  # a deployment sets its own
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.replace_pii(read(spark, sf_dir, "documents"), PII_KEY)
+    return out.select("doc_id", "n_entities", "text")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,14 +30,37 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # which lines are left says which text is left; texts are rebuilt where
+    # they are needed, in the pipeline
     out = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "text", "n_lines", "kept_lines", "depleted")
+    return out.select("doc_id", "n_lines", "kept_lines", "depleted")
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.jaccard_join(read(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.score(read(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.quality(read(spark, sf_dir, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(read(spark, sf_dir, "documents"))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a finished conversation is a log of one message event per turn
+    said = "\\### Assistant: </turn> ok"
+    hard = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
+    events = rows.withColumn("seq", F.col("turn")).withColumn("kind", F.lit("message"))
+    return chat.digest(chat.render(chat.fold_events(events)))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     scored = toxicity.toxicity(docs, labels)
@@ -42,7 +71,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_best_fit_packing, op3_benchmark_decontamination, op4_line_dedup, op5_ngram_jaccard_join, op10_toxicity,
+        op1_pii_surrogates, op2_best_fit_packing, op3_benchmark_decontamination, op4_line_dedup, op5_ngram_jaccard_join,
+        op6_lm_scoring, op7_quality_rules, op8_secret_scan, op9_chat_formatting, op10_toxicity,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
