@@ -21,7 +21,7 @@ LOSS_ROLE = "assistant"
 def escape(text: Column) -> Column:
     """Every backslash, ``<``, ``#`` and ``:`` gets a backslash before it, so
     no control string of the template can occur in a text."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), "([\\\\<#:])", "\\\\\\\\$1")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), "([\\\\<#:])", "\\\\$1")
 
 
 def unescape(text: Column) -> Column:

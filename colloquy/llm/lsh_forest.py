@@ -209,10 +209,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each class: the one with the smallest id
-    (of repeated rows, one). Documents without words stay, one of each id."""
+    """``docs`` with one document of each class: the one with the smallest id,
+    one without id only if all are (of repeated rows, one). Documents without words stay, one of each id."""
     out = jaccard_classes(docs, threshold)
-    first = out.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("_uid", "_th")).alias("at"))
+    order = F.struct((F.col("_uid") == NO_ID).alias("no_id"), "_uid", "_th")
+    first = out.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("at"))
     chosen = first.select("at._uid", "at._th").unionByName(out.where("root IS NULL").select("_uid", "_th").distinct())
     keyed = docs.select(*row_key(), *[F.col(c).alias(f"in_{c}") for c in docs.columns])
     return (keyed.join(chosen, ["_uid", "_th"]).dropDuplicates(["_uid", "_th"])

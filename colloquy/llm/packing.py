@@ -124,18 +124,31 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN) -
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
-def plan_sequences(counts: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
+Groups = list[tuple[int, list[tuple[int, int]]]]
+
+
+def plan_sequences(counts: np.ndarray) -> Groups:
     """Sequences for ``counts[l]`` pieces of length ``l`` (1 .. capacity).
 
     Returns groups ``(sequences, [(length, copies), ...])``. From the longest
     length down, the gap it leaves is looked up among single lengths, then
     sums of two, then sums of three, taking as many copies at once as all
     parts have left. What fits nothing exactly goes best-fit, longest first.
+    A few odd lengths may pack tighter by best-fit alone, which is then taken.
     """
-    cap = len(counts) - 1
     left = counts.astype(np.int64).copy()
     left[0] = 0
-    groups: list[tuple[int, list[tuple[int, int]]]] = []
+    plain = _best_fit(left)
+    exact = _exact_complements(left)
+    mixed = exact + _best_fit(left)
+    return mixed if sum(t for t, _ in mixed) <= sum(t for t, _ in plain) else plain
+
+
+def _exact_complements(left: np.ndarray) -> Groups:
+    """Groups that fill their sequences to the last token; ``left`` is what
+    they leave."""
+    cap = len(left) - 1
+    groups: Groups = []
 
     def consume(parts: tuple[int, ...]) -> None:
         need = {p: parts.count(p) for p in parts}
@@ -172,7 +185,12 @@ def plan_sequences(counts: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]
                     if not left[top] or not left[a]:
                         break
                     consume((top, a, rest - b, b))
+    return groups
+
 
+def _best_fit(left: np.ndarray) -> Groups:
+    """Best-fit, longest first, on counts: equal sequences are one group."""
+    cap = len(left) - 1
     open_by_gap: dict[int, list[tuple[int, list[tuple[int, int]]]]] = {}
 
     def add(parts: list[tuple[int, int]], length: int, copies: int) -> list[tuple[int, int]]:
@@ -199,9 +217,7 @@ def plan_sequences(counts: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]
                 del open_by_gap[gap]
             open_by_gap.setdefault(gap - length * copies, []).append((used, add(parts, length, copies)))
             n -= used * copies
-    for same in open_by_gap.values():
-        groups.extend(same)
-    return groups
+    return [group for same in open_by_gap.values() for group in same]
 
 
 def _places(groups: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
