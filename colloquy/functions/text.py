@@ -61,9 +61,9 @@ def first_match(text: str | Column, terms: Iterable[str], labels: Iterable[str]
 
 
 def strip_ws(c: str | Column) -> Column:
-    """Remove leading and trailing whitespace (``str.strip``); Spark's ``trim``
-    removes spaces only."""
-    return F.regexp_replace(col_(c), r"^\s+|\s+$", "")
+    """Remove leading and trailing whitespace, Unicode blanks included
+    (``str.strip``); Spark's ``trim`` removes spaces only."""
+    return F.regexp_replace(col_(c), r"(?U)^\s+|\s+$", "")
 
 
 def python_title(c: str | Column) -> Column:

@@ -9,6 +9,8 @@ mentions shuffles, after map-side partial aggregation.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +18,10 @@ from .. import dictionaries as DICT
 from ..dictionaries import DEFAULT, Dictionaries
 from ..functions import classify as C
 from ..functions import text as X
-from .layout import spread
 
 # A dictionary given as a DataFrame is broadcast only up to this many rows.
-MAX_BROADCAST_DICTIONARY_ROWS = 100_000
+# dictionary rows sent to the executors at a time
+SLICE_DICTIONARY_ROWS = 100_000
 
 
 # ----------------------------------------------------------------- accounts
@@ -36,17 +38,17 @@ def dictionary_first_match(df: DataFrame, text_col: str, dictionary: DataFrame,
     """First dictionary term (lowest rank) contained in ``text_col`` for each
     key, for dictionaries kept as DataFrames (JOI12).
 
-    The dictionary's row count is checked before it is broadcast; the join is
-    a broadcast nested-loop join with a ``contains`` predicate and
+    The dictionary is broadcast in slices of bounded size; the join is a
+    broadcast nested-loop join with a ``contains`` predicate per slice and
     ``min_by`` keeps list-order priority. Rows without a hit get NULL.
     """
-    n = dictionary.count()
-    if n > MAX_BROADCAST_DICTIONARY_ROWS:
-        raise ValueError(f"dictionary has {n} rows; above {MAX_BROADCAST_DICTIONARY_ROWS} use a token join")
-    dic = F.broadcast(dictionary.select(F.lower(F.col(term_col)).alias("_term"), F.col(term_col).alias("_label"),
-                                        F.col(rank_col).alias("_rank")))
-    hits = (df.select(*key_cols, F.lower(F.col(text_col)).alias("_text"))
-            .join(dic, F.col("_text").contains(F.col("_term")))
+    ready = dictionary.select(F.lower(F.col(term_col)).alias("_term"), F.col(term_col).alias("_label"),
+                              F.col(rank_col).alias("_rank"))
+    n = max(1, -(-dictionary.count() // SLICE_DICTIONARY_ROWS))
+    part = F.pmod(F.xxhash64("_term", "_rank"), F.lit(n))
+    slices = [F.broadcast(ready.where(part == k) if n > 1 else ready) for k in range(n)]
+    texts = df.select(*key_cols, F.lower(F.col(text_col)).alias("_text"))
+    hits = (reduce(DataFrame.unionByName, [texts.join(s, F.col("_text").contains(F.col("_term"))) for s in slices])
             .groupBy(*key_cols).agg(F.min_by("_label", "_rank").alias(out)))
     return df.join(hits, on=key_cols, how="left")
 
@@ -113,7 +115,7 @@ def turn_mentions(turns: DataFrame, text_col: str = "sentence", speaker_col: str
         hits.append(F.when(cond, F.struct(F.lit(name).alias("entity_name"), F.lit(kind).alias("entity_type"))))
     keep = ["meeting_id"] + ([speaker_col] if speaker_col else [])
     found = F.filter(F.array(*hits), lambda h: h.isNotNull())
-    return (spread(turns).select(*keep, F.explode(found).alias("_hit"))
+    return (turns.select(*keep, F.explode(found).alias("_hit"))
             .select(*keep, "_hit.entity_name", "_hit.entity_type")
             .distinct())
 

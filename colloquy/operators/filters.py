@@ -17,10 +17,16 @@ from .. import dictionaries as DICT
 from .ordering import global_top_k
 
 
+def like_pattern(needle: str) -> str:
+    """Pattern for ``ilike`` in which a backslash stands for itself."""
+    return "%" + needle.replace("\\", "\\\\") + "%"
+
+
 def _ilike_contains(c: str, needle: str) -> Column:
     """``c ILIKE '%needle%'``: case-insensitive, and '%' / '_' inside the
-    needle keep their wildcard meaning, as in the reference's SQL."""
-    return F.col(c).ilike(f"%{needle}%")
+    needle keep their wildcard meaning, as in the reference's SQL. A
+    backslash is an ordinary character there, so it is doubled here."""
+    return F.col(c).ilike(like_pattern(needle))
 
 
 def meeting_filters(search: str | None = None, call_type: str | None = None,

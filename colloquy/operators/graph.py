@@ -18,6 +18,7 @@ from .. import dictionaries as DICT
 from ..dictionaries import DEFAULT, Dictionaries
 from ..functions import classify as C
 from ..functions import text as X
+from .filters import like_pattern
 from .ordering import global_top_k
 
 # Rule numbers give the write order inside one meeting.
@@ -122,7 +123,7 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, query: str) -> tuple[DataF
     """ALG11 (JOI8, FIL9, SET2): seeds are nodes whose label contains the
     query (case-insensitive, wildcards kept); edges touching a seed; nodes =
     seeds plus the existing ends of those edges."""
-    seeds = nodes.filter(F.col("label").ilike(f"%{query}%")).select(F.col("id").alias("_sid"))
+    seeds = nodes.filter(F.col("label").ilike(like_pattern(query))).select(F.col("id").alias("_sid"))
     # one pass over the edges: each edge once per end, one semi-join, then
     # de-duplicate edges whose two ends are both seeds
     ends = edges.select("source", "target", "relation", F.explode(F.array("source", "target")).alias("_end"))

@@ -63,7 +63,8 @@ def meeting_detail(meetings: DataFrame, segments: DataFrame | None = None, actio
         out = out.unionByName(p)
     known = meetings.select("meeting_id")
     return (out.join(known, "meeting_id", "left_semi")
-            .orderBy("meeting_id", "section_order", "pos"))
+            # key moments go by their time, the other sections by position
+            .orderBy("meeting_id", "section_order", F.when(F.col("section") == "key_moments", F.col("time")), "pos"))
 
 
 def dashboard(meetings: DataFrame, topics: DataFrame, d: Dictionaries = DEFAULT) -> DataFrame:

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from ..dictionaries import DEFAULT, Dictionaries
 from ..operators.enrich import entities, turn_mentions
-from ..operators.layout import spread
 from ..operators.ordering import group_ordinals
 from .tables import read_table
 
@@ -132,9 +131,7 @@ def b5_topics(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _b6_documents(spark: SparkSession, root: str) -> DataFrame:
-    # one (spread) documents scan shared by the meetings and lines views, so
-    # a query using both reads and redistributes the text once
-    return spread(read_table(spark, root, "documents").select("doc_id", "text", "source"))
+    return read_table(spark, root, "documents").select("doc_id", "text", "source")
 
 
 def b6_meetings(spark: SparkSession, root: str) -> DataFrame:

@@ -88,10 +88,13 @@ def process_batch(spark: SparkSession, batch: DataFrame, epoch: int, out_dir: st
     files = files.withColumn("_k", F.row_number().over(latest)).filter(F.col("_k") == 1).drop("_k")
     status = BN.gate(files)
     if _exists(spark, status_path):
-        done = spark.read.parquet(status_path).filter(F.col("reason").isNull()).select("folder")
+        # an epoch that is run again must not see what its first run accepted
+        done = (spark.read.parquet(status_path).filter(F.col("reason").isNull() & (F.col("epoch") < epoch))
+                .select("folder"))
         status = status.join(done, "folder", "left_anti")
-    status.write.mode("overwrite").parquet(os.path.join(status_path, f"epoch={epoch}"))
-    status = spark.read.parquet(os.path.join(status_path, f"epoch={epoch}"))
+    work = os.path.join(out_dir, "_work", f"status-epoch={epoch}")
+    status.write.mode("overwrite").parquet(work)
+    status = spark.read.parquet(work)
     accepted = BN.accepted(files.drop("seen"), status)
     tables = build_tables(spark, accepted, d, work_dir=os.path.join(out_dir, "_work", f"epoch={epoch}"))
     for name, df in tables.items():
@@ -99,6 +102,8 @@ def process_batch(spark: SparkSession, batch: DataFrame, epoch: int, out_dir: st
     waiting = status.filter(F.col("reason").isNotNull()).select("folder")
     files.join(waiting, "folder", "left_semi").write.mode("overwrite").parquet(
         os.path.join(pending_root, f"epoch={epoch}"))
+    # last: a crash before this leaves the epoch as if it had not run
+    status.write.mode("overwrite").parquet(os.path.join(status_path, f"epoch={epoch}"))
 
 
 def start(spark: SparkSession, bundle_root: str, out_dir: str, checkpoint_location: str,

@@ -135,15 +135,6 @@ def test_approx_quartiles_close_to_exact(spark):
             assert abs(r[q] - exact[r.g][q]) < 0.01
 
 
-def test_spread_only_for_few_files(spark, tmp_path):
-    from colloquy.operators.layout import spread
-    one = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = str(tmp_path / "many")
-    spark.range(100).repartition(spark.sparkContext.defaultParallelism + 2).write.parquet(many)
-    assert "Repartition" not in spread(spark.read.parquet(many))._jdf.queryExecution().logical().toString()
-
-
 def test_scale_conf():
     from colloquy.session import scale_conf
     c = scale_conf(100 << 40, 8000)
@@ -151,20 +142,48 @@ def test_scale_conf():
     assert int(scale_conf(1 << 20, 8)["spark.sql.shuffle.partitions"]) == 24
 
 
-def test_spread_not_twice(spark):
-    from colloquy.operators.layout import spread
-    once = spread(spark.read.parquet(f"{SF_SMALL}/documents.parquet"))
-    twice = spread(once.select("doc_id", "text"))
-    assert twice._jdf.queryExecution().analyzed().toString().count("Repartition") == 1
-
-
-def test_dictionary_join_checks_size(spark, monkeypatch):
-    import pytest
+def test_dictionary_join_in_slices(spark, monkeypatch):
     from colloquy.operators import enrich as E
     m = spark.createDataFrame([(1, "Helix Data sync"), (2, "nothing")], "meeting_id int, title string")
     dic = spark.createDataFrame([("helix data", 0), ("sync", 1)], "term string, rank int")
     got = {r.meeting_id: r.match for r in E.dictionary_first_match(m, "title", dic, ["meeting_id"]).collect()}
     assert got == {1: "helix data", 2: None}
-    monkeypatch.setattr(E, "MAX_BROADCAST_DICTIONARY_ROWS", 1)
-    with pytest.raises(ValueError):
-        E.dictionary_first_match(m, "title", dic, ["meeting_id"])
+    monkeypatch.setattr(E, "SLICE_DICTIONARY_ROWS", 1)
+    again = {r.meeting_id: r.match for r in E.dictionary_first_match(m, "title", dic, ["meeting_id"]).collect()}
+    assert again == got
+
+
+def test_search_takes_backslashes_and_batches_of_any_size(spark, monkeypatch):
+    from colloquy.operators import filters as FL, graph as G, retrieval as R
+    titles = [(1, "C:\\temp files"), (2, "0\\% done"), (3, "plain 50% off"), (4, "tail \\")]
+    m = spark.createDataFrame([(i, t, "", "ok", 3.0, "External") for i, t in titles],
+                              "meeting_id long, title string, summary string, overall_sentiment string, sentiment_score double, call_type string")
+    lines = spark.createDataFrame([], "meeting_id long, turn_index int, sentence string, time double, speaker_name string, sentiment_type string")
+    want = {"C:\\temp": {1}, "0\\%": {2}, "\\": {1, 2, 4}, "50%": {3}, "PLAIN": {3}, "d_ne": {2}}
+    for needle, ids in want.items():
+        assert {r.meeting_id for r in m.filter(FL.meeting_filters(search=needle)).collect()} == ids
+    q = R.question_batch(spark, list(enumerate(want)))
+    for size in (100, 2):
+        monkeypatch.setattr(R, "SLICE_QUESTIONS", size)
+        got = {}
+        for r in R.search(m, lines, q)[0].collect():
+            got.setdefault(r.qid, set()).add(r.meeting_id)
+        assert got == dict(enumerate(want.values()))
+    nodes = m.select(F.col("meeting_id").cast("string").alias("id"), F.col("title").alias("label"), F.lit("Meeting").alias("type"))
+    edges = spark.createDataFrame([], "source string, target string, relation string")
+    assert {r.id for r in G.neighbourhood(nodes, edges, "C:\\temp")[0].collect()} == {"1"}
+
+
+def test_strip_ws_takes_unicode_blanks(spark):
+    from colloquy.functions import text as X
+    df = spark.createDataFrame([("\u00a0 a b\u2003",)], "t string")
+    assert df.select(X.strip_ws("t").alias("t")).first().t == "a b"
+
+
+def test_key_moments_by_time(spark):
+    from colloquy.plans import detail as D
+    m = spark.createDataFrame([("m", "t", "External", "ok", 3.0)], "meeting_id string, title string, call_type string, overall_sentiment string, sentiment_score double")
+    km = spark.createDataFrame([("m_km_0", "m", 12.0, "late", "praise", "s"), ("m_km_1", "m", 3.5, "early", "praise", "s")],
+                               "id string, meeting_id string, time double, text string, type string, speaker string")
+    got = D.meeting_detail(m, key_moments=km).collect()
+    assert [r.text for r in got if r.section == "key_moments"] == ["early", "late"]

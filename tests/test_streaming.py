@@ -38,3 +38,19 @@ def test_two_waves_match_batch_model(spark, tmp_path):
     status = {r.folder: r.reason for r in BS.read_status(spark, out).collect()}
     assert status["w1_late"] is None
     assert {f for f, r in status.items() if r} == {e[0] for e in errors}
+
+
+def test_an_epoch_run_again_keeps_its_meetings(spark, tmp_path, monkeypatch):
+    root, out = str(tmp_path / "in"), str(tmp_path / "out")
+    make_bundles(root)
+    from pyspark.sql import functions as F
+    files = (spark.read.option("wholetext", True).text(os.path.join(root, "*", "*.json"))
+             .select(F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1).alias("folder"),
+                     F.regexp_extract("_metadata.file_path", "([^/]+)$", 1).alias("file"), F.col("value").alias("text")))
+    BS.process_batch(spark, files, 0, out)
+    once = {n: rows(t) for n, t in BS.read_tables(spark, out).items()}
+    status = rows(BS.read_status(spark, out))
+    assert once["meetings"] and status
+    BS.process_batch(spark, files, 0, out)
+    assert {n: rows(t) for n, t in BS.read_tables(spark, out).items()} == once
+    assert rows(BS.read_status(spark, out)) == status
