@@ -2,10 +2,17 @@
 
 A line is the set of its lower-cased, blank-separated words. Words are put in
 one corpus-wide order, rarest first; two sets with Jaccard similarity ``t``
-share a word among the first ``n - ceil(t n) + 1`` of each, so only those
-prefixes are joined. Candidates pass a length, a positional and a bitmap
-filter and are verified on the whole sets. A line goes when an earlier line,
-by document id and line number, is that similar.
+share a word among the first ``n - ceil(t n) + 1`` of the larger and the first
+``n - ceil(2 t n / (1 + t)) + 1`` of the smaller, so only those prefixes are
+joined. Candidates pass a length, a positional and a bitmap filter and are
+verified on the whole sets. A line goes when an earlier line, by document id
+and line number, is that similar.
+
+One similar earlier line is enough for a line to go, so lines are first held
+against the earliest line that shares a mark (two of its extreme word hashes):
+at most ``MARKS`` comparisons each, which settles most of a large group of
+near copies. The prefix join then looks only at pairs with a line not settled
+so; what the marks miss, it finds.
 
 Everything is DataFrame code. Rarity comes from word counts over the whole
 corpus, kept in a table of fixed size (``RARITY_SLOTS``), so lines can be
@@ -26,8 +33,9 @@ THRESHOLD = 0.8
 RARITY_BITS = 17
 RARITY_SLOTS = 1 << RARITY_BITS
 # sets of so many words have two bitmaps, of half their words each
-WIDE = 90
-LONGEST = (1 << 17) - 1
+WIDE = 24
+LONGEST = (1 << 16) - 1
+MARKS = 3
 _EPS = 1e-9
 
 
@@ -82,62 +90,95 @@ def _half(codes: Column, odd: int) -> Column:
     return F.filter(codes, lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(1)) == odd)
 
 
+def _marks(codes: Column) -> Column:
+    """Hashes of pairs of a set's extreme word hashes, as in a bottom sketch:
+    similar sets mostly share one."""
+    low = F.sort_array(F.transform(codes, lambda c: c.bitwiseAND(F.lit((1 << 55) - 1))))
+    end = lambda k: F.try_element_at(low, F.lit(k))
+    return F.array(F.hash(F.lit(0), end(1), end(2)), F.hash(F.lit(1), end(-1), end(-2)), F.hash(F.lit(2), end(1), end(-1)))
+
+
 def line_classes(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Distinct word sets: ``h1, h2`` (128-bit identity), ``n`` words, the
-    first line that has it, copies, prefix and bitmap."""
+    first line that has it, prefix, marks and bitmaps."""
     n = F.size("codes")
     prefix = F.slice("codes", F.lit(1), n - F.ceil(n * F.lit(threshold) - _EPS).cast("int") + 1)
-    keyed = lines.select(F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit("line"), "codes").alias("h2"),
-                         F.struct("_uid", "_th", "pos").alias("at"), n.alias("n"),
-                         F.transform(prefix, lambda c: F.hash(c)).alias("prefix"),
-                         F.when(n < WIDE, _bitmap(F.col("codes"))).otherwise(_bitmap(_half("codes", 0))).alias("bits"),
-                         F.when(n < WIDE, F.lit(0).cast("bigint")).otherwise(_bitmap(_half("codes", 1))).alias("wide"))
-    return keyed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.first("n").alias("n"),
-                                         F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.first("wide").alias("wide")).where("n > 0")
+    carried = {"n": n, "prefix": F.transform(prefix, lambda c: F.hash(c)), "marks": _marks(F.col("codes")),
+               "bits": F.when(n < WIDE, _bitmap(F.col("codes"))).otherwise(_bitmap(_half("codes", 0))),
+               "wide": F.when(n < WIDE, F.lit(0).cast("bigint")).otherwise(_bitmap(_half("codes", 1)))}
+    keyed = lines.where(n > 0).select(F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit("line"), "codes").alias("h2"),
+                                      F.struct("_uid", "_th", "pos").alias("at"), *[c.alias(k) for k, c in carried.items()])
+    return keyed.groupBy("h1", "h2").agg(F.min("at").alias("first"), *[F.first(k).alias(k) for k in carried])
+
+
+def _may(na: Column, nb: Column, most: Column | None, threshold: float) -> Column:
+    """Length, positional (``most`` words can be shared) and bitmap filter of
+    sides ``a`` and ``b``. Parity bitmaps differ in no more bits than the sets
+    differ in words."""
+    need = F.lit(threshold / (1 + threshold)) * (na + nb) - _EPS
+    xor = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+    differ = F.when((na < WIDE) == (nb < WIDE), xor("a.bits", "b.bits") + xor("a.wide", "b.wide")).otherwise(
+        F.bit_count(F.col("a.bits").bitwiseXOR(F.col("a.wide")).bitwiseXOR(F.col("b.bits")).bitwiseXOR(F.col("b.wide"))))
+    passes = (F.least(na, nb) >= F.lit(threshold) * F.greatest(na, nb) - _EPS) & ((na + nb - differ) / 2 >= need)
+    return passes if most is None else passes & (most >= need)
+
+
+def _with_earliest(classes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of a class (``b``) with the earliest class of one of its marks
+    (``a``): at most MARKS pairs per class."""
+    keys = ["h1", "h2", "n", "first", "bits", "wide"]
+    marked = classes.select(*keys, F.explode("marks").alias("mark"))
+    heads = (marked.groupBy("mark").agg(F.min(F.struct("first", "h1", "h2", "n", "bits", "wide")).alias("head"), F.count("*").alias("size"))
+             .where("size > 1").select("mark", *[f"head.{k}" for k in keys]))
+    met = marked.alias("b").join(heads.alias("a"), (F.col("a.mark") == F.col("b.mark")) & F.expr("a.first < b.first")
+                                 & _may(F.col("a.n"), F.col("b.n"), None, threshold))
+    return met.select(*[F.col(f"{s}.{k}").alias(f"{s}{k.replace('h', '')}") for s in "ab" for k in ("h1", "h2", "n", "first")]).distinct()
 
 
 def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
     """Pairs of classes that pass the prefix, length, positional and bitmap
-    filters, each once. The joined rows carry what the filters need, so what
-    fails them is never shuffled.
+    filters, each once, whose later class is not ``settled``. The joined rows
+    carry what the filters need, so what fails them is never shuffled.
 
     A pair's rows are its shared prefix words. Of two prefixes, one ends
     first in the common order and meets no word behind the other, so the sets
     share at most these words and the longer rest; pairs that cannot reach the
     threshold so are left out before anything is fetched for them."""
-    # word hash, set size and position share one integer: sizes stop at
-    # LONGEST, and sets of that size pass the filters
+    # word hash, set size, position and whether the class is settled share one
+    # integer: sizes stop at LONGEST, and sets of that size pass the filters
     key = (F.shiftleft(F.col("tok").cast("bigint"), 32)
-           .bitwiseOR(F.shiftleft(F.least("n", F.lit(LONGEST)).cast("bigint"), 15))
-           .bitwiseOR(F.least("p", F.lit((1 << 15) - 1)).cast("bigint")))
-    rows = (classes.select("h1", "bits", "wide", "n", F.posexplode("prefix").alias("p", "tok"))
+           .bitwiseOR(F.shiftleft(F.least("n", F.lit(LONGEST)).cast("bigint"), 16))
+           .bitwiseOR(F.shiftleft(F.least("p", F.lit((1 << 15) - 1)).cast("bigint"), 1))
+           .bitwiseOR(F.col("settled").cast("bigint")))
+    rows = (classes.select("h1", "bits", "wide", "n", "settled", F.posexplode("prefix").alias("p", "tok"))
             .select(key.alias("key"), "h1", "bits", "wide"))
-    n = lambda s: F.shiftright(F.col(f"{s}.key"), 15).bitwiseAND(F.lit(LONGEST))
-    p = lambda s: F.col(f"{s}.key").bitwiseAND(F.lit((1 << 15) - 1))
-    total = n("a") + n("b")
-    need = F.lit(threshold / (1 + threshold)) * total - _EPS
+    n = lambda s: F.shiftright(F.col(f"{s}.key"), 16).bitwiseAND(F.lit(LONGEST))
+    p = lambda s: F.shiftright(F.col(f"{s}.key"), 1).bitwiseAND(F.lit((1 << 15) - 1))
+    # words of a prefix's set behind it: a is the larger set, b the smaller
+    rest_a = F.ceil(n("a") * F.lit(threshold) - _EPS) - 1
+    rest_b = F.ceil(n("b") * F.lit(2 * threshold / (1 + threshold)) - _EPS) - 1
     # words before this shared one may all be shared too, words after likewise
     most = F.least(p("a"), p("b")) + F.least(n("a") - p("a"), n("b") - p("b"))
-    differ = F.when((n("a") < WIDE) == (n("b") < WIDE),
-                    F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
-                    + F.bit_count(F.col("a.wide").bitwiseXOR(F.col("b.wide")))).otherwise(
-        F.bit_count(F.col("a.bits").bitwiseXOR(F.col("a.wide")).bitwiseXOR(F.col("b.bits")).bitwiseXOR(F.col("b.wide"))))
-    may = ((F.least(n("a"), n("b")) >= F.lit(threshold) * F.greatest(n("a"), n("b")) - _EPS)
-           & (most >= need) & ((total - differ) / 2 >= need)) | (F.greatest(n("a"), n("b")) == LONGEST)
-    rest = lambda s: F.ceil(n(s) * F.lit(threshold) - _EPS) - 1
-    pairs = (rows.alias("a").join(rows.alias("b"), F.expr("a.key >> 32 = b.key >> 32 AND a.h1 < b.h1") & may)
+    long = n("a") == LONGEST
+    may = long | ((p("b") < n("b") - rest_b) & _may(n("a"), n("b"), most, threshold))
+    need = F.lit(threshold / (1 + threshold)) * (n("a") + n("b")) - _EPS
+    on = F.expr("a.key >> 32 = b.key >> 32 AND (a.key & b.key & 1) = 0") & (
+        (n("a") > n("b")) | ((n("a") == n("b")) & F.expr("a.h1 < b.h1"))) & may
+    pairs = (rows.alias("a").join(rows.alias("b"), on)
              .groupBy(F.col("a.h1").alias("a1"), F.col("b.h1").alias("b1"))
-             .agg(F.count("*").alias("met"), F.max(F.when(F.greatest(n("a"), n("b")) == LONGEST, F.lit(0.0)).otherwise(
-                 need - F.greatest(rest("a"), rest("b")))).alias("least"))
+             .agg(F.count("*").alias("met"), F.max(F.when(long, F.lit(0.0)).otherwise(need - F.greatest(rest_a, rest_b))).alias("least"))
              .where("met >= least").select("a1", "b1"))
-    side = lambda s: classes.select(
-        F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("n").alias(f"{s}n"), F.col("first").alias(f"{s}first"))
-    return pairs.join(side("a"), "a1").join(side("b"), "b1").select("a1", "a2", "b1", "b2", "an", "bn", "afirst", "bfirst")
+    side = lambda s: classes.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("n").alias(f"{s}n"),
+                                    F.col("first").alias(f"{s}first"), F.col("settled").alias(f"{s}settled"))
+    return (pairs.join(side("a"), "a1").join(side("b"), "b1")
+            .where("NOT CASE WHEN afirst < bfirst THEN bsettled ELSE asettled END")
+            .select("a1", "a2", "b1", "b2", "an", "bn", "afirst", "bfirst"))
 
 
-def similar_classes(docs: DataFrame, ranks: Column, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified pairs ``a1, a2, b1, b2, afirst, bfirst, shared, jaccard``."""
-    cand = keep(_candidates(classes, threshold))
+def verified(docs: DataFrame, ranks: Column, candidates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Similar pairs ``a1, a2, b1, b2, afirst, bfirst, shared, jaccard`` among
+    ``candidates``, by their whole sets."""
+    cand = keep(candidates)
     ends = (cand.select(F.explode(F.array(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.col("afirst").alias("first")),
                                           F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"), F.col("bfirst").alias("first")))).alias("e"))
             .select("e.h1", "e.h2", "e.first._uid", "e.first._th", "e.first.pos").distinct())
@@ -153,17 +194,24 @@ def similar_classes(docs: DataFrame, ranks: Column, classes: DataFrame, threshol
             .select("a1", "a2", "b1", "b2", "afirst", "bfirst", "shared", "jaccard"))
 
 
+def _later(pairs: DataFrame) -> DataFrame:
+    """``h1, h2`` of the later class of each pair, each once."""
+    later = F.when(F.col("afirst") < F.col("bfirst"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).otherwise(
+        F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")))
+    return pairs.select(later.alias("e")).select("e.h1", "e.h2").distinct()
+
+
 def kept_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``_uid, _th, kept``: sorted numbers of the lines of each document that
     have words and match no earlier line."""
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     ranks = rarity(slim)
     classes = keep(line_classes(line_rows(slim, ranks), threshold))
-    pairs = similar_classes(slim, ranks, classes, threshold)
-    later = F.when(F.col("afirst") < F.col("bfirst"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).otherwise(
-        F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")))
-    gone = pairs.select(later.alias("e")).select("e.h1", "e.h2").distinct()
-    return (classes.join(gone, ["h1", "h2"], "left_anti").select("first.*")
+    settled = keep(_later(verified(slim, ranks, _with_earliest(classes, threshold), threshold)))
+    known = (classes.drop("marks").join(settled.withColumn("settled", F.lit(True)), ["h1", "h2"], "left")
+             .withColumn("settled", F.coalesce("settled", F.lit(False))))
+    found = _later(verified(slim, ranks, _candidates(known, threshold), threshold))
+    return (known.where(~F.col("settled")).join(found, ["h1", "h2"], "left_anti").select("first.*")
             .groupBy("_uid", "_th").agg(F.sort_array(F.collect_list("pos")).alias("kept")))
 
 
