@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.session import cut_lineage
+from colloquy.session import checkpoint_dir
 
 NO_ID = -(1 << 63)
 
@@ -15,8 +17,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Materialise in the cluster's shared checkpoint folder."""
-    return cut_lineage(df)
+    """Write to the cluster's shared checkpoint folder and read from there:
+    compressed, and later readers take only the columns they need."""
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark)}/kept-{uuid.uuid4()}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:

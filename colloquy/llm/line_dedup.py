@@ -32,8 +32,8 @@ from .common import keep, only_needed, row_key
 THRESHOLD = 0.8
 RARITY_BITS = 17
 RARITY_SLOTS = 1 << RARITY_BITS
-# sets of so many words have two bitmaps, of half their words each
-WIDE = 24
+# the bitmap of a set of so many words is of half of them
+WIDE = 90
 LONGEST = (1 << 16) - 1
 MARKS = 3
 _EPS = 1e-9
@@ -100,39 +100,40 @@ def _marks(codes: Column) -> Column:
 
 def line_classes(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Distinct word sets: ``h1, h2`` (128-bit identity), ``n`` words, the
-    first line that has it, prefix, marks and bitmaps."""
+    first line that has it, prefix, marks and bitmap."""
     n = F.size("codes")
     prefix = F.slice("codes", F.lit(1), n - F.ceil(n * F.lit(threshold) - _EPS).cast("int") + 1)
     carried = {"n": n, "prefix": F.transform(prefix, lambda c: F.hash(c)), "marks": _marks(F.col("codes")),
-               "bits": F.when(n < WIDE, _bitmap(F.col("codes"))).otherwise(_bitmap(_half("codes", 0))),
-               "wide": F.when(n < WIDE, F.lit(0).cast("bigint")).otherwise(_bitmap(_half("codes", 1)))}
+               "bits": _bitmap(F.when(n < WIDE, F.col("codes")).otherwise(_half("codes", 0)))}
     keyed = lines.where(n > 0).select(F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit("line"), "codes").alias("h2"),
                                       F.struct("_uid", "_th", "pos").alias("at"), *[c.alias(k) for k, c in carried.items()])
     return keyed.groupBy("h1", "h2").agg(F.min("at").alias("first"), *[F.first(k).alias(k) for k in carried])
 
 
-def _may(na: Column, nb: Column, most: Column | None, threshold: float) -> Column:
-    """Length, positional (``most`` words can be shared) and bitmap filter of
-    sides ``a`` and ``b``. Parity bitmaps differ in no more bits than the sets
-    differ in words."""
+def _may(na: Column, nb: Column, bits_a: str, bits_b: str, threshold: float) -> Column:
+    """Length and bitmap filter. Parity bitmaps of a kind differ in no more
+    bits than the sets differ in words."""
     need = F.lit(threshold / (1 + threshold)) * (na + nb) - _EPS
-    xor = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
-    differ = F.when((na < WIDE) == (nb < WIDE), xor("a.bits", "b.bits") + xor("a.wide", "b.wide")).otherwise(
-        F.bit_count(F.col("a.bits").bitwiseXOR(F.col("a.wide")).bitwiseXOR(F.col("b.bits")).bitwiseXOR(F.col("b.wide"))))
-    passes = (F.least(na, nb) >= F.lit(threshold) * F.greatest(na, nb) - _EPS) & ((na + nb - differ) / 2 >= need)
-    return passes if most is None else passes & (most >= need)
+    differ = F.when((na < WIDE) == (nb < WIDE), F.bit_count(F.col(bits_a).bitwiseXOR(F.col(bits_b)))).otherwise(0)
+    return (F.least(na, nb) >= F.lit(threshold) * F.greatest(na, nb) - _EPS) & ((na + nb - differ) / 2 >= need)
+
+
+def _side(classes: DataFrame, s: str, *more: str) -> DataFrame:
+    """The columns of a pair's side, ``h1`` as ``a1`` and so on."""
+    return classes.select(*[F.col(k).alias(s + k.removeprefix("h")) for k in ("h1", "h2", "n", "first", *more)])
 
 
 def _with_earliest(classes: DataFrame, threshold: float) -> DataFrame:
     """Pairs of a class (``b``) with the earliest class of one of its marks
-    (``a``): at most MARKS pairs per class."""
-    keys = ["h1", "h2", "n", "first", "bits", "wide"]
-    marked = classes.select(*keys, F.explode("marks").alias("mark"))
-    heads = (marked.groupBy("mark").agg(F.min(F.struct("first", "h1", "h2", "n", "bits", "wide")).alias("head"), F.count("*").alias("size"))
-             .where("size > 1").select("mark", *[f"head.{k}" for k in keys]))
-    met = marked.alias("b").join(heads.alias("a"), (F.col("a.mark") == F.col("b.mark")) & F.expr("a.first < b.first")
-                                 & _may(F.col("a.n"), F.col("b.n"), None, threshold))
-    return met.select(*[F.col(f"{s}.{k}").alias(f"{s}{k.replace('h', '')}") for s in "ab" for k in ("h1", "h2", "n", "first")]).distinct()
+    (``a``): at most MARKS pairs per class. Only keys are shuffled by mark."""
+    marked = classes.select("h1", F.col("first._uid").alias("uid"), F.explode("marks").alias("mark"))
+    heads = (marked.groupBy("mark").agg(F.min("uid").alias("uid"), F.count("*").alias("size")).where("size > 1").select("mark", "uid"))
+    shared = keep(marked.join(heads.withColumnRenamed("uid", "least"), "mark"))
+    heads = shared.where("uid = least").groupBy("mark").agg(F.min("h1").alias("a1"))
+    met = shared.select("mark", F.col("h1").alias("b1")).join(heads, "mark").where("a1 <> b1").select("a1", "b1").distinct()
+    pairs = met.join(_side(classes, "a", "bits"), "a1").join(_side(classes, "b", "bits"), "b1")
+    return (pairs.where(F.expr("afirst < bfirst") & _may(F.col("an"), F.col("bn"), "abits", "bbits", threshold))
+            .select("a1", "a2", "b1", "b2", "an", "bn", "afirst", "bfirst"))
 
 
 def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
@@ -150,8 +151,8 @@ def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
            .bitwiseOR(F.shiftleft(F.least("n", F.lit(LONGEST)).cast("bigint"), 16))
            .bitwiseOR(F.shiftleft(F.least("p", F.lit((1 << 15) - 1)).cast("bigint"), 1))
            .bitwiseOR(F.col("settled").cast("bigint")))
-    rows = (classes.select("h1", "bits", "wide", "n", "settled", F.posexplode("prefix").alias("p", "tok"))
-            .select(key.alias("key"), "h1", "bits", "wide"))
+    rows = (classes.select("h1", "bits", "n", "settled", F.posexplode("prefix").alias("p", "tok"))
+            .select(key.alias("key"), "h1", "bits"))
     n = lambda s: F.shiftright(F.col(f"{s}.key"), 16).bitwiseAND(F.lit(LONGEST))
     p = lambda s: F.shiftright(F.col(f"{s}.key"), 1).bitwiseAND(F.lit((1 << 15) - 1))
     # words of a prefix's set behind it: a is the larger set, b the smaller
@@ -160,17 +161,15 @@ def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
     # words before this shared one may all be shared too, words after likewise
     most = F.least(p("a"), p("b")) + F.least(n("a") - p("a"), n("b") - p("b"))
     long = n("a") == LONGEST
-    may = long | ((p("b") < n("b") - rest_b) & _may(n("a"), n("b"), most, threshold))
     need = F.lit(threshold / (1 + threshold)) * (n("a") + n("b")) - _EPS
+    may = long | ((p("b") < n("b") - rest_b) & (most >= need) & _may(n("a"), n("b"), "a.bits", "b.bits", threshold))
     on = F.expr("a.key >> 32 = b.key >> 32 AND (a.key & b.key & 1) = 0") & (
         (n("a") > n("b")) | ((n("a") == n("b")) & F.expr("a.h1 < b.h1"))) & may
     pairs = (rows.alias("a").join(rows.alias("b"), on)
              .groupBy(F.col("a.h1").alias("a1"), F.col("b.h1").alias("b1"))
              .agg(F.count("*").alias("met"), F.max(F.when(long, F.lit(0.0)).otherwise(need - F.greatest(rest_a, rest_b))).alias("least"))
              .where("met >= least").select("a1", "b1"))
-    side = lambda s: classes.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("n").alias(f"{s}n"),
-                                    F.col("first").alias(f"{s}first"), F.col("settled").alias(f"{s}settled"))
-    return (pairs.join(side("a"), "a1").join(side("b"), "b1")
+    return (pairs.join(_side(classes, "a", "settled"), "a1").join(_side(classes, "b", "settled"), "b1")
             .where("NOT CASE WHEN afirst < bfirst THEN bsettled ELSE asettled END")
             .select("a1", "a2", "b1", "b2", "an", "bn", "afirst", "bfirst"))
 
