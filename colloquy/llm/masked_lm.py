@@ -2,9 +2,13 @@
 
 A network trained in numpy predicts every word from a window on both sides
 of it; a document's score is the sum of the log-probabilities of its words.
-The vocabulary comes from counts over the whole corpus. Training passes over
-every partition of the corpus: each trains a copy on its own words and the
-copies are averaged, row by row, by Spark.
+The vocabulary comes from counts over the whole corpus. A word's class is
+told by a binary tree, a step per bit, so a word costs as many products as
+the tree is deep instead of one per class.
+
+Training takes windows from every text, writes them once, dealt evenly over
+trainers whose number follows the corpus; each trains a copy on its share and
+the copies are averaged, row by row, by Spark.
 """
 
 from __future__ import annotations
@@ -15,14 +19,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep
 
 FREQUENT = 384  # commonest words, each a class of its own
 OTHER = 127  # classes for the other words, by hash
 CLASSES = FREQUENT + OTHER + 1  # and one for the places outside a text
 OUTSIDE = CLASSES - 1
+DEPTH = (CLASSES - 1).bit_length()  # steps of the tree
 SIDE = 2  # words seen on either side
 WIDTH = 24
 ROUNDS = 2
@@ -30,6 +37,8 @@ ROUNDS = 2
 STRIDE = 16
 BATCH = 512
 RATE = 0.15
+BLOCK = 512  # windows in a row of the training table
+TRAINER_BLOCKS = 512  # rows of that table per trainer, about
 CACHE_WORDS = 400_000
 
 
@@ -55,17 +64,30 @@ class _Classes(dict):
         return np.array(list(map(self.__getitem__, words)), dtype=np.int64)
 
 
-def windows(ids: np.ndarray) -> np.ndarray:
-    """Context of each word: SIDE words before and after it."""
+def windows(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Words from SIDE before to SIDE after the places ``at``: one row per
+    place, the word itself in the middle."""
     edge = np.full(SIDE, OUTSIDE)
     wide = np.concatenate([edge, ids, edge])
-    return np.stack([wide[k:k + len(ids)] for k in range(2 * SIDE + 1) if k != SIDE], axis=1)
+    return np.stack([wide[at + k] for k in range(2 * SIDE + 1)], axis=1)
+
+
+def _tree() -> tuple[np.ndarray, np.ndarray]:
+    """Nodes on the way to each class, and the turn (-1 or 1) taken there."""
+    step = np.arange(DEPTH)
+    code = np.arange(CLASSES)[:, None]
+    nodes = (1 << step) - 1 + (code >> (DEPTH - step))
+    return nodes, (2 * ((code >> (DEPTH - 1 - step)) & 1) - 1).astype(np.float32)
+
+
+NODES, TURNS = _tree()
+N_NODES = (1 << DEPTH) - 1
 
 
 @dataclass
 class Network:
-    """``near``: an embedding per place and class; ``out``: a row per class;
-    ``bias``: of the hidden layer (first row) and of the classes."""
+    """``near``: an embedding per place and class; ``out`` and ``bias``: of
+    the nodes of the tree; ``hidden``: bias of the hidden layer."""
 
     near: np.ndarray
     out: np.ndarray
@@ -76,30 +98,32 @@ class Network:
     def start(seed: int = 5) -> Network:
         rng = np.random.default_rng(seed)
         near = rng.normal(0, 0.1, (2 * SIDE, CLASSES, WIDTH)).astype(np.float32)
-        out = rng.normal(0, 0.1, (CLASSES, WIDTH)).astype(np.float32)
-        return Network(near, out, np.zeros(CLASSES, np.float32), np.zeros(WIDTH, np.float32))
+        out = rng.normal(0, 0.1, (N_NODES, WIDTH)).astype(np.float32)
+        return Network(near, out, np.zeros(N_NODES, np.float32), np.zeros(WIDTH, np.float32))
 
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mix = self.hidden + self.near[0][context[:, 0]]
-        for k in range(1, 2 * SIDE):
-            mix = mix + self.near[k][context[:, k]]
+    def forward(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hidden layer, the steps' outputs (turned so that more is likelier)
+        and the nodes' rows."""
+        mix = np.repeat(self.hidden[None], len(window), axis=0)
+        for k in range(2 * SIDE):
+            mix += self.near[k][window[:, k + (k >= SIDE)]]
         h = np.tanh(mix)
-        logits = h @ self.out.T + self.bias
-        logits -= logits.max(axis=1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-        return h, logits
-
-    def learn(self, context: np.ndarray, target: np.ndarray) -> None:
-        h, log_p = self.forward(context)
-        d = np.exp(log_p)
-        d[np.arange(len(target)), target] -= 1
+        target = window[:, SIDE]
+        rows = self.out[NODES[target]]
+        z = (np.einsum("nlk,nk->nl", rows, h) + self.bias[NODES[target]]) * TURNS[target]
+        return h, z, rows
+
+    def learn(self, window: np.ndarray) -> None:
+        h, z, rows = self.forward(window)
+        target = window[:, SIDE]
+        d = TURNS[target] / (1 + np.exp(np.clip(z, -30, 30)))
         step = RATE / len(target) ** 0.5
-        back = (d @ self.out) * (1 - h * h)
-        self.out -= step * (d.T @ h)
-        self.bias -= step * d.sum(axis=0)
-        self.hidden -= step * back.sum(axis=0)
+        back = np.einsum("nl,nlk->nk", d, rows) * (1 - h * h)
+        np.add.at(self.out, NODES[target].ravel(), (step * d[:, :, None] * h[:, None, :]).reshape(-1, WIDTH))
+        np.add.at(self.bias, NODES[target].ravel(), step * d.ravel())
+        self.hidden += step * back.sum(axis=0)
         for k in range(2 * SIDE):
-            np.subtract.at(self.near[k], context[:, k], step * back)
+            np.add.at(self.near[k], window[:, k + (k >= SIDE)], step * back)
 
     def rows(self) -> np.ndarray:
         """All parameters as rows of WIDTH numbers."""
@@ -109,68 +133,92 @@ class Network:
     @staticmethod
     def of_rows(rows: np.ndarray) -> Network:
         flat = rows.astype(np.float32).ravel()
-        sizes = np.cumsum([2 * SIDE * CLASSES * WIDTH, CLASSES * WIDTH, CLASSES, WIDTH])
+        sizes = np.cumsum([2 * SIDE * CLASSES * WIDTH, N_NODES * WIDTH, N_NODES, WIDTH])
         near, out, bias, hidden = np.split(flat[:sizes[-1]], sizes[:-1])
-        return Network(near.reshape(2 * SIDE, CLASSES, WIDTH), out.reshape(CLASSES, WIDTH), bias, hidden)
+        return Network(near.reshape(2 * SIDE, CLASSES, WIDTH), out.reshape(N_NODES, WIDTH), bias, hidden)
 
     def log_likelihood(self, ids: np.ndarray) -> float:
         total = 0.0
-        context = windows(ids)
-        for at in range(0, len(ids), 4096):
-            _, log_p = self.forward(context[at:at + 4096])
-            part = ids[at:at + 4096]
-            total += float(log_p[np.arange(len(part)), part].sum())
+        edge = np.full(SIDE, OUTSIDE)
+        wide = np.concatenate([edge, ids, edge])
+        for at in range(0, len(ids), 2048):
+            _, z, _ = self.forward(np.lib.stride_tricks.sliding_window_view(wide[at:at + 2048 + 2 * SIDE], 2 * SIDE + 1))
+            total -= float(np.log1p(np.exp(-np.clip(z, -30, 30))).sum(dtype=np.float64))
         return total
 
 
+def _plain(text: str) -> Column:
+    """Lower-cased text with blanks for tabs and line ends."""
+    return F.translate(F.lower(F.col(text).cast("string")), "\t\n\r", "   ")
+
+
 def vocabulary(docs: DataFrame) -> list[str]:
     """The FREQUENT commonest words of all texts, counted over the corpus."""
-    words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), "\\s+")).alias("w")).where("w <> ''")
+    words = docs.select(F.explode(F.split(_plain("text"), " ")).alias("w")).where("w <> ''")
     return [r["w"] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(FREQUENT).collect()]
 
 
+def training_windows(docs: DataFrame, sent: Broadcast, rounds: int) -> DataFrame:
+    """``turn, window``: every STRIDE-th window of every text for each round,
+    BLOCK of them in a row (16-bit numbers), written once to the shared folder
+    and dealt evenly, so no trainer gets a long text whole."""
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        classes = _known(sent.value)
+        held: list[list[np.ndarray]] = [[] for _ in range(rounds)]
+
+        def emptied(turn: int) -> Iterator[pd.DataFrame]:
+            if held[turn]:
+                all_of_turn = np.concatenate(held[turn]).astype(np.uint16)
+                held[turn] = []
+                rows = [all_of_turn[k:k + BLOCK].tobytes() for k in range(0, len(all_of_turn), BLOCK)]
+                yield pd.DataFrame({"turn": turn, "window": rows})
+
+        for batch in batches:
+            for text in batch["text"].tolist():
+                ids = classes.of(text)
+                for turn in range(rounds):
+                    first = (zlib.crc32(str(len(ids)).encode()) + turn * STRIDE // max(1, rounds)) % STRIDE
+                    some = np.arange(min(first, max(0, len(ids) - 1)), len(ids), STRIDE)
+                    if len(some):
+                        held[turn].append(windows(ids, some))
+                    if sum(map(len, held[turn])) >= BLOCK * 8:
+                        yield from emptied(turn)
+        for turn in range(rounds):
+            yield from emptied(turn)
+
+    rows = keep(docs.select(F.col("text").cast("string").alias("text")).mapInPandas(cut, "turn int, window binary"))
+    trainers = -(-rows.count() // TRAINER_BLOCKS) or 1
+    return keep(rows.repartition(trainers, F.xxhash64("window")))
+
+
 def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[str], Network]:
     """The vocabulary and the averaged network. Every text gives targets;
-    a partition's copy weighs by the targets it saw. The driver receives one
+    a trainer's copy weighs by the targets it saw. The driver receives one
     average per parameter row, whatever the corpus."""
     spark = docs.sparkSession
     frequent = vocabulary(docs)
+    table = training_windows(docs, spark.sparkContext.broadcast(frequent), rounds)
     net = Network.start()
     fields = ", ".join(f"v{k} double" for k in range(WIDTH))
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast((frequent, net))
-
-        def learn(batches: Iterator[pd.DataFrame], sent=sent, turn=turn) -> Iterator[pd.DataFrame]:
-            words, start = sent.value
-            classes = _Classes(words)
-            own = Network.of_rows(start.rows())
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-            size = seen = 0
+        sent = spark.sparkContext.broadcast(net)
+
+        def learn(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            own = Network.of_rows(sent.value.rows())
+            seen = 0
             for batch in batches:
-                for text in batch["text"].tolist():
-                    ids = classes.of(text)
-                    first = (zlib.crc32(str(len(ids)).encode()) + turn * STRIDE // max(1, rounds)) % STRIDE
-                    some = np.arange(min(first, max(0, len(ids) - 1)), len(ids), STRIDE)
-                    if not len(some):
-                        continue
-                    held.append((windows(ids)[some], ids[some]))
-                    size += len(some)
-                    if size >= BATCH:
-                        context, target = (np.concatenate(x) for x in zip(*held))
-                        for at in range(0, len(target), BATCH):
-                            own.learn(context[at:at + BATCH], target[at:at + BATCH])
-                        seen += size
-                        held, size = [], 0
-            if size:
-                own.learn(*(np.concatenate(x) for x in zip(*held)))
-                seen += size
+                for block in batch["window"].tolist():
+                    window = np.frombuffer(block, np.uint16).reshape(-1, 2 * SIDE + 1).astype(np.int64)
+                    for at in range(0, len(window), BATCH):
+                        own.learn(window[at:at + BATCH])
+                    seen += len(window)
             rows = own.rows()
             out = pd.DataFrame(rows.astype(np.float64), columns=[f"v{k}" for k in range(WIDTH)])
             out.insert(0, "weight", float(seen))
             out.insert(0, "row", np.arange(len(rows)))
             yield out if seen else out.iloc[:0]
 
-        copies = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(learn, f"row int, weight double, {fields}")
+        copies = table.where(F.col("turn") == turn).select("window").mapInPandas(learn, f"row int, weight double, {fields}")
         mean = [(F.sum(F.col(f"v{k}") * F.col("weight")) / F.sum("weight")).alias(f"v{k}") for k in range(WIDTH)]
         averaged = copies.groupBy("row").agg(*mean).orderBy("row").toPandas()  # one row per parameter row
         if not len(averaged):
