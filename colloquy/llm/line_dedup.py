@@ -90,11 +90,10 @@ def _half(codes: Column, odd: int) -> Column:
     return F.filter(codes, lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(1)) == odd)
 
 
-def _marks(codes: Column) -> Column:
+def _marks(low: str) -> Column:
     """Hashes of pairs of a set's extreme word hashes, as in a bottom sketch:
-    similar sets mostly share one."""
-    low = F.sort_array(F.transform(codes, lambda c: c.bitwiseAND(F.lit((1 << 55) - 1))))
-    end = lambda k: F.try_element_at(low, F.lit(k))
+    similar sets mostly share one. ``low``: the sorted word hashes."""
+    end = lambda k: F.try_element_at(F.col(low), F.lit(k))
     return F.array(F.hash(F.lit(0), end(1), end(2)), F.hash(F.lit(1), end(-1), end(-2)), F.hash(F.lit(2), end(1), end(-1)))
 
 
@@ -103,9 +102,10 @@ def line_classes(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first line that has it, prefix, marks and bitmap."""
     n = F.size("codes")
     prefix = F.slice("codes", F.lit(1), n - F.ceil(n * F.lit(threshold) - _EPS).cast("int") + 1)
-    carried = {"n": n, "prefix": F.transform(prefix, lambda c: F.hash(c)), "marks": _marks(F.col("codes")),
+    carried = {"n": n, "prefix": F.transform(prefix, lambda c: F.hash(c)), "marks": _marks("low"),
                "bits": _bitmap(F.when(n < WIDE, F.col("codes")).otherwise(_half("codes", 0)))}
-    keyed = lines.where(n > 0).select(F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit("line"), "codes").alias("h2"),
+    low = F.sort_array(F.transform("codes", lambda c: c.bitwiseAND(F.lit((1 << 55) - 1))))
+    keyed = lines.where(n > 0).withColumn("low", low).select(F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit("line"), "codes").alias("h2"),
                                       F.struct("_uid", "_th", "pos").alias("at"), *[c.alias(k) for k, c in carried.items()])
     return keyed.groupBy("h1", "h2").agg(F.min("at").alias("first"), *[F.first(k).alias(k) for k in carried])
 
@@ -182,8 +182,9 @@ def verified(docs: DataFrame, ranks: Column, candidates: DataFrame, threshold: f
                                           F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"), F.col("bfirst").alias("first")))).alias("e"))
             .select("e.h1", "e.h2", "e.first._uid", "e.first._th", "e.first.pos").distinct())
     lines = docs.select(*row_key(), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    sets = keep(only_needed(lines, ends, ["_uid", "_th", "pos"])
-                .select("h1", "h2", _ordered(F.col("line"), ranks).alias("codes")).dropDuplicates(["h1", "h2"]))
+    # both sides read the one exchange by (h1, h2)
+    sets = (only_needed(lines, ends, ["_uid", "_th", "pos"])
+            .select("h1", "h2", _ordered(F.col("line"), ranks).alias("codes")).dropDuplicates(["h1", "h2"]))
     side = lambda s: sets.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("codes").alias(f"{s}codes"))
     shared = F.size(F.array_intersect("acodes", "bcodes"))
     return (cand.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
