@@ -39,11 +39,15 @@ MARKS = 3
 _EPS = 1e-9
 
 
-def _hashes(text: Column) -> Column:
-    """Hashes of the lower-cased words between blanks, tabs and carriage
-    returns. Splitting at one character needs no pattern matching."""
+def _words(text: Column) -> Column:
+    """The lower-cased words between blanks, tabs and carriage returns, and
+    empty strings. Splitting at one character needs no pattern matching."""
     spaced = F.replace(F.replace(text, F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
-    return F.array_remove(F.transform(F.split(F.lower(spaced), " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    return F.split(F.lower(spaced), " ")
+
+
+def _hashes(text: Column) -> Column:
+    return F.array_remove(F.transform(_words(text), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
 
 def rarity(docs: DataFrame, text: str = "text") -> Column:
@@ -51,7 +55,7 @@ def rarity(docs: DataFrame, text: str = "text") -> Column:
     octave each, as a constant array column: the class of slot ``s`` at
     index ``s``."""
     lines = F.replace(F.col(text).cast("string"), F.lit("\n"), F.lit(" "))
-    counts = (docs.select(F.explode(_hashes(lines)).alias("h")).select(_slot(F.col("h")).alias("slot"))
+    counts = (docs.select(F.explode(_words(lines)).alias("w")).where("w <> ''").select(_slot(F.xxhash64("w")).alias("slot"))
               .groupBy("slot").agg(F.count("*").alias("n")).collect())  # at most RARITY_SLOTS rows
     classes = [0] * RARITY_SLOTS
     for row in counts:
@@ -74,8 +78,8 @@ def _ordered(line: Column, classes: Column) -> Column:
 
 
 def line_rows(docs: DataFrame, ranks: Column) -> DataFrame:
-    """One row per line: ``_uid, _th, pos, codes``; no codes without words."""
-    lines = docs.select(*row_key(), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """One row per line with words: ``_uid, _th, pos, codes``."""
+    lines = docs.select(*row_key(), F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line", F.lit(" \t\r")) != "")
     return lines.select("_uid", "_th", "pos", _ordered(F.col("line"), ranks).alias("codes"))
 
 
@@ -105,8 +109,8 @@ def line_classes(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     carried = {"n": n, "prefix": F.transform(prefix, lambda c: F.hash(c)), "marks": _marks("low"),
                "bits": _bitmap(F.when(n < WIDE, F.col("codes")).otherwise(_half("codes", 0)))}
     low = F.sort_array(F.transform("codes", lambda c: c.bitwiseAND(F.lit((1 << 55) - 1))))
-    keyed = lines.where(n > 0).withColumn("low", low).select(F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit("line"), "codes").alias("h2"),
-                                      F.struct("_uid", "_th", "pos").alias("at"), *[c.alias(k) for k, c in carried.items()])
+    keyed = lines.withColumn("low", low).select(F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit("line"), "codes").alias("h2"),
+                                                F.struct("_uid", "_th", "pos").alias("at"), *[c.alias(k) for k, c in carried.items()])
     return keyed.groupBy("h1", "h2").agg(F.min("at").alias("first"), *[F.first(k).alias(k) for k in carried])
 
 
