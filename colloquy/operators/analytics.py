@@ -94,11 +94,11 @@ def churn_index(meetings: DataFrame, stats: DataFrame, competitors: DataFrame) -
 
     round(0.4*100*(5-score)/4 + 0.3*100*neg/total + 20*[competitors>0]
     + 10*[keyword hits>0], 1) with missing turn stats read as 0 / 1 / 0 and a
-    NULL score giving NULL.
+    NULL score giving NULL. Host and organizer are carried where known.
     """
     m = meetings.filter(F.col("call_type") != "Internal")
     j = (m.join(stats, "meeting_id", "left").join(competitors, "meeting_id", "left")
-         .select("meeting_id", "title", "overall_sentiment", "sentiment_score",
+         .select("meeting_id", "title", *[c for c in ("host", "organizer_email") if c in m.columns], "overall_sentiment", "sentiment_score",
                  F.coalesce("risk_keyword_count", F.lit(0)).cast("long").alias("risk_keywords"),
                  F.coalesce("negative_sentences", F.lit(0)).cast("long").alias("negative_sentences"),
                  F.coalesce("total_sentences", F.lit(1)).cast("long").alias("total_sentences"),
@@ -154,12 +154,12 @@ def count_by(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("count"))
 
 
-def share_by(df: DataFrame, key: str) -> DataFrame:
-    """AGG4 (WIN5): whole-percent share of each group; the total is a window
-    over the already aggregated groups."""
+def share_by(df: DataFrame, key: str, digits: int = 0) -> DataFrame:
+    """AGG4 (WIN5): percent share of each group to ``digits`` places; the
+    total is a window over the already aggregated groups."""
     counts = count_by(df, key)
     total = F.sum("count").over(Window.partitionBy())
-    return counts.withColumn("pct", C.fixed_round(F.col("count") / total * F.lit(100.0), 0))
+    return counts.withColumn("pct", C.fixed_round(F.col("count") / total * F.lit(100.0), digits))
 
 
 def account_stats(meetings: DataFrame, d: Dictionaries = DEFAULT) -> DataFrame:

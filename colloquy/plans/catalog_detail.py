@@ -18,7 +18,7 @@ from .registry import register
 
 def _detail(spark, root, meeting_id=None):
     return DT.meeting_detail(
-        B.b3_meetings(spark, root), segments=B.b1_segments(spark, root),
+        B.b3_meetings(spark, root), segments=B.b1_segments(spark, root, meeting_id=meeting_id),
         action_items=E.action_items(B.b8_items(spark, root), "meeting_id", "pos", "item"),
         topics=B.b5_topics(spark, root), entities=B.b4_entities(spark, root), meeting_id=meeting_id)
 
@@ -57,17 +57,17 @@ def alg10_meeting_detail_one(spark, root):
 def _dash_sql() -> str:
     m = "SELECT *, CAST(NULL AS VARCHAR) AS summary FROM b3_meetings"
     return B.with_bindings(f"""
-SELECT 'kpis' AS section, 'total_meetings' AS item, CAST(count(*) AS DOUBLE) AS value, CAST(NULL AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS label FROM m
-UNION ALL SELECT 'kpis', 'average_sentiment', {Q.round_fixed('avg(sentiment_score)', 2)}, NULL, NULL FROM m
-UNION ALL SELECT 'kpis', 'total_hours', {Q.round_fixed('sum(duration) / CAST(60.0 AS DOUBLE)', 1)}, NULL, NULL FROM m
-UNION ALL SELECT 'call_type', call_type, NULL, count(*), NULL FROM m GROUP BY call_type
-UNION ALL SELECT 'sentiment', overall_sentiment, NULL, count(*), NULL FROM m GROUP BY overall_sentiment
-UNION ALL SELECT 'customer_risk', customer, avg_sentiment, total_calls, risk FROM (
+SELECT 'kpis' AS section, 'total_meetings' AS item, CAST(count(*) AS DOUBLE) AS value, CAST(NULL AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS label, CAST(NULL AS BIGINT) AS support_calls FROM m
+UNION ALL SELECT 'kpis', 'average_sentiment', {Q.round_fixed('avg(sentiment_score)', 2)}, NULL, NULL, NULL FROM m
+UNION ALL SELECT 'kpis', 'total_hours', {Q.round_fixed('sum(duration) / CAST(60.0 AS DOUBLE)', 1)}, NULL, NULL, NULL FROM m
+UNION ALL SELECT 'call_type', call_type, NULL, count(*), NULL, NULL FROM m GROUP BY call_type
+UNION ALL SELECT 'sentiment', overall_sentiment, NULL, count(*), NULL, NULL FROM m GROUP BY overall_sentiment
+UNION ALL SELECT 'customer_risk', customer, avg_sentiment, total_calls, risk, support_calls FROM (
   SELECT * FROM accounts ORDER BY CASE risk WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 WHEN 'Low' THEN 2 ELSE 3 END,
   avg_sentiment, customer LIMIT 12)
-UNION ALL SELECT 'product_risk', topic, NULL, count, NULL FROM issues
-UNION ALL SELECT 'feature_requests', topic, NULL, count, NULL FROM features
-UNION ALL SELECT 'timeline', date, sentiment, count, NULL FROM timeline""",
+UNION ALL SELECT 'product_risk', topic, NULL, count, NULL, NULL FROM issues
+UNION ALL SELECT 'feature_requests', topic, NULL, count, NULL, NULL FROM features
+UNION ALL SELECT 'timeline', date, sentiment, count, NULL, NULL FROM timeline""",
                            "b3_meetings", "b5_topics",
                            extra={"m": m, "accounts": ACCOUNT_SQL, "issues": ISSUES_SQL, "features": FEATURES_SQL,
                                   "timeline": TIMELINE_SQL})
@@ -89,33 +89,44 @@ AUDIT = ("b1_segments", "b2_text", "b3_meetings", "b4_entities", "b5_topics", "b
     " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {t}" for t in AUDIT), *AUDIT))
 def snk6_row_count_audit(spark, root):
     """SNK6: row count of every bound table."""
-    return SK.row_counts({t: getattr(B, t)(spark, root) for t in AUDIT})
+    return SK.row_counts({t: B.b1_segments(spark, root, ordered=False) if t == "b1_segments" else getattr(B, t)(spark, root) for t in AUDIT})
 
 
-KEYS = {"b1_segments": ("id",), "b3_meetings": ("meeting_id",), "b4_entities": ("meeting_id", "entity_name", "entity_type"),
+RAW_TOPICS_SQL = "SELECT user_id AS meeting_id, concat(event_type, ' ', regexp_extract(props, '[0-9]+', 0)) AS topic FROM events"
+
+
+def raw_topics(spark, root):
+    """Topic rows as they come, with repeats."""
+    ev = read_table(spark, root, "events")
+    return ev.select(F.col("user_id").alias("meeting_id"),
+                     F.concat(F.col("event_type"), F.lit(" "), F.regexp_extract("props", "[0-9]+", 0)).alias("topic"))
+
+
+# ids of turns are unique by construction; the raw topics repeat their key
+KEYS = {"raw_topics": ("meeting_id", "topic"), "b3_meetings": ("meeting_id",),
+        "b4_entities": ("meeting_id", "entity_name", "entity_type"),
         "b5_topics": ("meeting_id", "topic"), "b7_nodes": ("id",), "b7_edges": ("source", "target", "relation")}
 
 
 @register("snk3_key_violations", B.with_bindings(" UNION ALL ".join(
     f"SELECT '{t}' AS \"table\", CAST(count(*) AS BIGINT) AS rows FROM {t} GROUP BY {', '.join(k)} "
-    f"HAVING count(*) > 1 OR bool_or({' OR '.join(c + ' IS NULL' for c in k)})" for t, k in KEYS.items()), *KEYS))
+    f"HAVING count(*) > 1 OR bool_or({' OR '.join(c + ' IS NULL' for c in k)})" for t, k in KEYS.items()),
+    *[t for t in KEYS if t != "raw_topics"], extra={"raw_topics": RAW_TOPICS_SQL}))
 def snk3_key_violations(spark, root):
-    """SNK3: duplicate or NULL keys in the bound tables (expected empty)."""
+    """SNK3: duplicate or NULL keys, in the bound tables (none) and in topic
+    rows with repeats."""
     out = None
     for t, k in KEYS.items():
-        v = SK.key_violations(getattr(B, t)(spark, root), k).select(F.lit(t).alias("table"), "rows")
+        df = raw_topics(spark, root) if t == "raw_topics" else getattr(B, t)(spark, root)
+        v = SK.key_violations(df, k).select(F.lit(t).alias("table"), "rows")
         out = v if out is None else out.unionByName(v)
     return out
 
 
-@register("snk4_insert_ignore", B.with_bindings("""
-SELECT DISTINCT user_id AS meeting_id, concat(event_type, ' ', regexp_extract(props, '[0-9]+', 0)) AS topic FROM events""", ))
+@register("snk4_insert_ignore", B.with_bindings(f"SELECT DISTINCT meeting_id, topic FROM ({RAW_TOPICS_SQL})"))
 def snk4_insert_ignore(spark, root):
     """SNK4: topic rows with repeats, inserted ignoring key conflicts."""
-    ev = read_table(spark, root, "events")
-    raw = ev.select(F.col("user_id").alias("meeting_id"),
-                    F.concat(F.col("event_type"), F.lit(" "), F.regexp_extract("props", "[0-9]+", 0)).alias("topic"))
-    return SK.insert_ignore(raw, ["meeting_id", "topic"])
+    return SK.insert_ignore(raw_topics(spark, root), ["meeting_id", "topic"])
 
 
 @register("snk7_sample", B.with_bindings(

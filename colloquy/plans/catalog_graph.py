@@ -23,17 +23,25 @@ def _g(spark, root):
     return B.b7_nodes(spark, root), B.b7_edges(spark, root)
 
 
-@register("alg9_degree_centrality", B.with_bindings("""
-SELECT n.label, n.type, count(*) AS degree FROM b7_nodes n
-JOIN (SELECT source AS node_id FROM b7_edges UNION ALL SELECT target AS node_id FROM b7_edges) e ON n.id = e.node_id
-GROUP BY n.label, n.type ORDER BY degree DESC, n.label, n.type""", "b7_nodes", "b7_edges"))
+def degree_sql(nodes: str, edges: str) -> str:
+    """Edges out of and into each node counted apart, then added."""
+    return f"""
+SELECT label, type, CAST(sum(coalesce(outgoing, 0) + coalesce(incoming, 0)) AS BIGINT) AS degree
+FROM {nodes}
+LEFT JOIN (SELECT source, count(*) AS outgoing FROM {edges} GROUP BY source) ON source = id
+LEFT JOIN (SELECT target, count(*) AS incoming FROM {edges} GROUP BY target) ON target = id
+GROUP BY label, type HAVING degree > 0"""
+
+
+@register("alg9_degree_centrality", B.with_bindings(degree_sql("b7_nodes", "b7_edges") + " ORDER BY degree DESC, label, type",
+                                                    "b7_nodes", "b7_edges"))
 def alg9_degree_centrality(spark, root):
     """ALG9 (JOI7, SET1): degree per (label, type)."""
     return G.degree_centrality(*_g(spark, root))
 
 
 @register("set1_edge_ends", B.with_bindings(
-    "SELECT source AS node_id FROM b7_edges UNION ALL SELECT target AS node_id FROM b7_edges", "b7_edges"))
+    "SELECT unnest([source, target]) AS node_id FROM b7_edges", "b7_edges"))
 def set1_edge_ends(spark, root):
     """SET1: all edge ends (sources and targets, with repeats)."""
     return G.edge_ends(B.b7_edges(spark, root))
@@ -174,10 +182,7 @@ def grb8_speaker_topic_edges(spark, root):
     return G.speaker_topic_edges(meta, B.b5_topics(spark, root))
 
 
-@register("alg9_knowledge_graph_degree", B.with_bindings("""
-SELECT n.label, n.type, count(*) AS degree FROM nodes n
-JOIN (SELECT source AS node_id FROM edges UNION ALL SELECT target FROM edges) e ON n.id = e.node_id
-GROUP BY n.label, n.type""", *KG_NAMES,
+@register("alg9_knowledge_graph_degree", B.with_bindings(degree_sql("nodes", "edges"), *KG_NAMES,
     extra={**KG_CTES,
            "nodes": "SELECT id, label, type FROM (SELECT id, label, type, row_number() OVER (PARTITION BY id ORDER BY m DESC, r DESC, pos DESC, rule DESC) AS k FROM cand) WHERE k = 1",
            "edges": KG_EDGES_SQL}))

@@ -57,6 +57,14 @@ def agg4_call_type_share(spark, root):
     return A.share_by(_m(spark, root), "call_type")
 
 
+@register("agg4_call_type_share_tenths", sql(f"""
+SELECT call_type, count, {Q.round_fixed('CAST(count AS DOUBLE) / CAST(sum(count) OVER () AS DOUBLE) * 100.0', 1)} AS pct
+FROM (SELECT call_type, count(*) AS count FROM m GROUP BY call_type)"""))
+def agg4_call_type_share_tenths(spark, root):
+    """AGG4 (WIN5): share per call type to a tenth of a percent."""
+    return A.share_by(_m(spark, root), "call_type", digits=1)
+
+
 # ---------------------------------------------------------- account risk
 ACCOUNT_SQL = f"""
 SELECT customer,

@@ -43,7 +43,10 @@ def meeting_detail(meetings: DataFrame, segments: DataFrame | None = None, actio
     Children of meetings that do not exist are left out (inner semantics).
     """
     if meeting_id is not None:
-        meetings = meetings.filter(F.col("meeting_id") == F.lit(meeting_id))
+        # each section is filtered by itself, so the filter reaches its scan
+        meetings, segments, action_items, topics, key_moments, entities = [
+            df if df is None else df.filter(F.col("meeting_id") == F.lit(meeting_id))
+            for df in (meetings, segments, action_items, topics, key_moments, entities)]
     parts = [_row(meetings, "meeting", F.lit(0), "title", None, "call_type", "overall_sentiment", "sentiment_score")]
     if segments is not None:
         parts.append(_row(segments, "transcript", "turn_index", "speaker_name", "sentence", "sentiment_type",
@@ -70,22 +73,23 @@ def meeting_detail(meetings: DataFrame, segments: DataFrame | None = None, actio
 def dashboard(meetings: DataFrame, topics: DataFrame, d: Dictionaries = DEFAULT) -> DataFrame:
     """ALG14: KPIs, call-type and sentiment breakdowns, account risk (top
     12), issue and feature lists and the timeline as one tagged table
-    (section, item, value, n, label)."""
-    def rows(df, section, item, value=None, n=None, label=None):
+    (section, item, value, n, label, support_calls)."""
+    def rows(df, section, item, value=None, n=None, label=None, support_calls=None):
         def c(x, t):
             return F.lit(None).cast(t) if x is None else (F.col(x) if isinstance(x, str) else x).cast(t)
         return df.select(F.lit(section).alias("section"), c(item, "string").alias("item"), c(value, "double").alias("value"),
-                         c(n, "long").alias("n"), c(label, "string").alias("label"))
+                         c(n, "long").alias("n"), c(label, "string").alias("label"),
+                         c(support_calls, "long").alias("support_calls"))
 
-    k = A.kpis(meetings)
+    figures = {"total_meetings": "total_meetings", "average_sentiment": "avg_sentiment", "total_hours": "total_hours"}
+    k = A.kpis(meetings).select(F.explode(F.array(*[
+        F.struct(F.lit(item).alias("item"), F.col(c).cast("double").alias("value")) for item, c in figures.items()])).alias("k"))
     parts = [
-        rows(k, "kpis", F.lit("total_meetings"), "total_meetings"),
-        rows(k, "kpis", F.lit("average_sentiment"), "avg_sentiment"),
-        rows(k, "kpis", F.lit("total_hours"), "total_hours"),
+        rows(k, "kpis", "k.item", "k.value"),
         rows(A.count_by(meetings, "call_type"), "call_type", "call_type", n="count"),
         rows(A.count_by(meetings, "overall_sentiment"), "sentiment", "overall_sentiment", n="count"),
         rows(A.account_risk_top(A.account_stats(meetings, d)), "customer_risk", "customer", "avg_sentiment",
-             "total_calls", "risk"),
+             "total_calls", "risk", "support_calls"),
         rows(A.topics_matching(topics, d.issue_patterns), "product_risk", "topic", n="count"),
         rows(A.topics_matching(topics, d.feature_patterns), "feature_requests", "topic", n="count"),
         rows(A.daily_timeline(meetings), "timeline", "date", "sentiment", "count"),

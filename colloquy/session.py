@@ -19,6 +19,8 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # of a repeated JSON key the last one counts, as in json.load
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 # Static settings applied when this module builds the session.
 BUILD_CONF = {

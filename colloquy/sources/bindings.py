@@ -58,13 +58,18 @@ def b9_dictionaries() -> Dictionaries:
 
 
 # ------------------------------------------------------------------ Spark side
-def b1_segments(spark: SparkSession, root: str, ordered: bool = True, with_rank: bool = False) -> DataFrame:
+def b1_segments(spark: SparkSession, root: str, ordered: bool = True, with_rank: bool = False, text: bool = True,
+                meeting_id: int | None = None) -> DataFrame:
     """B1. Turn numbering (id, turn_index) needs a per-user ordinal pass that
     is materialised, so consumers that never read those two columns ask for
     ``ordered=False`` and skip it. ``with_rank`` also keeps the 1-based turn
     rank and the user's turn count (``turn_rank``, ``turn_count``): ordering
-    by (turn_index, id) is ordering by that rank, since turn_index is rank-1."""
-    ev = read_table(spark, root, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    by (turn_index, id) is ordering by that rank, since turn_index is rank-1.
+    ``text=False`` leaves the sentence out of the ordinal pass and the result;
+    ``meeting_id`` picks one meeting before that pass."""
+    ev = read_table(spark, root, "events").select("event_id", "ts", "user_id", "event_type", *["props"] * text)
+    if meeting_id is not None:
+        ev = ev.filter(F.col("user_id") == F.lit(meeting_id))
     if ordered:
         ranked = group_ordinals(ev, "user_id", ["ts", "event_id"], ordinal_col="_n",
                                 size_col="_count" if with_rank else None)
@@ -78,7 +83,7 @@ def b1_segments(spark: SparkSession, root: str, ordered: bool = True, with_rank:
     out = ranked.select(
         *numbering,
         F.col("user_id").alias("meeting_id"),
-        F.col("props").alias("sentence"),
+        *[F.col("props").alias("sentence")] * text,
         F.concat(F.lit("user "), (F.col("user_id") % 7).cast("string")).alias("speaker_name"),
         F.when(F.col("event_type").isin("signup", "purchase"), F.lit("Customer"))
          .otherwise(F.lit("Engineer")).alias("speaker_role"),

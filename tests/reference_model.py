@@ -92,28 +92,24 @@ def turns_of(b):
 
 
 def role_of(b, speaker):
-    info, s = b["meeting-info.json"], speaker.lower()
-    host = info.get("host", "")
-    host_domain = host.split("@")[1] if "@" in host else ""
-
-    def owned(e):
-        local = e.split("@")[0]
-        return local.replace(".", " ").lower() in s or s in local.lower()
-
-    staff = any(host_domain in e for e in info.get("allEmails", []) if owned(e)) or \
-        any(h in s for h in D.STAFF_NAME_HINTS)
-    k = kind_of(b)
-    if staff:
-        return {"Support": "Support Agent", "Internal": "Engineer"}.get(k, "Account Manager")
-    return "Engineer" if k == "Internal" else "Customer"
+    """An address is the speaker's when either of mailbox and name holds the other."""
+    info, name, kind = b["meeting-info.json"], speaker.lower(), kind_of(b)
+    if kind == "Internal":
+        return "Engineer"
+    domain = (info.get("host", "").split("@") + [""])[1]
+    mailboxes = [(a, a.partition("@")[0].lower()) for a in info.get("allEmails", [])]
+    theirs = [a for a, box in mailboxes if name in box or box.replace(".", " ") in name]
+    if not any(domain in a for a in theirs) and not any(h in name for h in D.STAFF_NAME_HINTS):
+        return "Customer"
+    return "Support Agent" if kind == "Support" else "Account Manager"
 
 
 def named_entities(sentence):
-    low = sentence.lower()
-    comps = {c for c in D.COMPETITORS if re.search(rf"\b{c.lower()}\b", low)}
-    prods = {p for p in D.PRODUCTS
-             if re.search(rf"\b{p.replace('Aegis ', '').lower()}\b", low) or re.search(rf"\b{p.lower()}\b", low)}
-    return comps, prods
+    """A full product name holds its short name, so the short name decides."""
+    def said(names, prefix=""):
+        return {n for n in names
+                if re.search(rf"(?<!\w){re.escape(n.removeprefix(prefix).lower())}(?!\w)", sentence.lower())}
+    return said(D.COMPETITORS), said(D.PRODUCTS, "Aegis ")
 
 
 # ------------------------------------------------------------------ tables

@@ -25,7 +25,8 @@ def test_search_finds_billing(spark, ingested):
     lines = t["transcript_segments"].select("meeting_id", "turn_index", "sentence", "time", "speaker_name", "sentiment_type")
     _, ranked, segs = R.search(t["meetings"], lines, R.question_batch(spark, [(1, "billing")]))
     hits = ranked.collect()
-    assert hits and any("billing" in ((r.title or "") + (r.summary or "")).lower() or r.score >= 1 for r in hits)
+    quoted = {r.meeting_id for r in segs.collect()}
+    assert hits and all("billing" in f"{r.title} {r.summary}".lower() or r.meeting_id in quoted for r in hits)
     assert len(hits) <= 10 and segs.count() <= 20
 
 
