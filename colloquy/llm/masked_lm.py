@@ -4,7 +4,9 @@ A network trained in numpy predicts every word from a window on both sides
 of it; a document's score is the sum of the log-probabilities of its words.
 The vocabulary comes from counts over the whole corpus. A word's class is
 told by a binary tree, a step per bit, so a word costs as many products as
-the tree is deep instead of one per class.
+the tree is deep instead of one per class. A word that shares its class with
+others also has its probability within the class, from its count over the
+whole corpus, with a share kept for words never counted.
 
 Training takes windows from every text, writes them once, dealt evenly over
 trainers whose number follows the corpus; each trains a copy on its share and
@@ -14,11 +16,13 @@ the copies are averaged, row by row, by Spark.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +31,7 @@ from .common import keep
 
 FREQUENT = 384  # commonest words, each a class of its own
 OTHER = 127  # classes for the other words, by hash
+UNKNOWN = 0.5  # count that each of these classes keeps for words never counted
 CLASSES = FREQUENT + OTHER + 1  # and one for the places outside a text
 OUTSIDE = CLASSES - 1
 DEPTH = (CLASSES - 1).bit_length()  # steps of the tree
@@ -160,6 +165,49 @@ def vocabulary(docs: DataFrame) -> list[str]:
     return [r["w"] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(FREQUENT).collect()]
 
 
+def _text_key() -> list[Column]:
+    """Two hashes that tell one text from another."""
+    text = F.col("text").cast("string")
+    return [F.xxhash64(text).alias("_a"), F.xxhash64(text, F.lit(1)).alias("_b")]
+
+
+def rare_words(docs: DataFrame, sent: Broadcast) -> DataFrame:
+    """``_a, _b, kinds, word, n``: how often each word outside the vocabulary
+    occurs in each row's text, and how many such words the text has."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = _known(sent.value).frequent
+        for batch in batches:
+            words: list[str] = []
+            times: list[int] = []
+            kinds = []
+            for text in batch.column("text").to_pylist():
+                found = Counter(text.lower().split()) if text else {}
+                own = [w for w in found if w not in frequent]
+                words += own
+                times += [found[w] for w in own]
+                kinds.append(len(own))
+            a, b, size = (np.repeat(x, kinds) for x in (batch.column("_a").to_numpy(), batch.column("_b").to_numpy(), np.array(kinds, np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(size), pa.array(words, pa.string()), pa.array(times, pa.int64())],
+                                             names=["_a", "_b", "kinds", "word", "n"])
+
+    return docs.select(*_text_key(), F.col("text").cast("string").alias("text")).mapInArrow(
+        count, "_a long, _b long, kinds int, word string, n long")
+
+
+def within_class(words: DataFrame, counted: DataFrame) -> DataFrame:
+    """``_a, _b, within``: per text the sum of log P(word | class) over its
+    ``words`` outside the vocabulary, from the counts of ``counted``. A text
+    that occurs in several rows has its words in ``words`` as many times."""
+    own_class = (F.crc32(F.encode("word", "utf-8")) % OTHER).alias("class")
+    counts = keep(counted.groupBy("word").agg(F.sum("n").alias("count")).select("word", "count", own_class))
+    totals = counts.groupBy("class").agg(F.sum("count").alias("total"))  # at most OTHER rows
+    each = (words.join(counts.select("word", "count"), "word", "left").select("_a", "_b", "kinds", "n", "count", own_class)
+            .join(F.broadcast(totals), "class", "left"))
+    log_p = (F.log(F.coalesce(F.col("count").cast("double"), F.lit(UNKNOWN)))
+             - F.log(F.coalesce(F.col("total"), F.lit(0)) + F.lit(UNKNOWN)))
+    return each.groupBy("_a", "_b").agg((F.avg(F.col("n") * log_p) * F.max("kinds")).alias("within"))
+
+
 def training_windows(docs: DataFrame, sent: Broadcast, rounds: int) -> DataFrame:
     """``turn, window``: every STRIDE-th window of every text for each round,
     BLOCK of them in a row (16-bit numbers), written once to the shared folder
@@ -229,11 +277,16 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[str], Network]:
     return frequent, net
 
 
-def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, rounds: int = ROUNDS, corpus: DataFrame | None = None) -> DataFrame:
     """``doc_id, n_words, log_likelihood, mean_log_likelihood`` per row of
     ``docs(doc_id, text, ...)``. NULL and empty texts have no words, a sum of
-    0 and no mean; repeated rows score alike; an empty table gives no rows."""
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs, rounds))
+    0 and no mean; repeated rows score alike; an empty table gives no rows.
+    Network and word counts come from ``corpus``, by default ``docs``."""
+    context = docs.sparkSession.sparkContext
+    frequent, trained = train(docs if corpus is None else corpus, rounds)
+    sent, known = context.broadcast((frequent, trained)), context.broadcast(frequent)
+    words = keep(rare_words(docs, known))
+    within = within_class(words, words if corpus is None else rare_words(corpus, known))
 
     @F.pandas_udf("struct<n_words: long, log_likelihood: double>")
     def scored(texts: pd.Series) -> pd.DataFrame:
@@ -243,7 +296,9 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         return pd.DataFrame({"n_words": [len(x) for x in ids],
                              "log_likelihood": [net.log_likelihood(x) if len(x) else 0.0 for x in ids]})
 
-    out = docs.select("doc_id", scored(F.col("text").cast("string")).alias("s")).select("doc_id", "s.n_words", "s.log_likelihood")
+    out = (docs.select("doc_id", *_text_key(), scored(F.col("text").cast("string")).alias("s"))
+           .join(within, ["_a", "_b"], "left")
+           .select("doc_id", "s.n_words", (F.col("s.log_likelihood") + F.coalesce("within", F.lit(0.0))).alias("log_likelihood")))
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 

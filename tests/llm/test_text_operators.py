@@ -3,8 +3,10 @@ and long texts, ties, repeated rows, empty tables and clashing names."""
 
 from __future__ import annotations
 
+import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -332,3 +334,24 @@ def test_masked_lm_prefers_text_like_the_corpus(make):
     assert got[901]["n_words"] == got[902]["n_words"] == 0 and got[901]["mean_log_likelihood"] is None
     assert got[903]["n_words"] == 1 and got[3]["n_words"] == 400
     assert masked_lm.score(make([])).count() == 0
+
+
+def test_masked_lm_tells_rare_words_from_gibberish(make):
+    rng = random.Random(29)
+    common = [f"w{k}" for k in range(masked_lm.FREQUENT)]
+    rare = [f"rare{k}" for k in range(200)]
+    bucket = lambda w: zlib.crc32(w.encode()) % masked_lm.OTHER
+    # gibberish of the very buckets of some rare words, which the network alone can't tell apart
+    real = rare[:5]
+    noise = [next(g for g in iter(lambda: f"zq{rng.getrandbits(40):x}", "") if bucket(g) == bucket(w)) for w in real]
+    rows = [(i, " ".join(common * 6)) for i in range(4)] + [(10 + i, " ".join(rare * 4)) for i in range(4)]
+    own = {w: 16 for w in rare}
+    new = [(100, " ".join(real)), (101, " ".join(noise)), (102, " ".join(real)), (102, " ".join(real)), (103, None), (104, "w1")]
+    got = {r["doc_id"]: r for r in masked_lm.score(make(new), rounds=1, corpus=make(rows)).collect()}
+    assert got[100]["log_likelihood"] == got[102]["log_likelihood"] and got[103]["log_likelihood"] == 0
+    total = lambda w: sum(n for x, n in own.items() if bucket(x) == bucket(w)) + masked_lm.UNKNOWN
+    gap = sum(math.log(own[w] / total(w)) - math.log(masked_lm.UNKNOWN / total(w)) for w in real)
+    assert abs(got[100]["log_likelihood"] - got[101]["log_likelihood"] - gap) < 1e-6
+    # counted with the rest, gibberish met once still scores below words met often
+    both = {r["doc_id"]: r for r in masked_lm.score(make(rows + new), rounds=1).collect()}
+    assert both[100]["mean_log_likelihood"] > both[101]["mean_log_likelihood"] + 2
