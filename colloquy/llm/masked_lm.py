@@ -8,13 +8,15 @@ the tree is deep instead of one per class. A word that shares its class with
 others also has its probability within the class, from its count over the
 whole corpus, with a share kept for words never counted.
 
-Training takes windows from every text, writes them once, dealt evenly over
-trainers whose number follows the corpus; each trains a copy on its share and
-the copies are averaged, row by row, by Spark.
+Training takes the window of every word of every text. The classes of the
+texts are written once, dealt evenly over trainers whose number follows the
+corpus; each trains a copy on its share and the copies are averaged, row by
+row, by Spark.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -37,15 +39,15 @@ OUTSIDE = CLASSES - 1
 DEPTH = (CLASSES - 1).bit_length()  # steps of the tree
 SIDE = 2  # words seen on either side
 WIDTH = 24
-ROUNDS = 2
-# every STRIDE-th word of every text is a training target, each round another
-STRIDE = 16
+ROUNDS = 2  # each learns its share of the words, together all of them
 BATCH = 512
 AT_ONCE = 1024  # words scored together, so their rows stay in the processor's cache
 RATE = 0.15
-BLOCK = 512  # windows in a row of the training table
-TRAINER_BLOCKS = 512  # rows of that table per trainer, about
+BLOCK = 4096  # targets in a row of the training table
+TRAINER_BLOCKS = 256  # rows of that table per trainer, about
+SEEN = 1 << 15  # marks words of a row that are no targets of it
 CACHE_WORDS = 400_000
+KNOWN = 65_536  # commonest words whose count every worker has; the others' are joined
 
 
 class _Classes(dict):
@@ -66,16 +68,11 @@ class _Classes(dict):
         return _Classes, (list(self.frequent),)
 
     def of(self, text: str | None) -> np.ndarray:
-        words = text.lower().split() if text else []
-        return np.array(list(map(self.__getitem__, words)), dtype=np.int64)
+        return np.array(list(map(self.__getitem__, words_of(text))), dtype=np.int64)
 
 
-def windows(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Words from SIDE before to SIDE after the places ``at``: one row per
-    place, the word itself in the middle."""
-    edge = np.full(SIDE, OUTSIDE)
-    wide = np.concatenate([edge, ids, edge])
-    return np.stack([wide[at + k] for k in range(2 * SIDE + 1)], axis=1)
+def words_of(text: str | None) -> list[str]:
+    return text.lower().split() if text else []
 
 
 def _tree() -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +87,13 @@ NODES, TURNS = _tree()
 N_NODES = (1 << DEPTH) - 1
 
 
+def _add_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Add each of ``rows`` to the row of ``table`` at its place; on flat
+    places, which numpy adds several times faster than whole rows."""
+    places = (at[:, None] * table.shape[1] + np.arange(table.shape[1])).ravel()
+    np.add.at(table.reshape(-1), places, rows.astype(table.dtype, copy=False).ravel())
+
+
 @dataclass
 class Network:
     """``near``: an embedding per place and class; ``out`` and ``bias``: of
@@ -126,11 +130,11 @@ class Network:
         d = TURNS[target] / (1 + np.exp(np.clip(z, -30, 30)))
         step = RATE / len(target) ** 0.5
         back = np.einsum("nl,nlk->nk", d, rows) * (1 - h * h)
-        np.add.at(self.out, NODES[target].ravel(), (step * d[:, :, None] * h[:, None, :]).reshape(-1, WIDTH))
+        _add_rows(self.out, NODES[target].ravel(), (step * d[:, :, None] * h[:, None, :]).reshape(-1, WIDTH))
         np.add.at(self.bias, NODES[target].ravel(), step * d.ravel())
         self.hidden += step * back.sum(axis=0)
         for k in range(2 * SIDE):
-            np.add.at(self.near[k], window[:, k + (k >= SIDE)], step * back)
+            _add_rows(self.near[k], window[:, k + (k >= SIDE)], step * back)
 
     def rows(self) -> np.ndarray:
         """All parameters as rows of WIDTH numbers."""
@@ -154,111 +158,119 @@ class Network:
         return total
 
 
-def _plain(text: str) -> Column:
-    """Lower-cased text with blanks for tabs and line ends."""
-    return F.translate(F.lower(F.col(text).cast("string")), "\t\n\r", "   ")
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``word, count`` over all texts, written once."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
 
+        def emptied() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "count"])
+            counts.clear()
+            return out
 
-def vocabulary(docs: DataFrame) -> list[str]:
-    """The FREQUENT commonest words of all texts, counted over the corpus."""
-    words = docs.select(F.explode(F.split(_plain("text"), " ")).alias("w")).where("w <> ''")
-    return [r["w"] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(FREQUENT).collect()]
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                counts.update(words_of(text))
+                if len(counts) > CACHE_WORDS:
+                    yield emptied()
+        yield emptied()
 
+    each = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, count long")
+    return keep(each.groupBy("word").agg(F.sum("count").alias("count")))
 
-def _text_key() -> list[Column]:
-    """Two hashes that tell one text from another."""
-    text = F.col("text").cast("string")
-    return [F.xxhash64(text).alias("_a"), F.xxhash64(text, F.lit(1)).alias("_b")]
 
+def vocabulary(counts: DataFrame) -> list[str]:
+    """The FREQUENT commonest words."""
+    return [r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(FREQUENT).collect()]
 
-def rare_words(docs: DataFrame, sent: Broadcast) -> DataFrame:
-    """``_a, _b, kinds, word, n``: how often each word outside the vocabulary
-    occurs in each row's text, and how many such words the text has."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = _known(sent.value).frequent
-        for batch in batches:
-            words: list[str] = []
-            times: list[int] = []
-            kinds = []
-            for text in batch.column("text").to_pylist():
-                found = Counter(text.lower().split()) if text else {}
-                own = [w for w in found if w not in frequent]
-                words += own
-                times += [found[w] for w in own]
-                kinds.append(len(own))
-            a, b, size = (np.repeat(x, kinds) for x in (batch.column("_a").to_numpy(), batch.column("_b").to_numpy(), np.array(kinds, np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(size), pa.array(words, pa.string()), pa.array(times, pa.int64())],
-                                             names=["_a", "_b", "kinds", "word", "n"])
-
-    return docs.select(*_text_key(), F.col("text").cast("string").alias("text")).mapInArrow(
-        count, "_a long, _b long, kinds int, word string, n long")
-
-
-def within_class(words: DataFrame, counted: DataFrame) -> DataFrame:
-    """``_a, _b, within``: per text the sum of log P(word | class) over its
-    ``words`` outside the vocabulary, from the counts of ``counted``. A text
-    that occurs in several rows has its words in ``words`` as many times."""
-    own_class = (F.crc32(F.encode("word", "utf-8")) % OTHER).alias("class")
-    counts = keep(counted.groupBy("word").agg(F.sum("n").alias("count")).select("word", "count", own_class))
-    totals = counts.groupBy("class").agg(F.sum("count").alias("total"))  # at most OTHER rows
-    each = (words.join(counts.select("word", "count"), "word", "left").select("_a", "_b", "kinds", "n", "count", own_class)
-            .join(F.broadcast(totals), "class", "left"))
-    log_p = (F.log(F.coalesce(F.col("count").cast("double"), F.lit(UNKNOWN)))
-             - F.log(F.coalesce(F.col("total"), F.lit(0)) + F.lit(UNKNOWN)))
-    return each.groupBy("_a", "_b").agg((F.avg(F.col("n") * log_p) * F.max("kinds")).alias("within"))
-
-
-def training_windows(docs: DataFrame, sent: Broadcast, rounds: int) -> DataFrame:
-    """``turn, window``: every STRIDE-th window of every text for each round,
-    BLOCK of them in a row (16-bit numbers), written once to the shared folder
-    and dealt evenly, so no trainer gets a long text whole."""
+
+class WithinClass:
+    """log P(word | class) by the counts: 0 for the vocabulary, whose words
+    are classes of their own. The KNOWN commonest words are at hand; the others
+    are looked up by a join with the counts."""
+
+    def __init__(self, counts: DataFrame, frequent: list[str]):
+        self.counts = counts
+        self.own_class = (F.crc32(F.encode("word", "utf-8")) % OTHER).cast("int")
+        other = counts.where(~F.col("word").isin(frequent))
+        self.totals = dict.fromkeys(range(OTHER), 0) | dict(map(tuple, other.groupBy(self.own_class).agg(F.sum("count")).collect()))
+        known = counts.orderBy(F.desc("count"), "word").limit(KNOWN).select("word", self.log_p().alias("p")).collect()
+        self.known = dict(map(tuple, known)) | dict.fromkeys(frequent, 0.0)
+
+    def log_p(self) -> Column:
+        """From the columns ``word`` and ``count``; words without a count have
+        the share kept for them."""
+        total = F.get(F.array(*[F.lit(math.log(self.totals[k] + UNKNOWN)) for k in range(OTHER)]), self.own_class)
+        return F.log(F.coalesce(F.col("count").cast("double"), F.lit(UNKNOWN))) - total
+
+    def summed(self, words: DataFrame, key: str) -> DataFrame:
+        """``key, within``: the sum over the ``word``s of each key."""
+        return words.join(self.counts, "word", "left").select(key, self.log_p().alias("p")).groupBy(key).agg(F.sum("p").alias("within"))
+
+
+def training_windows(docs: DataFrame, sent: Broadcast) -> DataFrame:
+    """``stream``: the classes of all texts, BLOCK targets in a row (16-bit
+    numbers), written once to the shared folder and dealt evenly, so no
+    trainer gets a long text whole. Every word of every text is a target
+    once; words marked SEEN are only there to be seen by their neighbours."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classes = _known(sent.value)
-        held: list[list[np.ndarray]] = [[] for _ in range(rounds)]
-
-        def emptied(turn: int) -> Iterator[pd.DataFrame]:
-            if held[turn]:
-                all_of_turn = np.concatenate(held[turn]).astype(np.uint16)
-                held[turn] = []
-                rows = [all_of_turn[k:k + BLOCK].tobytes() for k in range(0, len(all_of_turn), BLOCK)]
-                yield pd.DataFrame({"turn": turn, "window": rows})
+        edge = np.full(SIDE, OUTSIDE)
+        held: list[np.ndarray] = []
+        size = 0
 
         for batch in batches:
+            rows = []
             for text in batch["text"].tolist():
-                ids = classes.of(text)
-                for turn in range(rounds):
-                    first = (zlib.crc32(str(len(ids)).encode()) + turn * STRIDE // max(1, rounds)) % STRIDE
-                    some = np.arange(min(first, max(0, len(ids) - 1)), len(ids), STRIDE)
-                    if len(some):
-                        held[turn].append(windows(ids, some))
-                    if sum(map(len, held[turn])) >= BLOCK * 8:
-                        yield from emptied(turn)
-        for turn in range(rounds):
-            yield from emptied(turn)
-
-    rows = keep(docs.select(F.col("text").cast("string").alias("text")).mapInPandas(cut, "turn int, window binary"))
+                wide = np.concatenate([edge, classes.of(text), edge]).astype(np.uint16)
+                at, end = SIDE, len(wide) - SIDE
+                while at < end:
+                    to = min(end, at + BLOCK - size)
+                    piece = wide[at - SIDE:to + SIDE].copy()
+                    piece[:SIDE] |= SEEN
+                    piece[len(piece) - SIDE:] |= SEEN
+                    held.append(piece)
+                    size += to - at
+                    at = to
+                    if size == BLOCK:
+                        rows.append(np.concatenate(held).tobytes())
+                        held, size = [], 0
+            yield pd.DataFrame({"stream": rows})
+        if held:
+            yield pd.DataFrame({"stream": [np.concatenate(held).tobytes()]})
+
+    rows = keep(docs.select(F.col("text").cast("string").alias("text")).mapInPandas(cut, "stream binary"))
     trainers = -(-rows.count() // TRAINER_BLOCKS) or 1
-    return keep(rows.repartition(trainers, F.xxhash64("window")))
+    return keep(rows.repartition(trainers, F.xxhash64("stream")))
+
+
+def targets(stream: bytes, turn: int, rounds: int) -> np.ndarray:
+    """The windows of a row of the training table that are learned in a round:
+    every ``rounds``-th target, so the rounds together take each once. They
+    are mixed, so that neighbours aren't learned together."""
+    marked = np.frombuffer(stream, np.uint16).astype(np.int64)
+    wide = np.lib.stride_tricks.sliding_window_view(marked & ~SEEN, 2 * SIDE + 1)
+    own = np.flatnonzero((marked[SIDE:len(marked) - SIDE] & SEEN) == 0)[turn::rounds]
+    return wide[np.random.default_rng(turn).permutation(own)]
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[str], Network]:
-    """The vocabulary and the averaged network. Every text gives targets;
-    a trainer's copy weighs by the targets it saw. The driver receives one
+def train(docs: DataFrame, frequent: list[str], rounds: int = ROUNDS) -> Network:
+    """The averaged network. Every word of every text is
+    a target in one of the rounds; a trainer's copy weighs by the targets it saw. The driver receives one
     average per parameter row, whatever the corpus."""
     spark = docs.sparkSession
-    frequent = vocabulary(docs)
-    table = training_windows(docs, spark.sparkContext.broadcast(frequent), rounds)
+    table = training_windows(docs, spark.sparkContext.broadcast(frequent))
     net = Network.start()
     fields = ", ".join(f"v{k} double" for k in range(WIDTH))
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(net)
 
-        def learn(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def learn(batches: Iterator[pd.DataFrame], sent=sent, turn=turn) -> Iterator[pd.DataFrame]:
             own = Network.of_rows(sent.value.rows())
             seen = 0
             for batch in batches:
-                for block in batch["window"].tolist():
-                    window = np.frombuffer(block, np.uint16).reshape(-1, 2 * SIDE + 1).astype(np.int64)
+                for block in batch["stream"].tolist():
+                    window = targets(block, turn, rounds)
                     for at in range(0, len(window), BATCH):
                         own.learn(window[at:at + BATCH])
                     seen += len(window)
@@ -268,13 +280,13 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[str], Network]:
             out.insert(0, "row", np.arange(len(rows)))
             yield out if seen else out.iloc[:0]
 
-        copies = table.where(F.col("turn") == turn).select("window").mapInPandas(learn, f"row int, weight double, {fields}")
+        copies = table.mapInPandas(learn, f"row int, weight double, {fields}")
         mean = [(F.sum(F.col(f"v{k}") * F.col("weight")) / F.sum("weight")).alias(f"v{k}") for k in range(WIDTH)]
         averaged = copies.groupBy("row").agg(*mean).orderBy("row").toPandas()  # one row per parameter row
         if not len(averaged):
             break
         net = Network.of_rows(averaged.drop(columns="row").to_numpy())
-    return frequent, net
+    return net
 
 
 def score(docs: DataFrame, rounds: int = ROUNDS, corpus: DataFrame | None = None) -> DataFrame:
@@ -282,23 +294,29 @@ def score(docs: DataFrame, rounds: int = ROUNDS, corpus: DataFrame | None = None
     ``docs(doc_id, text, ...)``. NULL and empty texts have no words, a sum of
     0 and no mean; repeated rows score alike; an empty table gives no rows.
     Network and word counts come from ``corpus``, by default ``docs``."""
-    context = docs.sparkSession.sparkContext
-    frequent, trained = train(docs if corpus is None else corpus, rounds)
-    sent, known = context.broadcast((frequent, trained)), context.broadcast(frequent)
-    words = keep(rare_words(docs, known))
-    within = within_class(words, words if corpus is None else rare_words(corpus, known))
+    learned = docs if corpus is None else corpus
+    counts = word_counts(learned)
+    frequent = vocabulary(counts)
+    within = WithinClass(counts, frequent)
+    sent = docs.sparkSession.sparkContext.broadcast((frequent, train(learned, frequent, rounds), within.known))
 
-    @F.pandas_udf("struct<n_words: long, log_likelihood: double>")
+    @F.pandas_udf("struct<n_words: long, log_likelihood: double, others: array<string>>")
     def scored(texts: pd.Series) -> pd.DataFrame:
-        words, net = sent.value
-        classes = _known(words)
-        ids = [classes.of(t) for t in texts.tolist()]
-        return pd.DataFrame({"n_words": [len(x) for x in ids],
-                             "log_likelihood": [net.log_likelihood(x) if len(x) else 0.0 for x in ids]})
-
-    out = (docs.select("doc_id", *_text_key(), scored(F.col("text").cast("string")).alias("s"))
-           .join(within, ["_a", "_b"], "left")
-           .select("doc_id", "s.n_words", (F.col("s.log_likelihood") + F.coalesce("within", F.lit(0.0))).alias("log_likelihood")))
+        vocab, net, known = sent.value
+        classes = _known(vocab)
+        rows = []
+        for text in texts.tolist():
+            words = words_of(text)
+            ids = np.array(list(map(classes.__getitem__, words)), dtype=np.int64)
+            p = np.array(list(map(known.get, words)), dtype=np.float64)  # not a number: not at hand
+            rows.append((len(words), net.log_likelihood(ids) + float(np.nansum(p)), [words[i] for i in np.flatnonzero(np.isnan(p)).tolist()]))
+        return pd.DataFrame(rows, columns=["n_words", "log_likelihood", "others"])
+
+    rows = keep(docs.select("doc_id", scored(F.col("text").cast("string")).alias("s"))
+                .select("doc_id", "s.*", F.monotonically_increasing_id().alias("row")))
+    others = within.summed(rows.select("row", F.explode("others").alias("word")), "row")
+    out = rows.join(others, "row", "left").select(
+        "doc_id", "n_words", (F.col("log_likelihood") + F.coalesce("within", F.lit(0.0))).alias("log_likelihood"))
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 

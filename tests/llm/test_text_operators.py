@@ -336,7 +336,9 @@ def test_masked_lm_prefers_text_like_the_corpus(make):
     assert masked_lm.score(make([])).count() == 0
 
 
-def test_masked_lm_tells_rare_words_from_gibberish(make):
+@pytest.mark.parametrize("known", [masked_lm.FREQUENT, masked_lm.FREQUENT + 100, masked_lm.KNOWN])
+def test_masked_lm_tells_rare_words_from_gibberish(make, monkeypatch, known):
+    monkeypatch.setattr(masked_lm, "KNOWN", known)
     rng = random.Random(29)
     common = [f"w{k}" for k in range(masked_lm.FREQUENT)]
     rare = [f"rare{k}" for k in range(200)]
@@ -355,3 +357,22 @@ def test_masked_lm_tells_rare_words_from_gibberish(make):
     # counted with the rest, gibberish met once still scores below words met often
     both = {r["doc_id"]: r for r in masked_lm.score(make(rows + new), rounds=1).collect()}
     assert both[100]["mean_log_likelihood"] > both[101]["mean_log_likelihood"] + 2
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 5])
+def test_masked_lm_learns_every_word_once(spark, make, rounds):
+    rng = random.Random(31)
+    vocab = [f"w{k}" for k in range(300)]
+    texts = ["one", "", None, "two words", " ".join(rng.choice(vocab) for _ in range(11_000))]
+    texts += [" ".join(rng.choice(vocab) for _ in range(n)) for n in (15, 16, 16, 17, 400)]
+    classes = masked_lm._Classes(vocab)
+    want = Counter()
+    for text in texts:
+        ids = [masked_lm.OUTSIDE] * masked_lm.SIDE + classes.of(text).tolist() + [masked_lm.OUTSIDE] * masked_lm.SIDE
+        want.update(tuple(ids[i:i + 2 * masked_lm.SIDE + 1]) for i in range(len(ids) - 2 * masked_lm.SIDE))
+    table = masked_lm.training_windows(make(list(enumerate(texts))), spark.sparkContext.broadcast(vocab)).collect()
+    got = Counter()
+    for row in table:
+        for turn in range(rounds):
+            got.update(map(tuple, masked_lm.targets(row["stream"], turn, rounds).tolist()))
+    assert got == want and sum(got.values()) == 11_467
