@@ -376,3 +376,23 @@ def test_masked_lm_learns_every_word_once(spark, make, rounds):
         for turn in range(rounds):
             got.update(map(tuple, masked_lm.targets(row["stream"], turn, rounds).tolist()))
     assert got == want and sum(got.values()) == 11_467
+
+
+def test_pii_surrogates_never_run_out(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    single = [f"{a.upper()}{b}{c}" for a in letters for b in letters for c in "aeiou"]
+    rows = [("name_m", x) for x in single] + [("name_f", f"{x} Xu") for x in single] + [("email", f"{a}@{b}.co") for a in letters for b in letters]
+    rows += [("name_f", "".join(chr(0x400 + ord(c)) for c in x)) for x in single[:900]] + [("phone", f"+1{k:03d}") for k in range(1000)]
+    rows += [("name_m", "Παπαδάκης"), ("name_f", "Άννα Παπά"), ("name_m", "Սարգսյան"), ("name_m", "Иванов")]
+    out = {(r["kind"], r["canon"]): r["core"] for r in pii.surrogates(spark.createDataFrame(rows, "kind string, canon string"), "k").collect()}
+    assert set(out) == set(rows)
+    drawn = {(k, core) for (k, _), core in out.items()}
+    assert len(drawn) == len(rows) and not drawn & set(rows)
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.co", v) for (k, _), v in out.items() if k == "email")
+    assert re.fullmatch("[Α-Ω][α-ω]+", out["name_m", "Παπαδάκης"]) and re.fullmatch("[Α-Ω][α-ω]+ [Α-Ω][α-ω]+", out["name_f", "Άννα Παπά"])
+    assert re.fullmatch("[Ա-Ֆ][ա-ֆ]+", out["name_m", "Սարգսյան"]) and re.fullmatch("[А-Я][а-яё-]+", out["name_m", "Иванов"])
+
+
+def test_pii_numbers_that_grew_are_written_whole(spark):
+    row = spark.createDataFrame([("+1 23 45", "phone", "+1987612")], "entity string, kind string, core string")
+    assert row.select(pii._formatted(*map(row.__getitem__, row.columns))).first()[0] == "+1 98 7612"
