@@ -1,6 +1,7 @@
 """Secret scan with a random forest against false positives.
 
-Candidates are long runs of key characters. Labelled findings train a forest,
+Candidates are long runs of key characters, and values of any length and
+characters that an announcing word assigns. Labelled findings train a forest,
 in numpy, on their length, character transitions, dictionary coverage, path
 and neighbouring words; it decides which candidates are secrets.
 """
@@ -29,6 +30,9 @@ TREES, LEAF, LEVELS, CUTS = 40, 4, 9, 24
 THRESHOLD = 0.5
 # fixed values: words that announce a secret, and the format of one provider
 ANNOUNCE = re.compile(r"(?i)(pass(?:word|wd)?|secret|token|api[_-]?key|auth|credential|private)")
+# the value, quoted or up to a blank, that an announcing word gets by = or :
+ANNOUNCED = re.compile(r"(?i)(?:pass(?:word|wd)?|secret|token|api[_-]?key|auth(?!ors?\b)|credential|private)[\w\-]{0,40}[\"']?"
+                       r"[ \t]{0,8}(?::=|=>|[=:])[ \t]{0,8}(?:\"(?P<double>[^\"\n]+)\"|'(?P<single>[^'\n]+)'|[\"']?(?P<bare>[^\s\"']\S*))")
 PROVIDER = re.compile(r"AKIA[0-9A-Z]{16}")
 
 _CLASSES = np.zeros(256, dtype=np.int64)
@@ -39,12 +43,21 @@ _CLASSES[[*range(97, 123)]] = 3
 
 def candidates(text: str | None) -> list[tuple[int, str, str, str]]:
     """Start, value and the text before and after of each candidate."""
-    out = []
-    for m in CANDIDATE.finditer(text or ""):
+    text = text or ""
+    spans = set()
+    for m in CANDIDATE.finditer(text):
         value = m.group()
         if any(c.isdigit() for c in value) or len(value) >= LONG_WORD:
-            out.append((m.start(), value, text[max(0, m.start() - CONTEXT):m.start()], text[m.end():m.end() + CONTEXT]))
-    return out
+            spans.add(m.span())
+    at = 0
+    while m := ANNOUNCED.search(text, at):
+        lo, hi = m.span(m.lastgroup)
+        at = lo  # a value may hold a further announcement
+        if m.lastgroup == "bare":  # separators after a bare value are none of it
+            hi = lo + len(m.group("bare").rstrip(",;\"'"))
+        if hi > lo:
+            spans.add((lo, hi))
+    return [(lo, text[lo:hi], text[max(0, lo - CONTEXT):lo], text[hi:hi + CONTEXT]) for lo, hi in sorted(spans)]
 
 
 def grams(word: str) -> list[str]:

@@ -396,3 +396,24 @@ def test_pii_surrogates_never_run_out(spark):
 def test_pii_numbers_that_grew_are_written_whole(spark):
     row = spark.createDataFrame([("+1 23 45", "phone", "+1987612")], "entity string, kind string, core string")
     assert row.select(pii._formatted(*map(row.__getitem__, row.columns))).first()[0] == "+1 98 7612"
+
+
+def test_short_announced_secrets_are_candidates(make):
+    found = lambda t: [(s, v) for s, v, _, _ in secrets.candidates(t)]
+    assert found('password = "Tr0ub4dor3"') == [(12, "Tr0ub4dor3")] and found("pass: 'aB3$x!9k.Q2' x") == [(7, "aB3$x!9k.Q2")]
+    assert found('{"api_key": "a.b!1"}') == [(13, "a.b!1")] and found("auth_token=x9, y") == [(11, "x9")] and found("secret: p@ss word1") == [(8, "p@ss")]
+    assert found("token=password=q1") == [(6, "password=q1"), (15, "q1")] and found("the author: Bo") == [] == found(None) == found("password: ")
+    long = "0123456789abcdef" * 2
+    assert found(f"token: {long}") == [(7, long)] and found(f"key {long}, x") == [(4, long)]
+    rng = random.Random(37)
+    kinds = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    rows, want = [], {}
+    for i in range(240):
+        secret = "".join(rng.choice(kinds) for _ in range(5)) + rng.choice("$!@.%") + f"{rng.randrange(10)}" + "".join(rng.choice(kinds) for _ in range(4))
+        head = prose(rng, 20).replace("\n", " ")
+        value, real = (secret, True) if i % 2 else (rng.choice([w for w in VOCAB if len(w) > 4]), False)
+        text = f'{head} {rng.choice(["password = ", "pass: "])}"{value}" {prose(rng, 5)}'
+        rows.append((i, text))
+        want[i, text.index('"') + 1] = real
+    got = {(r["doc_id"], r["start"]): r["is_secret"] for r in secrets.scan_secrets(make(rows)).collect()}
+    assert set(want) <= set(got) and {k: got[k] for k in want} == want
