@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import chat, decontamination, line_dedup, line_frequency, lsh_forest, masked_lm, packing, pii, secrets, toxicity
@@ -53,11 +53,13 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a finished conversation is a log of one message event per turn
+    # a finished conversation is a log of one message event per row; rows that
+    # share a turn or have none keep places of their own
     said = "\\### Assistant: </turn> ok"
     hard = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
-    events = rows.withColumn("seq", F.col("turn")).withColumn("kind", F.lit("message"))
+    place = Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    events = rows.withColumn("turn", F.row_number().over(place)).withColumn("seq", F.col("turn")).withColumn("kind", F.lit("message"))
     return chat.digest(chat.render(chat.fold_events(events)))
 
 

@@ -109,6 +109,22 @@ def test_chat_round_trip_of_hostile_texts(spark):
     assert chat.digest(chat.render(rows_of(spark, []))).count() == 0
 
 
+def test_chat_query_formats_every_row(spark, tmp_path):
+    rows = [(1, 3, "user", "b"), (1, 3, "assistant", "a"), (1, 3, "user", "a"), (1, None, "system", "s"), (1, None, "assistant", "t"),
+            (2, 0, "assistant", "same"), (2, 0, "assistant", "same"), (2, 1, None, "x"), (2, 1, "user", None), (None, 0, "assistant", "y"), (None, 0, "user", "z")]
+    rows_of(spark, rows).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r for r in queries.op9_chat_formatting(spark, str(tmp_path)).collect()}
+    by = defaultdict(list)
+    for c, t, role, text in rows:
+        by[c].append((-1 if t is None else t, role or "", text or ""))
+    assert set(got) == {*by, -7}
+    for c, turns in by.items():
+        said = "".join(f"{r}\n{x}\n" for _, r, x in sorted(turns))
+        loss = "".join(x for _, r, x in sorted(turns) if r == "assistant")
+        assert got[c]["n_turns"] == len(turns) and got[c]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+
+
 def test_events_fold_to_final_messages(spark):
     log = [(1, 1, 0, "message", "user", "hi"), (1, 2, 1, "delta", "assistant", "he"), (1, 3, 1, "delta", None, "llo"),
            (1, 4, 2, "message", "user", "more"), (1, 5, 1, "regenerate", None, None), (1, 6, 1, "delta", None, "new "),
