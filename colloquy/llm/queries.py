@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, line_dedup, line_frequency, lsh_forest, masked_lm, packing, pii, secrets, toxicity
+from . import (
+    chat, decontamination, digest_history, line_dedup, line_frequency, lsh_forest, masked_lm, packing, pii, secrets, toxicity,
+)
 from .common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -71,10 +73,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("toxicity_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_history.exact_dedup(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_pii_surrogates, op2_best_fit_packing, op3_benchmark_decontamination, op4_line_dedup, op5_ngram_jaccard_join,
         op6_lm_scoring, op7_quality_rules, op8_secret_scan, op9_chat_formatting, op10_toxicity,
+        op11_exact_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op11_exact_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents
+        )
+        SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
+               row_number() OVER w = 1 AS kept, h AS text_sha256,
+               coalesce(first_value(doc_id) OVER w
+                        <= (SELECT min(doc_id) + (max(doc_id) - min(doc_id)) // 2 FROM documents), false) AS in_history
+        FROM d WINDOW w AS (PARTITION BY h ORDER BY doc_id NULLS LAST)
+    """,
+}
