@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import (
-    chat, decontamination, digest_history, line_dedup, line_frequency, lsh_forest, masked_lm, packing, pii, secrets, toxicity,
+    chat, decontamination, digest_history, line_dedup, line_frequency, lsh_forest, masked_lm, packing,
+    phrase_mining, pii, secrets, toxicity,
 )
 from .common import read
 
@@ -77,11 +78,15 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_history.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_pii_surrogates, op2_best_fit_packing, op3_benchmark_decontamination, op4_line_dedup, op5_ngram_jaccard_join,
         op6_lm_scoring, op7_quality_rules, op8_secret_scan, op9_chat_formatting, op10_toxicity,
-        op11_exact_dedup,
+        op11_exact_dedup, op12_phrase_mining,
     )
 }
 ORACLE_SQL: dict[str, str] = {
@@ -95,4 +100,35 @@ ORACLE_SQL: dict[str, str] = {
                         <= (SELECT min(doc_id) + (max(doc_id) - min(doc_id)) // 2 FROM documents), false) AS in_history
         FROM d WINDOW w AS (PARTITION BY h ORDER BY doc_id NULLS LAST)
     """,
+    "op12_phrase_mining": r"""
+        WITH texts AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+        ), pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM texts),
+        lists AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+        totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM lists GROUP BY lang),
+        sizes AS (SELECT unnest(range(1, 6)) AS k),
+        places AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM lists, sizes),
+        freq AS (
+            SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, any_value(w[i:i + k - 1]) AS w, k, count(*) AS f
+            FROM places GROUP BY 1, 2, k HAVING count(*) >= 100
+        ), cuts AS (SELECT lang, phrase, w, k, f AS a, unnest(range(1, k)) AS c FROM freq WHERE k > 1),
+        scored AS (
+            SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, t.n,
+                   ((1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f))::BIGINT AS score,
+                   row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY (1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f), c.c) AS place
+            FROM cuts c JOIN totals t ON c.lang = t.lang
+            JOIN freq x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.c], ' ')
+            JOIN freq y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.c + 1:], ' ')
+        ), starts AS (SELECT lang, w, k, f, unnest(range(1, k)) AS i FROM freq WHERE k > 2),
+        ends AS (SELECT lang, w, k, f, i, unnest(range(i + 1, k + 1)) AS j FROM starts),
+        inside AS (
+            SELECT lang, array_to_string(w[i:j], ' ') AS phrase, max(f) AS f FROM ends WHERE j - i + 1 < k GROUP BY 1, 2
+        ), ranked AS (
+            SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank
+            FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase
+            WHERE place = 1 AND (i.f IS NULL OR 100 * i.f < 100 * s.a)
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+    """,
 }
