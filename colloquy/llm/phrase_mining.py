@@ -34,7 +34,7 @@ NO_LANG = "und"
 # words a worker encodes at a time, and words of a shard on average; the
 # passes hold some 60 bytes for each word of a shard
 CHUNK_WORDS = 1 << 18
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 3 << 20
 # bits of the union's bitmap (16 MB), and of a part that one task builds
 UNION_BITS, PART_BITS = 27, 15
 
@@ -109,27 +109,34 @@ def phrases(codes: np.ndarray, hashes: np.ndarray, least: int, union: np.ndarray
     there; as the bitmap is the same in all shards, so is what is counted.
     """
     here = codes != BREAK  # places where a phrase of the last length starts
-    ident, h = codes.astype(np.int64), hashes[codes]
+    ident, h = codes.copy(), hashes[codes]
     for k in range(1, MAX_WORDS + 1):
         if k == 1:
-            at = np.flatnonzero(here)
-            key = ident[at]
+            at = np.flatnonzero(here).astype(np.int32)
+            key = ident[at].astype(np.int64)
         else:
-            at = np.flatnonzero(here[:-1] & here[1:])
+            at = np.flatnonzero(here[:-1] & here[1:]).astype(np.int32)
             last = codes[at + k - 1]
-            key = ident[at] * len(hashes) + last
-            mixed = (h[at] ^ (h[at] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-            h[at] = mixed + hashes[last]
+            key = ident[at].astype(np.int64) * len(hashes) + last
+            mixed = h[at]
+            mixed ^= mixed >> np.uint64(29)
+            mixed *= np.uint64(0x9E3779B97F4A7C15)
+            mixed += hashes[last]
+            h[at] = mixed
+            del mixed, last
         if union is not None:
             bit = h[at] >> np.uint64(64 - UNION_BITS)
             known = (union[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
             at, key = at[known], key[known]
-        order = np.argsort(key, kind="stable")
+            del bit, known
+        order = np.argsort(key)
         at, key = at[order], key[order]
+        del order
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
         counts = np.diff(np.append(starts, len(key)))
         often = counts >= least
-        of = np.repeat(np.where(often, np.cumsum(often) - 1, -1), counts)
+        of = np.repeat(np.where(often, np.cumsum(often) - 1, -1).astype(np.int32), counts)
+        del key
         here = np.zeros(len(codes), bool)
         here[at[of >= 0]] = True
         ident[at] = of
