@@ -10,9 +10,10 @@ the exact counts decide.
 The union is handed to the second pass as a bitmap of fixed size over phrase
 hashes. A phrase that is not in the union but shares a bit is counted in every
 shard as well and fails on its exact count, so the result does not depend on
-the bitmap. The support is a fixed number of occurrences: beyond as many
-shards in a language the local support is one and the first pass lists every
-phrase of a shard.
+the bitmap. A language has a fixed number of shards until they outgrow a
+worker's memory. The support is a fixed number of occurrences: in a language
+of more shards than that the local support is one, and the first pass lists
+every phrase of a shard; larger shards (``shard_words``) put that off.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ NO_LANG = "und"
 # passes hold some 60 bytes for each word of a shard
 CHUNK_WORDS = 1 << 18
 SHARD_WORDS = 3 << 20
+# shards of a language; more only when they would be larger than that
+SHARDS = 32
 # bits of the union's bitmap (16 MB), and of a part that one task builds
 UNION_BITS, PART_BITS = 27, 15
 
@@ -174,13 +177,14 @@ def _bitmap(slots: DataFrame) -> np.ndarray:
     return union
 
 
-def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, lang_col: str = "lang", text_col: str = "text",
+                  shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """``(lang, n)`` and ``(lang, phrase, f)`` of all phrases of one to five
     words that occur ``min_count`` times or more in their language."""
     chunks = encoded_words(docs, lang_col, text_col)
     totals = keep(chunks.groupBy("lang").agg(F.sum("n").alias("total")))
     shards = chunks.join(totals, "lang").withColumn(
-        "shard", F.pmod(F.xxhash64("chunk"), F.ceil(F.col("total") / SHARD_WORDS)))
+        "shard", F.pmod(F.xxhash64("chunk"), F.greatest(F.lit(SHARDS).cast("long"), F.ceil(F.col("total") / shard_words))))
     spark = docs.sparkSession
     union = spark.sparkContext.broadcast(_bitmap(locally_frequent(shards, min_count)))
 
@@ -201,7 +205,8 @@ def _part(words: Column, start: Column, length: Column) -> Column:
     return F.array_join(F.slice(words, start, length), " ")
 
 
-def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, lang_col: str = "lang", text_col: str = "text",
+                 shard_words: int = SHARD_WORDS) -> DataFrame:
     """The first ``top`` collocations of each language: ``lang, rank, phrase,
     a, l, r, n, score``.
 
@@ -216,7 +221,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, la
     rows count again, and an empty table gives no rows. Other columns,
     whatever their names, are not read.
     """
-    totals, frequent = phrase_counts(docs, min_count, lang_col, text_col)
+    totals, frequent = phrase_counts(docs, min_count, lang_col, text_col, shard_words)
     words = F.split("phrase", " ")
     rows = frequent.withColumn("words", words).withColumn("k", F.size("words"))
     long = rows.where("k > 1")

@@ -66,9 +66,9 @@ def found(df):
 
 def test_equals_brute_force_over_many_shards(spark, monkeypatch):
     rows = texts(1)
-    monkeypatch.setattr(phrase_mining, "SHARD_WORDS", 800)
+    monkeypatch.setattr(phrase_mining, "SHARDS", 1)
     for least, top in ((6, 5000), (25, 4)):
-        assert found(phrase_mining.collocations(frame(spark, rows), least, top)) == brute(rows, least, top)
+        assert found(phrase_mining.collocations(frame(spark, rows), least, top, shard_words=800)) == brute(rows, least, top)
 
 
 def test_one_shard_and_empty_table(spark):
