@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import (
     chat, decontamination, digest_history, line_dedup, line_frequency, lsh_forest, masked_lm, packing,
-    phrase_mining, pii, secrets, toxicity,
+    periodic_runs, phrase_mining, pii, secrets, toxicity,
 )
 from .common import read
 
@@ -82,11 +82,36 @@ def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_mining.collocations(read(spark, sf_dir, "documents"))
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` where, in texts whose id has crc32 0 modulo 10, the
+    words from one on are those of a first period over and over."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.array_remove(F.split("text", digest_history.BLANKS), ""))
+    own = docs.select("doc_id", "text", words.alias("w"), F.floor(h / 10).alias("g"))
+    own = own.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    own = own.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    again = F.expr("slice(flatten(array_repeat(slice(w, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a)")
+    return own.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.concat(F.expr("slice(w, 1, a)"), again), " "))
+                      .otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_periods(read(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("q"))))
+    told = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    out = found.select("doc_id", "runs", "collapsed", best.alias("b"), told.alias("told"))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("b.s")).alias("start"), F.col("b.length").alias("length"),
+        (-F.col("b.q")).alias("period"), F.expr("(1000 * b.length) div (-b.q)").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("told", lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_pii_surrogates, op2_best_fit_packing, op3_benchmark_decontamination, op4_line_dedup, op5_ngram_jaccard_join,
         op6_lm_scoring, op7_quality_rules, op8_secret_scan, op9_chat_formatting, op10_toxicity,
-        op11_exact_dedup, op12_phrase_mining,
+        op11_exact_dedup, op12_phrase_mining, op13_periodic_runs,
     )
 }
 ORACLE_SQL: dict[str, str] = {
