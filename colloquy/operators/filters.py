@@ -73,12 +73,13 @@ def on_date(meetings: DataFrame, day: str) -> DataFrame:
     return meetings.filter(F.to_date("start_time") == F.to_date(F.lit(day)))
 
 
-def issue_meetings(issues: DataFrame, meetings: DataFrame, limit: int | None = None) -> DataFrame:
+def issue_meetings(issues: DataFrame, meetings: DataFrame) -> DataFrame:
     """FIL12: for each issue, the meetings whose title or summary contains
-    its first two words. The issue list is a top-k result (bounded), so it is
+    its first two words ('%' and '_' keep their wildcard meaning, a backslash
+    stands for itself). The issue list is a top-k result (bounded), so it is
     broadcast into one nested-loop join over the meetings scan."""
     q = issues.select(F.col("topic").alias("issue"),
-                      F.substring_index(F.col("topic"), " ", 2).alias("_q"))
+                      F.replace(F.substring_index(F.col("topic"), " ", 2), F.lit("\\"), F.lit("\\\\")).alias("_q"))
     pattern = F.concat(F.lit("%"), F.col("_q"), F.lit("%"))
     cond = F.ilike(F.col("title"), pattern) | F.ilike(F.coalesce(F.col("summary"), F.lit("")), pattern)
     return (meetings.join(F.broadcast(q), cond)

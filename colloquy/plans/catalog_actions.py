@@ -30,7 +30,8 @@ def _deadline_sql(expr: str) -> str:
 
 
 def _strip(expr: str) -> str:
-    return f"regexp_replace({expr}, '^\\s+|\\s+$', '', 'g')"
+    blank = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+    return f"regexp_replace({expr}, '^{blank}|{blank}$', '', 'g')"
 
 
 ITEMS_SQL = f"""

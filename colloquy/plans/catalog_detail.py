@@ -55,7 +55,7 @@ def alg10_meeting_detail_one(spark, root):
 
 
 def _dash_sql() -> str:
-    m = "SELECT *, CAST(NULL AS VARCHAR) AS summary FROM b3_meetings"
+    m = "SELECT * FROM b3_meetings"
     return B.with_bindings(f"""
 SELECT 'kpis' AS section, 'total_meetings' AS item, CAST(count(*) AS DOUBLE) AS value, CAST(NULL AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS label, CAST(NULL AS BIGINT) AS support_calls FROM m
 UNION ALL SELECT 'kpis', 'average_sentiment', {Q.round_fixed('avg(sentiment_score)', 2)}, NULL, NULL, NULL FROM m
@@ -76,7 +76,7 @@ UNION ALL SELECT 'timeline', date, sentiment, count, NULL, NULL FROM timeline"""
 @register("alg14_dashboard", _dash_sql())
 def alg14_dashboard(spark, root):
     """ALG14: the dashboard bundle as one tagged table."""
-    m = B.b3_meetings(spark, root).withColumn("summary", F.lit(None).cast("string"))
+    m = B.b3_meetings(spark, root)
     d = B.b3_dictionaries().with_(issue_patterns=B.B5_ISSUE_PATTERNS, feature_patterns=B.B5_FEATURE_PATTERNS)
     return DT.dashboard(m, B.b5_topics(spark, root), d)
 
@@ -102,8 +102,8 @@ def raw_topics(spark, root):
                      F.concat(F.col("event_type"), F.lit(" "), F.regexp_extract("props", "[0-9]+", 0)).alias("topic"))
 
 
-# ids of turns are unique by construction; the raw topics repeat their key
-KEYS = {"raw_topics": ("meeting_id", "topic"), "b3_meetings": ("meeting_id",),
+# the raw topics repeat their key, the others have none that repeats
+KEYS = {"b1_segments": ("id",), "raw_topics": ("meeting_id", "topic"), "b3_meetings": ("meeting_id",),
         "b4_entities": ("meeting_id", "entity_name", "entity_type"),
         "b5_topics": ("meeting_id", "topic"), "b7_nodes": ("id",), "b7_edges": ("source", "target", "relation")}
 

@@ -15,12 +15,16 @@ from ..sources.tables import read_table
 from . import sqltext as Q
 from .registry import register
 
-# meetings with an (empty) summary column, as the list filters expect
-M_SQL = {"m": "SELECT *, CAST(NULL AS VARCHAR) AS summary FROM b3_meetings"}
+M_SQL = {"m": "SELECT * FROM b3_meetings"}
 
 
 def _m(spark, root):
-    return B.b3_meetings(spark, root).withColumn("summary", F.lit(None).cast("string"))
+    return B.b3_meetings(spark, root)
+
+
+def _listed(spark, root):
+    """Meetings with their summary, which the list filters search as well."""
+    return B.with_summary(spark, root, _m(spark, root))
 
 
 def sql(body: str, *extra_names: str, extra: dict | None = None) -> str:
@@ -172,31 +176,31 @@ LIST_FILTER = ("(title ILIKE '%the%' OR summary ILIKE '%the%') AND call_type = '
 LIST_ARGS = dict(search="the", call_type="External", sentiment="positive", customer="and")
 
 
-@register("fil5_meeting_filters", sql(f"SELECT * FROM m WHERE {LIST_FILTER}"))
+@register("fil5_meeting_filters", B.with_bindings(f"SELECT * FROM b3_summaries WHERE {LIST_FILTER}", "b3_summaries"))
 def fil5_meeting_filters(spark, root):
     """FIL1-FIL5: search, call type, sentiment and customer filters combined."""
-    return _m(spark, root).filter(FL.meeting_filters(**LIST_ARGS))
+    return _listed(spark, root).filter(FL.meeting_filters(**LIST_ARGS))
 
 
-@register("fil1_search_filter", sql("SELECT * FROM m WHERE title ILIKE '%th_t%' OR summary ILIKE '%th_t%'"))
+@register("fil1_search_filter", B.with_bindings("SELECT * FROM b3_summaries WHERE title ILIKE '%th_t%' OR summary ILIKE '%th_t%'", "b3_summaries"))
 def fil1_search_filter(spark, root):
     """FIL1: case-insensitive title/summary search ('_' stays a wildcard)."""
-    return _m(spark, root).filter(FL.meeting_filters(search="TH_T"))
+    return _listed(spark, root).filter(FL.meeting_filters(search="TH_T"))
 
 
-@register("srt1_meeting_page", sql("""
-SELECT * FROM m WHERE title ILIKE '%the%' OR summary ILIKE '%the%'
-ORDER BY start_time DESC, meeting_id LIMIT 12 OFFSET 12"""))
+@register("srt1_meeting_page", B.with_bindings("""
+SELECT * FROM b3_summaries WHERE title ILIKE '%the%' OR summary ILIKE '%the%'
+ORDER BY start_time DESC, meeting_id LIMIT 12 OFFSET 12""", "b3_summaries"))
 def srt1_meeting_page(spark, root):
     """SRT1: second page of 12 meetings matching a search, newest first."""
-    return FL.list_meetings(_m(spark, root), limit=12, offset=FL.page_offset(2), search="the")
+    return FL.list_meetings(_listed(spark, root), limit=12, offset=FL.page_offset(2), search="the")
 
 
-@register("agg28_filtered_total", sql("""
-SELECT count(*) AS total FROM m WHERE title ILIKE '%the%' OR summary ILIKE '%the%'"""))
+@register("agg28_filtered_total", B.with_bindings("""
+SELECT count(*) AS total FROM b3_summaries WHERE title ILIKE '%the%' OR summary ILIKE '%the%'""", "b3_summaries"))
 def agg28_filtered_total(spark, root):
     """AGG28: total of the filtered list before paging."""
-    return FL.count_meetings(_m(spark, root), search="the")
+    return FL.count_meetings(_listed(spark, root), search="the")
 
 
 @register("fil6_non_internal", sql("SELECT * FROM m WHERE call_type != 'Internal'"))

@@ -112,18 +112,23 @@ def agg14_topic_totals(spark, root):
     return A.topic_totals(_tct(spark, root), 12)
 
 
+# names spoken in the meetings stand for topics here, as titles and summaries hold them
+SPOKEN = ("was", "with", "th")
+
+
 @register("fil12_issue_drilldown", B.with_bindings("""
 SELECT issue, meeting_id, title, start_time, rank FROM (
   SELECT i.topic AS issue, m.meeting_id, m.title, m.start_time,
          row_number() OVER (PARTITION BY i.topic ORDER BY m.start_time DESC, m.meeting_id) AS rank
-  FROM b3_meetings m JOIN issues i
-    ON m.title ILIKE concat('%', split_part(i.topic, ' ', 1) || CASE WHEN contains(i.topic, ' ') THEN ' ' || split_part(i.topic, ' ', 2) ELSE '' END, '%'))
-WHERE rank <= 20""", "b5_topics", "b3_meetings", extra={"issues": issues_sql(("error", "click", "view", "signup", "purchase"))}))
+  FROM b3_summaries m JOIN issues i
+    ON contains(lower(m.title), lower(i.words)) OR contains(lower(coalesce(m.summary, '')), lower(i.words)))
+WHERE rank <= 20""", "b4_entities", "b3_summaries", extra={"issues": f"""
+SELECT entity_name AS topic, array_to_string(string_split(entity_name, ' ')[1:2], ' ') AS words
+FROM b4_entities WHERE {Q.any_contains('entity_name', SPOKEN)} GROUP BY entity_name ORDER BY count(*) DESC, entity_name LIMIT 10"""}))
 def fil12_issue_drilldown(spark, root):
     """FIL12: for each listed topic, up to 20 newest meetings whose title or
     summary contains the topic's first two words."""
-    topics = A.topics_matching(B.b5_topics(spark, root), ("error", "click", "view", "signup", "purchase"))
-    m = B.b3_meetings(spark, root).withColumn("summary", F.lit(None).cast("string"))
-    hits = FL.issue_meetings(topics, m)
+    topics = A.topics_matching(B.b4_entities(spark, root).withColumnRenamed("entity_name", "topic"), SPOKEN)
+    hits = FL.issue_meetings(topics, B.with_summary(spark, root, B.b3_meetings(spark, root)))
     return top_k_per_group(hits, "issue", [F.col("start_time").desc(), F.col("meeting_id")], 20).select(
         "issue", "meeting_id", "title", "start_time", F.col("rank").cast("long").alias("rank"))

@@ -12,7 +12,8 @@ B4 entities      whole-word mentions of stand-in terms in B2
 B5 topics        distinct (user, event type + number) topics
 B6 documents     documents as searchable meetings and their lines
 B7 graph         star-schema dimensions as a property graph
-B8 action items  conversation turns rewritten as action-item strings
+B8 action items  whole conversation turns as action items, with owners and
+                 deadlines around the text
 B9 addresses     page hosts as mail addresses
 """
 
@@ -120,6 +121,13 @@ def b3_meetings(spark: SparkSession, root: str) -> DataFrame:
          .otherwise(F.lit("External")).alias("call_type"))
 
 
+def with_summary(spark: SparkSession, root: str, meetings: DataFrame) -> DataFrame:
+    """The meetings with a ``summary``: the text of the conversation's second turn."""
+    said = (read_table(spark, root, "conversations").filter(F.col("turn") == 1)
+            .select(F.col("conv_id").alias("meeting_id"), F.col("text").alias("summary")))
+    return meetings.join(said, "meeting_id", "left")
+
+
 def b4_mentions(spark: SparkSession, root: str) -> DataFrame:
     return turn_mentions(b2_text(spark, root), "sentence", "speaker_name", B2_DICTIONARIES)
 
@@ -162,15 +170,15 @@ def b7_nodes(spark: SparkSession, root: str) -> DataFrame:
     sup = read_table(spark, root, "supplier")
     part = read_table(spark, root, "part")
     return (cust.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("label"), F.lit("Customer").alias("type"))
-            .unionByName(nat.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("label"), F.lit("Topic").alias("type")))
-            .unionByName(sup.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("label"), F.lit("Speaker").alias("type")))
-            .unionByName(part.filter(F.col("p_partkey") % 10 != 0)
-                         .select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("label"), F.lit("Product").alias("type"))))
+            .unionByName(nat.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("label"), F.lit("Product").alias("type")))
+            .unionByName(sup.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("label"), F.lit("Competitor").alias("type")))
+            .unionByName(part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("label"), F.lit("Topic").alias("type"))))
 
 
 def b7_edges(spark: SparkSession, root: str) -> DataFrame:
     cust = read_table(spark, root, "customer")
     sup = read_table(spark, root, "supplier")
+    nat = read_table(spark, root, "nation")
     orders = read_table(spark, root, "orders").select("o_orderkey", "o_custkey")
     li = read_table(spark, root, "lineitem").select("l_orderkey", "l_partkey")
     bought = (orders.join(li, orders.o_orderkey == li.l_orderkey)
@@ -183,19 +191,25 @@ def b7_edges(spark: SparkSession, root: str) -> DataFrame:
             .unionByName(sup.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("source"),
                                     F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("target"),
                                     F.lit("DISCUSSES_TOPIC").alias("relation")))
+            # regions are no nodes: these edges have a dangling end
+            .unionByName(nat.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("source"),
+                                    F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("target"),
+                                    F.lit("AFFECTS").alias("relation")))
             .unionByName(bought))
 
 
 def b8_items(spark: SparkSession, root: str) -> DataFrame:
     conv = read_table(spark, root, "conversations")
     t = F.col("turn")
-    prefix = F.when(t % 5 == 4, F.lit("")).otherwise(F.concat(F.col("role"), F.lit(": ")))
+    role = F.coalesce("role", F.lit(""))
+    prefix = (F.when(t % 5 == 4, F.lit("")).when(t % 5 == 2, F.concat(role, F.lit(": note: ")))
+              .otherwise(F.concat(role, F.lit(": "))))
     suffix = (F.when(t % 6 == 0, F.lit(" THIS week")).when(t % 6 == 1, F.lit(" by Friday"))
               .when(t % 6 == 2, F.lit(" next week"))
               .when(t % 6 == 3, F.concat(F.lit(" within "), t.cast("string"), F.lit(" business days")))
               .when(t % 6 == 4, F.lit(" before the March billing")).otherwise(F.lit("")))
     return conv.select(F.col("conv_id").alias("meeting_id"), t.alias("pos"),
-                       F.concat(prefix, F.lit("do it"), suffix).alias("item"))
+                       F.concat(prefix, F.coalesce("text", F.lit("")), suffix).alias("item"))
 
 
 def b9_addresses(spark: SparkSession, root: str) -> DataFrame:
@@ -227,6 +241,8 @@ FROM (SELECT user_id AS meeting_id, min(ts) AS start_time, max(ts) AS end_time,
              CAST(5 AS DOUBLE) - CAST(4 AS DOUBLE) * CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS sentiment_score
       FROM events GROUP BY user_id) e
 LEFT JOIN (SELECT conv_id, text AS title FROM conversations WHERE turn = 0) c ON c.conv_id = e.meeting_id""",
+    "b3_summaries": """
+SELECT m.*, c.text AS summary FROM b3_meetings m LEFT JOIN (SELECT conv_id, text FROM conversations WHERE turn = 1) c ON c.conv_id = m.meeting_id""",
     "b4_mentions": """
 SELECT DISTINCT meeting_id, speaker_name, term AS entity_name, kind AS entity_type FROM b2_text
 JOIN (SELECT 'from' AS term, 'Competitor' AS kind UNION ALL SELECT 'was', 'Competitor' UNION ALL SELECT 'with', 'Competitor'
@@ -248,16 +264,17 @@ SELECT doc_id AS meeting_id, CAST(generate_subscripts(string_split(text, chr(10)
 FROM documents""",
     "b7_nodes": """
 SELECT concat('c', c_custkey) AS id, c_name AS label, 'Customer' AS type FROM customer
-UNION ALL SELECT concat('n', n_nationkey), n_name, 'Topic' FROM nation
-UNION ALL SELECT concat('s', s_suppkey), s_name, 'Speaker' FROM supplier
-UNION ALL SELECT concat('p', p_partkey), p_name, 'Product' FROM part WHERE p_partkey % 10 <> 0""",
+UNION ALL SELECT concat('n', n_nationkey), n_name, 'Product' FROM nation
+UNION ALL SELECT concat('s', s_suppkey), s_name, 'Competitor' FROM supplier
+UNION ALL SELECT concat('p', p_partkey), p_name, 'Topic' FROM part""",
     "b7_edges": """
 SELECT concat('c', c_custkey) AS source, concat('n', c_nationkey) AS target, 'AFFECTS' AS relation FROM customer
 UNION ALL SELECT concat('s', s_suppkey), concat('n', s_nationkey), 'DISCUSSES_TOPIC' FROM supplier
+UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey), 'AFFECTS' FROM nation
 UNION ALL SELECT DISTINCT concat('c', o_custkey), concat('p', l_partkey), 'DISCUSSES' FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
     "b8_items": """
 SELECT conv_id AS meeting_id, turn AS pos,
-       concat(CASE WHEN turn % 5 = 4 THEN '' ELSE concat(role, ': ') END, 'do it',
+       concat(CASE turn % 5 WHEN 4 THEN '' WHEN 2 THEN concat(coalesce(role, ''), ': note: ') ELSE concat(coalesce(role, ''), ': ') END, coalesce(text, ''),
               CASE turn % 6 WHEN 0 THEN ' THIS week' WHEN 1 THEN ' by Friday' WHEN 2 THEN ' next week'
                             WHEN 3 THEN concat(' within ', turn, ' business days') WHEN 4 THEN ' before the March billing' ELSE '' END) AS item
 FROM conversations""",
@@ -265,7 +282,7 @@ FROM conversations""",
 SELECT page_id AS meeting_id, concat('user', page_id, '@', regexp_extract(url, '://([^/:]+)', 1)) AS email FROM pages""",
 }
 
-DEPENDS = {"b4_mentions": ("b2_text",), "b4_entities": ("b4_mentions",)}
+DEPENDS = {"b3_summaries": ("b3_meetings",), "b4_mentions": ("b2_text",), "b4_entities": ("b4_mentions",)}
 
 
 def with_bindings(body: str, *names: str, extra: dict[str, str] | None = None) -> str:
