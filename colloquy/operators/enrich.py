@@ -55,20 +55,23 @@ def dictionary_first_match(df: DataFrame, text_col: str, dictionary: DataFrame,
 
 # ------------------------------------------------------------- action items
 def action_items(items: DataFrame, meeting_col: str = "meeting_id", pos_col: str = "pos",
-                 item_col: str = "item", d: Dictionaries = DEFAULT) -> DataFrame:
+                 item_col: str = "item", d: Dictionaries = DEFAULT, keep_pos: bool = False) -> DataFrame:
     """ENR7-ENR10: one action-item row per raw item string.
 
     id ``{meeting}_ai_{pos}``, owner/task split at the first colon, deadline
-    label from the ordered patterns, status 'Open'.
+    label from the ordered patterns, status 'Open'; with ``keep_pos`` also the
+    position, ``pos``.
     """
     owner, task = C.split_owner_task(F.col(item_col))
+    pos = [F.col(pos_col).alias("pos")] if keep_pos else []
     base = items.select(
+        *pos,
         F.concat(F.col(meeting_col).cast("string"), F.lit("_ai_"), F.col(pos_col).cast("string")).alias("id"),
         F.col(meeting_col).alias("meeting_id"),
         task.alias("task"), owner.alias("owner"))
     return base.select("id", "meeting_id", "task", "owner",
                        C.deadline_label(F.col("task"), d).alias("deadline"),
-                       F.lit(DICT.DEFAULT_STATUS).alias("status"))
+                       F.lit(DICT.DEFAULT_STATUS).alias("status"), *["pos"] * keep_pos)
 
 
 # ------------------------------------------------------------ speaker roles

@@ -104,8 +104,7 @@ def _kg(spark, root):
     meetings = (B.b3_meetings(spark, root).join(mails, "meeting_id", "left")
                 .select("meeting_id", "title", "call_type",
                         C.resolve_account("title", F.coalesce("all_emails", F.array().cast("array<string>")), d3).alias("account")))
-    items = E.action_items(B.b8_items(spark, root), "meeting_id", "pos", "item").join(
-        B.b8_items(spark, root).select(F.concat(F.col("meeting_id").cast("string"), F.lit("_ai_"), F.col("pos").cast("string")).alias("id"), "pos"), "id")
+    items = E.action_items(B.b8_items(spark, root), "meeting_id", "pos", "item", keep_pos=True)
     topics = B.b5_topics(spark, root).withColumn("pos", F.lit(0))
     text = B.b2_text(spark, root)
     speakers = text.select("meeting_id", "speaker_name", F.col("turn_index").alias("pos"))

@@ -39,14 +39,14 @@ class Ingested:
     report: DataFrame
 
 
-def _doc_of(files: DataFrame, name: str) -> DataFrame:
-    return files.filter(F.col("file") == name).select("folder", "doc")
+def _doc_of(bundles: BN.Bundles, name: str) -> DataFrame:
+    return bundles.files.filter(F.col("file") == name).select("folder", "doc")
 
 
-def meetings_table(files: DataFrame, d: Dictionaries = DEFAULT) -> DataFrame:
+def meetings_table(bundles: BN.Bundles, d: Dictionaries = DEFAULT) -> DataFrame:
     """meetings plus the working columns the later steps need (all_emails,
     invitees count, account)."""
-    info = _doc_of(files, "meeting-info.json").select(
+    info = _doc_of(bundles, "meeting-info.json").select(
         "folder",
         BN.field("doc", "$.meetingId", "string").alias("meeting_id"),
         BN.field("doc", "$.title", "string", F.lit("Untitled Meeting")).alias("title"),
@@ -57,7 +57,7 @@ def meetings_table(files: DataFrame, d: Dictionaries = DEFAULT) -> DataFrame:
         BN.field("doc", "$.duration", "double").alias("duration"),
         F.coalesce(BN.field("doc", "$.allEmails", "array<string>"), F.array().cast("array<string>")).alias("all_emails"),
         F.size(BN.field("doc", "$.invitees", "array<string>")).alias("_invitees"))
-    summ = _doc_of(files, "summary.json").select(
+    summ = _doc_of(bundles, "summary.json").select(
         "folder",
         BN.field("doc", "$.summary", "string").alias("summary"),
         BN.field("doc", "$.overallSentiment", "string").alias("overall_sentiment"),
@@ -67,44 +67,38 @@ def meetings_table(files: DataFrame, d: Dictionaries = DEFAULT) -> DataFrame:
     return m.withColumn("account", C.resolve_account(F.coalesce("title", F.lit("")), "all_emails", d))
 
 
-def _ids(files: DataFrame) -> DataFrame:
-    return _doc_of(files, "meeting-info.json").select("folder", BN.field("doc", "$.meetingId", "string").alias("meeting_id"))
-
-
-def summary_children(files: DataFrame, ids: DataFrame, d: Dictionaries = DEFAULT):
+def summary_children(bundles: BN.Bundles, ids: DataFrame, d: Dictionaries = DEFAULT):
     """Action items, topics and key moments exploded from summary.json."""
-    summ = _doc_of(files, "summary.json").join(ids, "folder")
-    raw_items = summ.select("meeting_id", F.posexplode(BN.elements("doc", "$.actionItems")).alias("pos", "_v")) \
-        .select("meeting_id", "pos", F.try_variant_get("_v", "$", "string").alias("item"))
-    items = E.action_items(raw_items, "meeting_id", "pos", "item", d).join(
-        raw_items.select(F.concat("meeting_id", F.lit("_ai_"), F.col("pos").cast("string")).alias("id"), "pos"), "id")
-    topics_pos = (summ.select("meeting_id", F.posexplode(BN.elements("doc", "$.topics")).alias("pos", "_v"))
-                  .select("meeting_id", "pos", F.try_variant_get("_v", "$", "string").alias("topic"))
+    def children(key: str) -> DataFrame:
+        return BN.exploded(bundles, "summary.json", key).join(ids, "folder")
+
+    raw_items = children("actionItems").select("meeting_id", "pos", F.try_variant_get("value", "$", "string").alias("item"))
+    items = E.action_items(raw_items, "meeting_id", "pos", "item", d, keep_pos=True)
+    topics_pos = (children("topics").select("meeting_id", "pos", F.try_variant_get("value", "$", "string").alias("topic"))
                   .groupBy("meeting_id", "topic").agg(F.min("pos").alias("pos")))
-    moments = (summ.select("meeting_id", F.posexplode(BN.elements("doc", "$.keyMoments")).alias("pos", "_v"))
-               .select(F.concat("meeting_id", F.lit("_km_"), F.col("pos").cast("string")).alias("id"), "meeting_id",
-                       BN.field("_v", "$.time", "double").alias("time"), BN.field("_v", "$.text", "string").alias("text"),
-                       BN.field("_v", "$.type", "string").alias("type"), BN.field("_v", "$.speaker", "string").alias("speaker")))
+    moments = children("keyMoments").select(
+        F.concat("meeting_id", F.lit("_km_"), F.col("pos").cast("string")).alias("id"), "meeting_id",
+        BN.field("value", "$.time", "double").alias("time"), BN.field("value", "$.text", "string").alias("text"),
+        BN.field("value", "$.type", "string").alias("type"), BN.field("value", "$.speaker", "string").alias("speaker"))
     return items, topics_pos, moments
 
 
-def transcript_turns(files: DataFrame, ids: DataFrame) -> DataFrame:
+def transcript_turns(bundles: BN.Bundles, ids: DataFrame) -> DataFrame:
     """ENR13: one row per transcript turn; id from the position, turn_index
     from the record's ``index``; absent sentence '' and speaker 'Unknown'."""
-    tr = _doc_of(files, "transcript.json").join(ids, "folder")
-    return (tr.select("meeting_id", F.posexplode(BN.elements("doc", "$.data")).alias("pos", "_t"))
+    return (BN.exploded(bundles, "transcript.json", "data").join(ids, "folder")
             .select(F.concat("meeting_id", F.lit("_t_"), F.col("pos").cast("string")).alias("id"), "meeting_id", "pos",
-                    BN.field("_t", "$.sentence", "string", F.lit("")).alias("sentence"),
-                    BN.field("_t", "$.speaker_name", "string", F.lit("Unknown")).alias("speaker_name"),
-                    BN.field("_t", "$.sentimentType", "string").alias("sentiment_type"),
-                    BN.field("_t", "$.time", "double").alias("time"),
-                    BN.field("_t", "$.endTime", "double").alias("end_time"),
-                    BN.field("_t", "$.averageConfidence", "double").alias("average_confidence"),
-                    BN.field("_t", "$.index", "int").alias("turn_index")))
+                    BN.field("value", "$.sentence", "string", F.lit("")).alias("sentence"),
+                    BN.field("value", "$.speaker_name", "string", F.lit("Unknown")).alias("speaker_name"),
+                    BN.field("value", "$.sentimentType", "string").alias("sentiment_type"),
+                    BN.field("value", "$.time", "double").alias("time"),
+                    BN.field("value", "$.endTime", "double").alias("end_time"),
+                    BN.field("value", "$.averageConfidence", "double").alias("average_confidence"),
+                    BN.field("value", "$.index", "int").alias("turn_index")))
 
 
-def speaker_meta(files: DataFrame, ids: DataFrame) -> DataFrame:
-    sm = _doc_of(files, "speaker-meta.json").join(ids, "folder")
+def speaker_meta(bundles: BN.Bundles, ids: DataFrame) -> DataFrame:
+    sm = _doc_of(bundles, "speaker-meta.json").join(ids, "folder")
     return sm.select("meeting_id", F.explode(BN.speaker_meta_values("doc")).alias("speaker"))
 
 
@@ -118,15 +112,15 @@ def _materialise(df: DataFrame, work_dir: str | None, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def build_tables(spark: SparkSession, files: DataFrame, d: Dictionaries = DEFAULT,
+def build_tables(spark: SparkSession, bundles: BN.Bundles, d: Dictionaries = DEFAULT,
                  work_dir: str | None = None) -> dict[str, DataFrame]:
     """All eight tables from the accepted, staged bundle files. With
     ``work_dir`` the meeting rows and the transcript turns -- each read by
     several tables -- are parsed out of the documents once."""
-    meetings = _materialise(meetings_table(files, d), work_dir, "meetings")
+    meetings = _materialise(meetings_table(bundles, d), work_dir, "meetings")
     ids = meetings.select("folder", "meeting_id")
-    items, topics_pos, moments = summary_children(files, ids, d)
-    turns = _materialise(transcript_turns(files, ids), work_dir, "turns")
+    items, topics_pos, moments = summary_children(bundles, ids, d)
+    turns = _materialise(transcript_turns(bundles, ids), work_dir, "turns")
     roles = E.speaker_roles(turns, meetings.select("meeting_id", "all_emails", "host", "call_type"), "speaker_name", d)
     mentions = E.turn_mentions(turns, "sentence", "speaker_name", d)
     ents = E.entities(mentions)
@@ -135,7 +129,7 @@ def build_tables(spark: SparkSession, files: DataFrame, d: Dictionaries = DEFAUL
         items.select("id", "meeting_id", "task", "owner", "pos"),
         topics_pos.select("meeting_id", "topic", "pos"),
         turns.select("meeting_id", "speaker_name", "pos"),
-        mentions, ents, speaker_meta(files, ids), d)
+        mentions, ents, speaker_meta(bundles, ids), d)
     return {
         "meetings": SK.align(meetings, S.MEETINGS),
         "transcript_segments": SK.align(roles, S.TRANSCRIPT_SEGMENTS),
@@ -152,10 +146,9 @@ def ingest(spark: SparkSession, bundle_root: str, out_dir: str, d: Dictionaries
            write: bool = True, check_keys: bool = True) -> Ingested:
     """Run the whole ingestion; tables are written under ``out_dir`` (full
     refresh) and returned as DataFrames reading the written Parquet."""
-    staged = BN.stage_bundle_files(spark, bundle_root, os.path.join(out_dir, "_staging", "bundle_files"))
-    status = BN.gate(staged)
-    files = BN.accepted(staged, status)
-    tables = build_tables(spark, files, d, work_dir=os.path.join(out_dir, "_work"))
+    staged = BN.stage_bundles(spark, bundle_root, os.path.join(out_dir, "_staging"))
+    status = BN.gate(staged.files, folders=staged.folders)
+    tables = build_tables(spark, BN.accepted(staged, status), d, work_dir=os.path.join(out_dir, "_work"))
     if check_keys:
         for name, (_, keys) in S.TABLES.items():
             SK.enforce_keys(tables[name], keys, name)

@@ -1,9 +1,10 @@
 """Incremental ingestion of meeting bundles with Structured Streaming.
 
-New JSON files under ``<root>/<folder>/`` arrive as a file stream (one row
-per whole file). Each micro-batch (``foreachBatch``):
+New JSON files under ``<root>/<folder>/`` arrive as a file stream that carries
+their paths only. Each micro-batch (``foreachBatch``):
 
- 1. unions its parsed files with the *pending* files -- files of folders
+ 1. reads its files as the batch job does, so large documents are pulled
+    apart here too, and unions them with the *pending* files -- files of folders
     that were not yet complete (or not decodable) after the previous batch.
     Completeness across batches is this small state table, so a batch reads
     pending + new files, never the whole history;
@@ -40,13 +41,14 @@ PENDING = "_staging/pending"
 STATUS = "_ingest_status"
 
 
+# files of a micro-batch; their paths pass through the driver
+FILES_PER_BATCH = 10_000
+
+
 def _file_stream(spark: SparkSession, root: str) -> DataFrame:
-    raw = (spark.readStream.format("text").option("wholetext", True)
-           .option("pathGlobFilter", "*.json").load(os.path.join(root, "*")))
-    path = F.input_file_name()
-    return raw.select(F.regexp_extract(path, BN.FOLDER_RX, 1).alias("folder"),
-                      F.regexp_extract(path, BN.FILE_RX, 1).alias("file"),
-                      F.col("value").alias("text"))
+    return (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+            .option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", FILES_PER_BATCH).load(os.path.join(root, "*"))
+            .select("path"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -74,18 +76,20 @@ def process_batch(spark: SparkSession, batch: DataFrame, epoch: int, out_dir: st
                   d: Dictionaries = DEFAULT) -> None:
     pending_root = os.path.join(out_dir, PENDING)
     status_path = os.path.join(out_dir, STATUS)
-    new = (batch.filter(F.col("file").isin(*S.REQUIRED_FILES))
-           .select("folder", "file", F.try_parse_json("text").alias("doc"), F.lit(epoch).alias("seen")))
-    new_path = os.path.join(out_dir, STAGING, f"epoch={epoch}")
-    new.write.mode("overwrite").parquet(new_path)
-    files = spark.read.parquet(new_path)
+    paths = [r["path"] for r in batch.collect()]
+    if not paths:
+        return
+    new = BN.stage_bundles(spark, paths, os.path.join(out_dir, STAGING, f"epoch={epoch}"))
+    files, parts = new.files.withColumn("seen", F.lit(epoch)), new.parts.withColumn("seen", F.lit(epoch))
     previous = _latest_epoch_dir(spark, pending_root, epoch)
     if previous:
-        files = files.unionByName(spark.read.parquet(previous))
+        files = files.unionByName(spark.read.parquet(os.path.join(previous, "files")))
+        parts = parts.unionByName(spark.read.parquet(os.path.join(previous, "parts")))
     # the latest copy of each file (a re-sent file replaces the older one);
     # a partition holds the copies of one file, bounded by the re-sends
     latest = Window.partitionBy("folder", "file").orderBy(F.col("seen").desc())
     files = files.withColumn("_k", F.row_number().over(latest)).filter(F.col("_k") == 1).drop("_k")
+    parts = parts.join(files.select("folder", "file", "seen"), ["folder", "file", "seen"], "left_semi")
     status = BN.gate(files)
     if _exists(spark, status_path):
         # an epoch that is run again must not see what its first run accepted
@@ -95,13 +99,14 @@ def process_batch(spark: SparkSession, batch: DataFrame, epoch: int, out_dir: st
     work = os.path.join(out_dir, "_work", f"status-epoch={epoch}")
     status.write.mode("overwrite").parquet(work)
     status = spark.read.parquet(work)
-    accepted = BN.accepted(files.drop("seen"), status)
+    accepted = BN.accepted(BN.Bundles(files.drop("seen"), parts.drop("seen")), status)
     tables = build_tables(spark, accepted, d, work_dir=os.path.join(out_dir, "_work", f"epoch={epoch}"))
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(os.path.join(out_dir, name, f"epoch={epoch}"))
     waiting = status.filter(F.col("reason").isNotNull()).select("folder")
-    files.join(waiting, "folder", "left_semi").write.mode("overwrite").parquet(
-        os.path.join(pending_root, f"epoch={epoch}"))
+    for name, df in (("files", files), ("parts", parts)):
+        df.join(waiting, "folder", "left_semi").write.mode("overwrite").parquet(
+            os.path.join(pending_root, f"epoch={epoch}", name))
     # last: a crash before this leaves the epoch as if it had not run
     status.write.mode("overwrite").parquet(os.path.join(status_path, f"epoch={epoch}"))
 

