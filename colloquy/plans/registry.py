@@ -51,5 +51,5 @@ def all_queries() -> dict[str, Query]:
 
 def _load() -> None:
     # Importing the catalogs fills the registry.
-    from . import (catalog_actions, catalog_detail, catalog_entities, catalog_graph,  # noqa: F401
+    from . import (catalog_actions, catalog_bundles, catalog_detail, catalog_entities, catalog_graph,  # noqa: F401
                    catalog_meetings, catalog_search, catalog_segments, catalog_topics)
