@@ -9,8 +9,6 @@ mentions shuffles, after map-side partial aggregation.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +16,7 @@ from .. import dictionaries as DICT
 from ..dictionaries import DEFAULT, Dictionaries
 from ..functions import classify as C
 from ..functions import text as X
-
-# A dictionary given as a DataFrame is broadcast only up to this many rows.
-# dictionary rows sent to the executors at a time
-SLICE_DICTIONARY_ROWS = 100_000
+from .containment import containing
 
 
 # ----------------------------------------------------------------- accounts
@@ -38,21 +33,32 @@ def dictionary_first_match(df: DataFrame, text_col: str, dictionary: DataFrame,
     """First dictionary term (lowest rank) contained in ``text_col`` for each
     key, for dictionaries kept as DataFrames (JOI12).
 
-    The dictionary is broadcast in slices of bounded size; the join is a
-    broadcast nested-loop join with a ``contains`` predicate per slice and
-    ``min_by`` keeps list-order priority. Rows without a hit get NULL.
+    A large dictionary is looked up by anchors (see ``containment``), so no
+    text is tested against every term; ``min_by`` keeps list-order priority.
+    Rows without a hit get NULL.
     """
     ready = dictionary.select(F.lower(F.col(term_col)).alias("_term"), F.col(term_col).alias("_label"),
                               F.col(rank_col).alias("_rank"))
-    n = max(1, -(-dictionary.count() // SLICE_DICTIONARY_ROWS))
-    part = F.pmod(F.xxhash64("_term", "_rank"), F.lit(n))
-    slices = [F.broadcast(ready.where(part == k) if n > 1 else ready) for k in range(n)]
     texts = df.select(*key_cols, F.lower(F.col(text_col)).alias("_text"))
-    hits = (reduce(DataFrame.unionByName, [texts.join(s, F.col("_text").contains(F.col("_term"))) for s in slices])
+    hits = (containing(texts, ["_text"], ready, "_term", lambda c: F.col(c).contains(F.col("_term")))
             .groupBy(*key_cols).agg(F.min_by("_label", "_rank").alias(out)))
     return df.join(hits, on=key_cols, how="left")
 
 
+def dictionary_mentions(turns: DataFrame, dictionary: DataFrame, text_col: str = "sentence",
+                        keep: tuple[str, ...] = ("meeting_id", "speaker_name")) -> DataFrame:
+    """ENR15 / ENR16 for a dictionary kept as a DataFrame (term, entity_name,
+    entity_type): the distinct entities whose term is a whole word of the
+    lower-cased text, with the ``keep`` columns of the turn."""
+    terms = dictionary.select(F.lower("term").alias("_term"), "entity_name", "entity_type").distinct()
+    quoted = F.concat(F.lit("\\Q"), F.replace(F.col("_term"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    pattern = F.concat(F.lit(f"(?<![{X.WORD_CHARS}])"), quoted, F.lit(f"(?![{X.WORD_CHARS}])"))
+    texts = turns.select(*keep, F.lower(F.col(text_col)).alias("_text"))
+    hits = containing(texts, ["_text"], terms, "_term",
+                      lambda c: F.col(c).contains(F.col("_term")) & F.regexp_like(F.col(c), pattern))
+    return hits.select(*keep, "entity_name", "entity_type").distinct()
+
+
 # ------------------------------------------------------------- action items
 def action_items(items: DataFrame, meeting_col: str = "meeting_id", pos_col: str = "pos",
                  item_col: str = "item", d: Dictionaries = DEFAULT, keep_pos: bool = False) -> DataFrame:

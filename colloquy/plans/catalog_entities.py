@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics as A
 from ..operators import enrich as E
+from ..operators.ordering import group_ordinals
 from ..sources import bindings as B
+from ..sources.tables import read_table
 from . import sqltext as Q
 from .registry import register
 
@@ -97,3 +99,40 @@ def joi12_dictionary_first_match(spark, root):
     dic = spark.createDataFrame([(t, i) for i, t in enumerate(B.B3_ACCOUNTS)], "term string, rank int")
     m = B.b3_meetings(spark, root).select("meeting_id", "title")
     return E.dictionary_first_match(m, "title", dic, ["meeting_id"], out="account").select("meeting_id", "account")
+
+
+# the words of the conversations' first turns as a dictionary that grows with the data
+WORDS_SQL = """
+SELECT word AS term, CAST(row_number() OVER (ORDER BY n DESC, word) AS INTEGER) AS rank FROM (
+  SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS word FROM conversations WHERE turn = 0)
+  WHERE length(word) > 3 GROUP BY word)"""
+
+
+def _dictionary(spark, root):
+    first = read_table(spark, root, "conversations").filter(F.col("turn") == 0)
+    words = (first.select(F.explode(F.split(F.lower("text"), "[^\\p{L}]+")).alias("term")).filter(F.length("term") > 3)
+             .groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    # ranks of the distinct words; the sort is global, as a list's order is
+    ranked = group_ordinals(words.withColumn("_all", F.lit(0)), "_all", [F.col("n").desc(), "term"], ordinal_col="rank")
+    return ranked.select("term", F.col("rank").cast("int").alias("rank"))
+
+
+@register("joi12_large_dictionary", B.with_bindings("""
+SELECT m.meeting_id, arg_min(w.term, w.rank) AS term FROM b6_meetings m LEFT JOIN words w ON contains(lower(m.title), w.term)
+GROUP BY m.meeting_id""", "b6_meetings", extra={"words": WORDS_SQL}))
+def joi12_large_dictionary(spark, root):
+    """JOI12: first term of a dictionary that grows with the data in each
+    title, looked up by anchors."""
+    m = B.b6_meetings(spark, root).select("meeting_id", "title")
+    return E.dictionary_first_match(m, "title", _dictionary(spark, root), ["meeting_id"], out="term").select("meeting_id", "term")
+
+
+@register("enr15_large_dictionary", B.with_bindings("""
+SELECT DISTINCT t.meeting_id, t.speaker_name, w.term AS entity_name, 'Word' AS entity_type
+FROM (SELECT meeting_id, speaker_name, unnest(regexp_split_to_array(lower(sentence), '[^\\p{L}\\p{N}_]+')) AS word FROM b2_text) t
+JOIN words w ON t.word = w.term""",
+    "b2_text", extra={"words": WORDS_SQL}))
+def enr15_large_dictionary(spark, root):
+    """ENR15 (JOI12): whole-word mentions of a dictionary that grows with the data."""
+    words = _dictionary(spark, root).select("term", F.col("term").alias("entity_name"), F.lit("Word").alias("entity_type"))
+    return E.dictionary_mentions(B.b2_text(spark, root), words)
