@@ -11,7 +11,7 @@ joining labels, so a hub node costs one partial-aggregate row per task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dictionaries as DICT
@@ -119,20 +119,39 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .orderBy(F.col("degree").desc(), F.col("label"), F.col("type")))
 
 
+# slots of the seed filter sent to the executors: at most so many integers
+SEED_SLOTS = 1 << 20
+
+
+def _slot(c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(SEED_SLOTS)).cast("int")
+
+
+def touching_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """JOI8: the edges with an end among ``seeds(_sid)``, distinct ids.
+
+    Each edge is read once and stays one row. Where it is scanned, the slots
+    of its ends are looked up in the broadcast slots of the seeds, a filter of
+    bounded size; only what may touch a seed is joined with the ids."""
+    taken = F.broadcast(seeds.select(_slot("_sid").alias("_taken")).distinct())
+    near = (edges.join(taken.withColumnRenamed("_taken", "_s"), _slot("source") == F.col("_s"), "left")
+            .join(taken.withColumnRenamed("_taken", "_t"), _slot("target") == F.col("_t"), "left")
+            .filter("_s IS NOT NULL OR _t IS NOT NULL").drop("_s", "_t"))
+    return (near.join(seeds.withColumnRenamed("_sid", "_from"), near.source == F.col("_from"), "left")
+            .join(seeds.withColumnRenamed("_sid", "_to"), near.target == F.col("_to"), "left")
+            .filter("_from IS NOT NULL OR _to IS NOT NULL").select(*edges.columns))
+
+
 def neighbourhood(nodes: DataFrame, edges: DataFrame, query: str) -> tuple[DataFrame, DataFrame]:
     """ALG11 (JOI8, FIL9, SET2): seeds are nodes whose label contains the
     query (case-insensitive, wildcards kept); edges touching a seed; nodes =
-    seeds plus the existing ends of those edges."""
-    seeds = nodes.filter(F.col("label").ilike(like_pattern(query))).select(F.col("id").alias("_sid"))
-    # one pass over the edges: each edge once per end, one semi-join, then
-    # de-duplicate edges whose two ends are both seeds
-    ends = edges.select("source", "target", "relation", F.explode(F.array("source", "target")).alias("_end"))
-    touching = (ends.join(seeds, ends._end == seeds._sid, "left_semi")
-                .select("source", "target", "relation").distinct())
-    ids = (seeds.select(F.col("_sid").alias("_id"))
-           .unionByName(touching.select(F.explode(F.array("source", "target")).alias("_id")))
-           .distinct())
-    return nodes.join(ids, nodes.id == ids._id, "left_semi"), touching
+    seeds plus the existing ends of those edges. Node ids are unique."""
+    sought = F.col("label").ilike(like_pattern(query))
+    seeds = nodes.filter(sought).select(F.col("id").alias("_sid"))
+    touching = touching_edges(edges, seeds)
+    ends = touching.select(F.explode(F.array("source", "target")).alias("_end")).distinct()
+    around = nodes.join(ends, nodes.id == ends._end, "left").filter(sought | F.col("_end").isNotNull())
+    return around.select(*nodes.columns), touching
 
 
 def density_subgraph(nodes: DataFrame, edges: DataFrame, limit: int = DICT.GRAPH_NODE_LIMIT) -> tuple[DataFrame, DataFrame]:

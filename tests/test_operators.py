@@ -187,3 +187,21 @@ def test_key_moments_by_time(spark):
                                "id string, meeting_id string, time double, text string, type string, speaker string")
     got = D.meeting_detail(m, key_moments=km).collect()
     assert [r.text for r in got if r.section == "key_moments"] == ["early", "late"]
+
+
+def test_touching_edges_read_each_edge_once(spark):
+    rnd = random.Random(11)
+    ids = [f"n{i}" for i in range(60)]
+    hub = [("n0", f"x{i}", "R") for i in range(500)]  # a hub with dangling ends
+    edges = list({(rnd.choice(ids), rnd.choice(ids + ["gone"]), rnd.choice("RS")) for _ in range(300)} | set(hub) | {("n1", "n1", "R")})
+    nodes = [(i, f"Label {i}" if k % 3 else f"Seed {i}", "T") for k, i in enumerate(ids)]
+    n = spark.createDataFrame(nodes, "id string, label string, type string")
+    e = spark.createDataFrame(edges, "source string, target string, relation string")
+    around, touching = G.neighbourhood(n, e, "seed")
+    seeds = {i for i, label, _ in nodes if label.startswith("Seed")}
+    expected = [x for x in edges if x[0] in seeds or x[1] in seeds]
+    assert sorted(tuple(r) for r in touching.collect()) == sorted(expected)
+    ends = seeds | {v for x in expected for v in x[:2]}
+    assert sorted(r.id for r in around.collect()) == sorted(ends & set(ids))
+    plan = plan_text(touching)
+    assert "Generate" not in plan and "NestedLoop" not in plan
