@@ -1,9 +1,8 @@
 """Table sinks: schema alignment, key checks, insert-ignore, upsert,
-row-count audit, samples and the full-refresh write (SNK1-SNK7)."""
+row-count audit and samples (SNK2-SNK7); ``stored`` writes them."""
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -64,42 +63,3 @@ def sample(df: DataFrame, order: Sequence[str], n: int = 5, columns: Sequence[st
     """SNK7: the first n rows in a fixed order (deterministic sample)."""
     s = df.orderBy(*order).limit(n)
     return s.select(*columns) if columns else s
-
-
-def write_tables(tables: dict[str, DataFrame], out_dir: str) -> dict[str, str]:
-    """SNK1: full refresh of every table as Parquet under ``out_dir``.
-
-    Each table is written completely to a staging folder first, so a failed
-    write never leaves a half-written table behind. Then the old table is
-    renamed aside, the new one renamed in and the old one deleted; a failed
-    rename puts the old one back. Between the two renames there is no table:
-    readers of that moment have to read again."""
-    paths = {}
-    for name, df in tables.items():
-        path = os.path.join(out_dir, name)
-        staging = os.path.join(out_dir, "_next", name)
-        df.write.mode("overwrite").parquet(staging)
-        _swap(df.sparkSession, staging, path)
-        paths[name] = path
-    return paths
-
-
-def _swap(spark, src: str, dst: str) -> None:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    s, d = jvm.org.apache.hadoop.fs.Path(src), jvm.org.apache.hadoop.fs.Path(dst)
-    fs = d.getFileSystem(conf)
-    aside = jvm.org.apache.hadoop.fs.Path(f"{src}_old")
-    had = fs.exists(d)
-    if not had and fs.exists(aside):  # left by a run that ended between the renames
-        had = fs.rename(aside, d)
-    if had:
-        fs.delete(aside, True)
-        if not fs.rename(d, aside):
-            raise OSError(f"could not move {dst} aside")
-    if not fs.rename(s, d):
-        if had:
-            fs.rename(aside, d)
-        raise OSError(f"could not move {src} to {dst}")
-    if had:
-        fs.delete(aside, True)

@@ -21,6 +21,7 @@ from ..operators import filters as FL
 from ..operators import graph as G
 from ..operators import retrieval as R
 from ..operators import sinks as SK
+from ..operators import stored as ST
 from .. import schemas as S
 from . import detail as DT
 
@@ -57,11 +58,16 @@ def action_items(t: Tables, status: str | None = None) -> DataFrame:
 
 
 def update_action_items(t: Tables, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply a batch of (id, status, seq) updates: (new action_items, rejects).
-    Write the first back with ``sinks.write_tables`` to persist it."""
+    """A batch of (id, status, seq) updates applied: (new action_items, rejects)."""
     return ACT.apply_status_updates(t["action_items"], updates)
 
 
+def store_action_updates(spark: SparkSession, out_dir: str, updates: DataFrame) -> DataFrame:
+    """MUT1 on the stored table: only the buckets of the updated ids are
+    written again. Returns the rejects."""
+    return ST.merge(spark, out_dir, "action_items", updates, ACT.apply_status_updates)
+
+
 def ask(spark: SparkSession, t: Tables, questions: list[tuple[int, str]], d: Dictionaries = DEFAULT):
     """Question batch -> (retrieval context, route and top titles, sources,
     ranked meetings, matching segments). Calling a language model with the

@@ -3,6 +3,8 @@ workload, deadlines, the action centre and status updates."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import dictionaries as DICT
@@ -11,6 +13,8 @@ from ..operators import actions as ACT
 from ..operators import analytics as A
 from ..operators import enrich as E
 from ..operators import filters as FL
+from ..operators import stored as ST
+from ..session import checkpoint_dir
 from ..sources import bindings as B
 from . import sqltext as Q
 from .registry import register
@@ -105,6 +109,26 @@ def mut1_apply_updates(spark, root):
     return _updated(spark, root)[0]
 
 
+@register("mut1_stored_updates", sql("SELECT * FROM updated"))
+def mut1_stored_updates(spark, root):
+    """MUT1, SNK1: action items stored, the same updates merged into the
+    stored table and read back."""
+    store = f"{checkpoint_dir(spark)}/store-{uuid.uuid4()}"
+    ST.refresh({"action_items": _items(spark, root)}, store, {"action_items": ("id", 16)})
+    ST.merge(spark, store, "action_items", _updates(_items(spark, root)), ACT.apply_status_updates)
+    return ST.load(spark, store)["action_items"]
+
+
+@register("snk1_full_refresh", sql("SELECT id, deadline FROM items"))
+def snk1_full_refresh(spark, root):
+    """SNK1: a stored table replaced by a full refresh."""
+    store = f"{checkpoint_dir(spark)}/store-{uuid.uuid4()}"
+    items = _items(spark, root)
+    ST.refresh({"items": items.select("id", F.lit("old").alias("deadline"))}, store)
+    ST.refresh({"items": items.select("id", "deadline")}, store)
+    return ST.load(spark, store)["items"]
+
+
 @register("mut1_rejected_updates", sql("""
 SELECT u.id, u.status, u.seq, CASE WHEN u.status NOT IN ('Open', 'Closed', 'Blocked') OR u.status IS NULL THEN 'invalid status'
                                    ELSE 'not found' END AS reason

@@ -6,7 +6,7 @@ Stages:
  3. enrich  meetings, segments, action items, topics, key moments,
             entities (ENR1-ENR18), each a projection of the staged rows
  4. graph   nodes (last writer wins) and edges (GRB1-GRB9)
- 5. write   key checks and a full refresh of every table (SNK1-SNK4)
+ 5. write   key checks and a full refresh of all tables at once (SNK1-SNK4)
 
 Shuffles: the folder join of meeting-info and summary, the speaker-role
 join, mention de-duplication and the node upsert; everything else is a
@@ -28,9 +28,14 @@ from ..functions import text as X
 from ..operators import enrich as E
 from ..operators import graph as G
 from ..operators import sinks as SK
+from ..operators import stored as ST
 from ..sources import bundles as BN
 
 
+# action items are updated in place, by id
+KEYED = {"action_items": ("id", 64)}
+
+
 @dataclass
 class Ingested:
     tables: dict[str, DataFrame]
@@ -149,17 +154,21 @@ def ingest(spark: SparkSession, bundle_root: str, out_dir: str, d: Dictionaries
     staged = BN.stage_bundles(spark, bundle_root, os.path.join(out_dir, "_staging"))
     status = BN.gate(staged.files, folders=staged.folders)
     tables = build_tables(spark, BN.accepted(staged, status), d, work_dir=os.path.join(out_dir, "_work"))
+    if write:
+        # computed once: the key check reads the drafts, the commit names them
+        drafts = os.path.join(out_dir, "_work", "tables")
+        tables = {n: _materialise(t, drafts, n) for n, t in tables.items()}
     if check_keys:
         for name, (_, keys) in S.TABLES.items():
             SK.enforce_keys(tables[name], keys, name)
     if write:
-        paths = SK.write_tables(tables, out_dir)
+        ST.refresh(tables, out_dir, KEYED)
         status.write.mode("overwrite").parquet(os.path.join(out_dir, "_ingest_status"))
-        tables = {n: spark.read.parquet(p) for n, p in paths.items()}
+        tables = load_tables(spark, out_dir)
         status = spark.read.parquet(os.path.join(out_dir, "_ingest_status"))
     return Ingested(tables, status, BN.rejects(status), BN.report(status))
 
 
 def load_tables(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
-    """SRC3: the stored tables."""
-    return {n: spark.read.parquet(os.path.join(out_dir, n)) for n in S.TABLES}
+    """SRC3: the stored tables, all of one state."""
+    return ST.load(spark, out_dir)

@@ -54,7 +54,7 @@ def test_written_tables_reload(spark, ingested):
     tables = ING.load_tables(spark, out)
     counts = {r.table: r.rows for r in SK.row_counts(tables).collect()}
     assert counts["meetings"] == tables["meetings"].count() > 0
-    assert os.path.isdir(os.path.join(out, "graph_edges"))
+    assert os.path.isdir(os.path.join(out, "data"))
 
 
 def test_keys_unique_and_edges_reference_nodes(ingested):
