@@ -59,29 +59,43 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return five.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+def _place(host: str) -> list[Column]:
+    """``_no, _host``: the host, a NULL one being a host of its own."""
+    return [F.col(host).isNull().alias("_no"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host")]
+
+
+ROW = ["_uid", "_th", "_no", "_host"]
+
+
 def _lines(docs: DataFrame, host: str) -> DataFrame:
-    """One row per document and distinct line with its words, over all the
-    line's places; lines without words are left out."""
+    """One row per document of a host and distinct line with its words, over
+    all the line's places; lines without words are left out. Repeats of a row
+    have the same places, so they add nothing."""
     line = F.lower(F.trim(F.regexp_replace("line", BLANKS, " ")))
-    rows = (docs.select(*row_key(), F.col(host).alias("host"), F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line"))
-            .select("_uid", "_th", "host", line.alias("line")).where("line <> ''")
-            .select("_uid", "_th", "host", F.xxhash64("line").alias("hash"), F.size(F.split("line", " ")).alias("words")))
-    return rows.groupBy("_uid", "_th", "host", "hash").agg(F.sum("words").alias("words"))
+    rows = (docs.select(*row_key(), *_place(host), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "line"))
+            .select(*ROW, "pos", line.alias("line")).where("line <> ''")
+            .select(*ROW, "pos", F.xxhash64("line").alias("hash"), F.size(F.split("line", " ")).alias("words")))
+    once = rows.groupBy(*ROW, "hash", "pos").agg(F.first("words").alias("words"))
+    return once.groupBy(*ROW, "hash").agg(F.sum("words").alias("words"))
 
 
 def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, host: str = "source") -> DataFrame:
-    """``host, hash`` of lines in more than ``max_docs`` documents of a host."""
-    return _lines(docs, host).groupBy("host", "hash").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs)
+    """``_no, _host, hash`` of lines in more than ``max_docs`` documents of a host."""
+    return _frequent(_lines(docs, host), max_docs)
+
+
+def _frequent(lines: DataFrame, max_docs: int) -> DataFrame:
+    counted = lines.groupBy("_no", "_host", "hash").agg(F.count("*").alias("docs"))
+    return counted.where(F.col("docs") > max_docs).drop("docs")
 
 
 def line_losses(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, host: str = "source") -> DataFrame:
-    """``_uid, _th, lost_words, lost_lines, hashes``: what each document loses."""
-    hot = frequent_lines(docs, max_docs, host).select("host", "hash")
+    """``_uid, _th, _no, _host, lost_words, lost_lines, hashes``: what each
+    document of a host loses."""
     lines = _lines(docs, host)
-    met = lines.join(hot, (lines["host"].eqNullSafe(hot["host"])) & (lines["hash"] == hot["hash"])).select(
-        "_uid", "_th", lines["hash"], "words")
-    return met.groupBy("_uid", "_th").agg(F.sum("words").alias("lost_words"), F.count("*").alias("lost_lines"),
-                                          F.collect_set("hash").alias("hashes"))
+    met = lines.join(_frequent(lines, max_docs), ["_no", "_host", "hash"])
+    return met.groupBy(*ROW).agg(F.sum("words").alias("lost_words"), F.count("*").alias("lost_lines"),
+                                 F.collect_set("hash").alias("hashes"))
 
 
 def quality(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, max_loss: float = MAX_LOSS, host: str = "source") -> DataFrame:
@@ -89,13 +103,15 @@ def quality(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, max_loss: float
     base counts, ``lost_words``, ``depleted`` and ``kept``.
 
     NULL and empty texts have no words and fail the base rules. Rows equal in
-    id and text count as one document. A NULL host is a host of its own.
+    id, text and host count as one document, and each gets its verdict; the
+    same id and text at two hosts is a document of each. A NULL host is a host
+    of its own.
     Other columns, whatever their names, are not read.
     """
-    slim = docs.select(*row_key(), "doc_id", F.col("text").cast("string").alias("text"), F.col(host).alias("host"))
-    base = base_counts(slim).drop("text", "host")
+    slim = docs.select(*row_key(), *_place(host), "doc_id", F.col("text").cast("string").alias("text"))
+    base = base_counts(slim).drop("text")
     lost = line_losses(docs.select("doc_id", "text", F.col(host).alias("host")), max_docs, "host").drop("hashes")
-    out = base.join(lost, ["_uid", "_th"], "left").withColumn("lost_words", F.coalesce("lost_words", F.lit(0).cast("long")))
+    out = base.join(lost, ROW, "left").withColumn("lost_words", F.coalesce("lost_words", F.lit(0).cast("long")))
     depleted = F.col("lost_words") > F.lit(max_loss) * F.col("n_words")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                       (~F.col("base_failed") & ~depleted).alias("kept"), "lost_words", depleted.alias("depleted"))
@@ -106,7 +122,8 @@ def without_frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, m
     """``docs`` with the frequent lines taken out of ``text``; depleted
     documents go."""
     lost = line_losses(docs, max_docs, host)
-    rows = docs.select(*row_key(), *[F.col(c).alias(f"in_{c}") for c in docs.columns]).join(lost, ["_uid", "_th"], "left")
+    rows = (docs.select(*row_key(), *_place(host), *[F.col(c).alias(f"in_{c}") for c in docs.columns])
+            .join(lost, ROW, "left"))
     key = lambda x: F.xxhash64(F.lower(F.trim(F.regexp_replace(x, BLANKS, " "))))
     text = F.array_join(F.filter(F.split("in_text", "\n"), lambda x: ~F.array_contains("hashes", key(x))), "\n")
     whole = F.coalesce(F.col("lost_words") > F.lit(max_loss) * F.size(_words(F.col("in_text"))), F.lit(False))

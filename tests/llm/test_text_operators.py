@@ -238,6 +238,21 @@ def quality_brute(text):
     return base, len(words) < 50 or 100 * len(covered) > 50 * len(words)
 
 
+def test_quality_rules_count_a_repeated_row_once(make):
+    rng = random.Random(12)
+    frequent = " ".join(VOCAB[:25])
+    rows = [(i, frequent, "a") for i in range(100, 120)]  # makes the line frequent at host a
+    body = "\n".join(" ".join(rng.choice(VOCAB) for _ in range(12)) for _ in range(5))
+    text = f"{body}\n{frequent}"
+    rows += [(1, text, "a")] * 4 + [(2, text + " ", "a"), (3, text, "b"), (1, text, "b"), (4, f"{text}\n{frequent}", None)]
+    got = {(r.doc_id, r.lost_words, r.depleted, r.kept, n) for r, n in Counter(
+        line_frequency.quality(make(rows), max_docs=10).where("doc_id < 100").collect()).items()}
+    # at host b and without a host the line is no frequent one
+    assert got == {(1, 25, False, True, 4), (2, 25, False, True, 1), (3, 0, False, True, 1), (1, 0, False, True, 1), (4, 0, False, True, 1)}
+    left = [r.text for r in line_frequency.without_frequent_lines(make(rows), max_docs=10).where("doc_id = 1 AND source = 'a'").collect()]
+    assert left == [body] * 4
+
+
 def test_quality_rules_equal_brute_force(make):
     rng = random.Random(31)
     shared = prose(rng, 60)
