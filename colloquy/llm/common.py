@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +17,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, release: bool = False) -> DataFrame:
     """Write to the cluster's shared checkpoint folder and read from there:
-    compressed, and later readers take only the columns they need."""
+    compressed, and later readers take only the columns they need. With
+    ``release`` the driver's garbage is collected at once, upon which Spark
+    deletes the shuffle files of plans that have ended."""
     spark = df.sparkSession
     folder = f"{checkpoint_dir(spark)}/kept-{uuid.uuid4()}"
     df.write.parquet(folder)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -132,7 +132,7 @@ def _with_earliest(classes: DataFrame, threshold: float) -> DataFrame:
     (``a``): at most MARKS pairs per class. Only keys are shuffled by mark."""
     marked = classes.select("h1", F.col("first._uid").alias("uid"), F.explode("marks").alias("mark"))
     heads = (marked.groupBy("mark").agg(F.min("uid").alias("uid"), F.count("*").alias("size")).where("size > 1").select("mark", "uid"))
-    shared = keep(marked.join(heads.withColumnRenamed("uid", "least"), "mark"))
+    shared = keep(marked.join(heads.withColumnRenamed("uid", "least"), "mark"), release=True)
     heads = shared.where("uid = least").groupBy("mark").agg(F.min("h1").alias("a1"))
     met = shared.select("mark", F.col("h1").alias("b1")).join(heads, "mark").where("a1 <> b1").select("a1", "b1").distinct()
     pairs = met.join(_side(classes, "a", "bits"), "a1").join(_side(classes, "b", "bits"), "b1")
@@ -181,7 +181,7 @@ def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
 def verified(docs: DataFrame, ranks: Column, candidates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Similar pairs ``a1, a2, b1, b2, afirst, bfirst, shared, jaccard`` among
     ``candidates``, by their whole sets."""
-    cand = keep(candidates)
+    cand = keep(candidates, release=True)
     ends = (cand.select(F.explode(F.array(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.col("afirst").alias("first")),
                                           F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"), F.col("bfirst").alias("first")))).alias("e"))
             .select("e.h1", "e.h2", "e.first._uid", "e.first._th", "e.first.pos").distinct())
@@ -210,11 +210,11 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     have words and match no earlier line."""
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     ranks = rarity(slim)
-    classes = keep(line_classes(line_rows(slim, ranks), threshold))
-    settled = keep(_later(verified(slim, ranks, _with_earliest(classes, threshold), threshold)))
+    classes = keep(line_classes(line_rows(slim, ranks), threshold), release=True)
+    settled = keep(_later(verified(slim, ranks, _with_earliest(classes, threshold), threshold)), release=True)
     known = (classes.drop("marks").join(settled.withColumn("settled", F.lit(True)), ["h1", "h2"], "left")
              .withColumn("settled", F.coalesce("settled", F.lit(False))))
-    found = _later(verified(slim, ranks, _candidates(known, threshold), threshold))
+    found = keep(_later(verified(slim, ranks, _candidates(known, threshold), threshold)), release=True)
     return (known.where(~F.col("settled")).join(found, ["h1", "h2"], "left_anti").select("first.*")
             .groupBy("_uid", "_th").agg(F.sort_array(F.collect_list("pos")).alias("kept")))
 
