@@ -16,29 +16,42 @@ from . import sqltext as Q
 from .registry import register
 
 
+def b2_moments(spark, root):
+    """Turns as key moments, timed against their order."""
+    return B.b2_text(spark, root).select(
+        F.concat(F.col("meeting_id").cast("string"), F.lit("_km_"), F.col("turn_index").cast("string")).alias("id"), "meeting_id",
+        (-F.col("turn_index")).cast("double").alias("time"), F.col("sentence").alias("text"), F.lit("said").alias("type"),
+        F.col("speaker_name").alias("speaker"))
+
+
 def _detail(spark, root, meeting_id=None):
     return DT.meeting_detail(
-        B.b3_meetings(spark, root), segments=B.b1_segments(spark, root, meeting_id=meeting_id),
+        B.with_summary(spark, root, B.b3_meetings(spark, root)), segments=B.b1_segments(spark, root, meeting_id=meeting_id),
         action_items=E.action_items(B.b8_items(spark, root), "meeting_id", "pos", "item"),
-        topics=B.b5_topics(spark, root), entities=B.b4_entities(spark, root), meeting_id=meeting_id)
+        topics=B.b5_topics(spark, root), key_moments=b2_moments(spark, root), entities=B.b4_entities(spark, root),
+        meeting_id=meeting_id)
 
 
 def detail_sql(where: str = "") -> str:
+    """Sections are stacked by name, so each lists only what it has."""
+    first = ("SELECT meeting_id, 'meeting' AS section, 0 AS section_order, CAST(0 AS BIGINT) AS pos, title AS name, CAST(NULL AS VARCHAR) AS text, "
+             "call_type AS kind, overall_sentiment AS extra, sentiment_score AS time, CAST(NULL AS VARCHAR) AS id, "
+             "CAST(NULL AS VARCHAR) AS organizer_email, CAST(NULL AS VARCHAR) AS host, start_time, end_time, duration, summary, "
+             "CAST(NULL AS DOUBLE) AS until, CAST(NULL AS DOUBLE) AS confidence FROM b3_summaries")
     return B.with_bindings(f"""
 SELECT * FROM (
-  SELECT meeting_id, 'meeting' AS section, 0 AS section_order, CAST(0 AS BIGINT) AS pos, title AS name,
-         CAST(NULL AS VARCHAR) AS text, call_type AS kind, overall_sentiment AS extra, sentiment_score AS time FROM b3_meetings
-  UNION ALL SELECT meeting_id, 'transcript', 1, CAST(turn_index AS BIGINT), speaker_name, sentence, sentiment_type, speaker_role,
-         CAST(NULL AS DOUBLE) FROM b1_segments
-  UNION ALL SELECT meeting_id, 'action_items', 2, TRY_CAST(regexp_extract(id, '_ai_(\\d+)$', 1) AS BIGINT), owner, task, status,
-         deadline, CAST(NULL AS DOUBLE) FROM items
-  UNION ALL SELECT meeting_id, 'topics', 3, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), topic, CAST(NULL AS VARCHAR),
-         CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE) FROM b5_topics
-  UNION ALL SELECT meeting_id, 'entities', 5, CAST(0 AS BIGINT), entity_name, CAST(NULL AS VARCHAR), entity_type,
-         CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE) FROM b4_entities
+  {first}
+  UNION ALL BY NAME SELECT meeting_id, 'transcript' AS section, 1 AS section_order, CAST(turn_index AS BIGINT) AS pos, speaker_name AS name,
+         sentence AS text, sentiment_type AS kind, speaker_role AS extra, id FROM b1_segments
+  UNION ALL BY NAME SELECT meeting_id, 'action_items' AS section, 2 AS section_order,
+         TRY_CAST(regexp_extract(id, '_ai_(\\d+)$', 1) AS BIGINT) AS pos, owner AS name, task AS text, status AS kind, deadline AS extra, id FROM items
+  UNION ALL BY NAME SELECT meeting_id, 'topics' AS section, 3 AS section_order, CAST(0 AS BIGINT) AS pos, topic AS text FROM b5_topics
+  UNION ALL BY NAME SELECT meeting_id, 'key_moments' AS section, 4 AS section_order, CAST(turn_index AS BIGINT) AS pos, speaker_name AS name,
+         sentence AS text, 'said' AS kind, CAST(-turn_index AS DOUBLE) AS time, concat(meeting_id, '_km_', turn_index) AS id FROM b2_text
+  UNION ALL BY NAME SELECT meeting_id, 'entities' AS section, 5 AS section_order, CAST(0 AS BIGINT) AS pos, entity_name AS name, entity_type AS kind FROM b4_entities
 ) d WHERE meeting_id IN (SELECT meeting_id FROM b3_meetings {where})
-ORDER BY meeting_id, section_order, pos""", "b1_segments", "b3_meetings", "b4_entities", "b5_topics", "b8_items",
-                           extra={"items": ITEMS_SQL})
+ORDER BY meeting_id, section_order, CASE WHEN section = 'key_moments' THEN time END, pos""", "b1_segments", "b2_text", "b3_summaries", "b4_entities", "b5_topics",
+                           "b8_items", extra={"items": ITEMS_SQL})
 
 
 @register("alg10_meeting_detail", detail_sql())

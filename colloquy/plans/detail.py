@@ -16,17 +16,21 @@ from ..dictionaries import DEFAULT, Dictionaries
 from ..operators import analytics as A
 
 SECTIONS = ("meeting", "transcript", "action_items", "topics", "key_moments", "entities")
-DETAIL_COLUMNS = ("meeting_id", "section", "section_order", "pos", "name", "text", "kind", "extra", "time")
+# columns of one section or two; NULL in the others
+MORE = {"id": "string", "organizer_email": "string", "host": "string", "start_time": "timestamp_ntz",
+        "end_time": "timestamp_ntz", "duration": "double", "summary": "string", "until": "double", "confidence": "double"}
+DETAIL_COLUMNS = ("meeting_id", "section", "section_order", "pos", "name", "text", "kind", "extra", "time", *MORE)
 
 
-def _row(df: DataFrame, section: str, pos, name, text, kind, extra, time) -> DataFrame:
+def _row(df: DataFrame, section: str, pos, name, text, kind, extra, time, **more: str) -> DataFrame:
     def c(x, t="string"):
-        if x is None:
+        if x is None or isinstance(x, str) and x not in df.columns:
             return F.lit(None).cast(t)
         return (F.col(x) if isinstance(x, str) else x).cast(t)
     return df.select("meeting_id", F.lit(section).alias("section"), F.lit(SECTIONS.index(section)).alias("section_order"),
                      c(pos, "long").alias("pos"), c(name).alias("name"), c(text).alias("text"), c(kind).alias("kind"),
-                     c(extra).alias("extra"), c(time, "double").alias("time"))
+                     c(extra).alias("extra"), c(time, "double").alias("time"),
+                     *[c(more.get(k), t).alias(k) for k, t in MORE.items()])
 
 
 def meeting_detail(meetings: DataFrame, segments: DataFrame | None = None, action_items: DataFrame | None = None,
@@ -34,11 +38,13 @@ def meeting_detail(meetings: DataFrame, segments: DataFrame | None = None, actio
                    entities: DataFrame | None = None, meeting_id=None) -> DataFrame:
     """Header plus every child section of each meeting (or of one meeting).
 
-    meeting     name=title, kind=call_type, extra=overall_sentiment, time=score
-    transcript  pos=turn_index, name=speaker, text=sentence, kind=sentiment, extra=role, time
-    action      pos=item position, name=owner, text=task, kind=status, extra=deadline
+    meeting     name=title, kind=call_type, extra=overall_sentiment, time=score,
+                organizer_email, host, start_time, end_time, duration, summary
+    transcript  id, pos=turn_index, name=speaker, text=sentence, kind=sentiment, extra=role, time,
+                until=end time, confidence
+    action      id, pos=item position, name=owner, text=task, kind=status, extra=deadline
     topics      text=topic
-    key_moments pos=position, name=speaker, text=text, kind=type, time
+    key_moments id, pos=position, name=speaker, text=text, kind=type, time
     entities    name=entity_name, kind=entity_type
     Children of meetings that do not exist are left out (inner semantics).
     """
@@ -47,18 +53,20 @@ def meeting_detail(meetings: DataFrame, segments: DataFrame | None = None, actio
         meetings, segments, action_items, topics, key_moments, entities = [
             df if df is None else df.filter(F.col("meeting_id") == F.lit(meeting_id))
             for df in (meetings, segments, action_items, topics, key_moments, entities)]
-    parts = [_row(meetings, "meeting", F.lit(0), "title", None, "call_type", "overall_sentiment", "sentiment_score")]
+    parts = [_row(meetings, "meeting", F.lit(0), "title", None, "call_type", "overall_sentiment", "sentiment_score",
+                  organizer_email="organizer_email", host="host", start_time="start_time", end_time="end_time",
+                  duration="duration", summary="summary")]
     if segments is not None:
         parts.append(_row(segments, "transcript", "turn_index", "speaker_name", "sentence", "sentiment_type",
-                          "speaker_role", "time" if "time" in segments.columns else None))
+                          "speaker_role", "time", id="id", until="end_time", confidence="average_confidence"))
     if action_items is not None:
         pos = F.regexp_extract("id", r"_ai_(\d+)$", 1).try_cast("long")
-        parts.append(_row(action_items, "action_items", pos, "owner", "task", "status", "deadline", None))
+        parts.append(_row(action_items, "action_items", pos, "owner", "task", "status", "deadline", None, id="id"))
     if topics is not None:
         parts.append(_row(topics, "topics", F.lit(0), None, "topic", None, None, None))
     if key_moments is not None:
         pos = F.regexp_extract("id", r"_km_(\d+)$", 1).try_cast("long")
-        parts.append(_row(key_moments, "key_moments", pos, "speaker", "text", "type", None, "time"))
+        parts.append(_row(key_moments, "key_moments", pos, "speaker", "text", "type", None, "time", id="id"))
     if entities is not None:
         parts.append(_row(entities, "entities", F.lit(0), "entity_name", None, "entity_type", None, None))
     out = parts[0]
