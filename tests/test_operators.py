@@ -143,18 +143,19 @@ def test_scale_conf():
 
 
 def test_dictionary_join_in_slices(spark, monkeypatch):
-    from colloquy.operators import enrich as E
+    from colloquy.operators import containment as K, enrich as E
     m = spark.createDataFrame([(1, "Helix Data sync"), (2, "nothing")], "meeting_id int, title string")
     dic = spark.createDataFrame([("helix data", 0), ("sync", 1)], "term string, rank int")
     got = {r.meeting_id: r.match for r in E.dictionary_first_match(m, "title", dic, ["meeting_id"]).collect()}
     assert got == {1: "helix data", 2: None}
-    monkeypatch.setattr(E, "SLICE_DICTIONARY_ROWS", 1)
+    monkeypatch.setattr(K, "FEW_TERMS", 0)
+    monkeypatch.setattr(K, "SLICE_TERMS", 1)
     again = {r.meeting_id: r.match for r in E.dictionary_first_match(m, "title", dic, ["meeting_id"]).collect()}
     assert again == got
 
 
 def test_search_takes_backslashes_and_batches_of_any_size(spark, monkeypatch):
-    from colloquy.operators import filters as FL, graph as G, retrieval as R
+    from colloquy.operators import containment as K, filters as FL, graph as G, retrieval as R
     titles = [(1, "C:\\temp files"), (2, "0\\% done"), (3, "plain 50% off"), (4, "tail \\")]
     m = spark.createDataFrame([(i, t, "", "ok", 3.0, "External") for i, t in titles],
                               "meeting_id long, title string, summary string, overall_sentiment string, sentiment_score double, call_type string")
@@ -164,7 +165,8 @@ def test_search_takes_backslashes_and_batches_of_any_size(spark, monkeypatch):
         assert {r.meeting_id for r in m.filter(FL.meeting_filters(search=needle)).collect()} == ids
     q = R.question_batch(spark, list(enumerate(want)))
     for size in (100, 2):
-        monkeypatch.setattr(R, "SLICE_QUESTIONS", size)
+        monkeypatch.setattr(K, "FEW_TERMS", 0 if size < 10 else K.FEW_TERMS)
+        monkeypatch.setattr(K, "SLICE_TERMS", size)
         got = {}
         for r in R.search(m, lines, q)[0].collect():
             got.setdefault(r.qid, set()).add(r.meeting_id)
