@@ -242,6 +242,11 @@ def enr3_call_type(spark, root):
     return m.select("meeting_id", C.call_type("title", "invitee_count", B.b3_dictionaries()).alias("derived_call_type"))
 
 
+def _addresses():
+    """Before the usable address one that is none and one of an ignored domain."""
+    return F.array(F.lit("no address"), F.lit(f"a@{B.B9_IGNORED_DOMAINS[0]}.example"), F.col("email"))
+
+
 def _title_case_sql(x: str) -> str:
     # str.title() for labels made of letters, digits and '-' (DuckDB side)
     return (f"(SELECT string_agg(CASE WHEN i = 1 OR NOT regexp_matches(substr(lower({x}), i - 1, 1), '^\\p{{L}}$') "
@@ -264,7 +269,7 @@ def enr6_resolve_account(spark, root):
     """ENR4-ENR6: account from the title dictionary, else the mail domain,
     else 'Unknown Customer'."""
     d = B.b3_dictionaries().with_(ignored_domains=B.B9_IGNORED_DOMAINS)
-    mails = B.b9_addresses(spark, root).select("meeting_id", F.array("email").alias("all_emails"))
+    mails = B.b9_addresses(spark, root).select("meeting_id", _addresses().alias("all_emails"))
     m = _m(spark, root).join(mails, "meeting_id", "left")
     return m.select("meeting_id", C.resolve_account("title", F.coalesce("all_emails", F.array().cast("array<string>")), d).alias("account"))
 
@@ -308,7 +313,7 @@ def enr5_account_by_domain(spark, root):
     """ENR5: account from the first usable mail domain (title-cased label)."""
     d = B.b9_dictionaries()
     a = B.b9_addresses(spark, root)
-    return a.select("meeting_id", C.account_from_emails(F.array("email"), d).alias("account"))
+    return a.select("meeting_id", C.account_from_emails(_addresses(), d).alias("account"))
 
 
 @register("enr20_host_display_name", B.with_bindings("""

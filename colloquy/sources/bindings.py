@@ -29,8 +29,8 @@ from .tables import read_table
 
 # ------------------------------------------------------------------ stand-ins
 # Stand-in vocabularies for the bindings (words that occur in the data).
-B2_DICTIONARIES = DEFAULT.with_(competitors=("from", "was", "with"), products=("ther", "thin"),
-                                product_prefix="")
+B2_DICTIONARIES = DEFAULT.with_(competitors=("from", "was", "with"), products=("Stand-in ther", "Stand-in thin"),
+                                product_prefix="Stand-in ")
 B1_RISK_KEYWORDS = ('"k": 1', '"k": 22', '"k": 3', '"k": 44', '"k": 5', '"k": 66', '"k": 7', '"k": 88')
 B3_ACCOUNTS = ("the ere", "the", "and", "thth", "tion", "que", "der", "with", "was", "ble")
 B3_SUPPORT_KEYWORDS = ("that",)
@@ -215,7 +215,7 @@ def b8_items(spark: SparkSession, root: str) -> DataFrame:
 def b9_addresses(spark: SparkSession, root: str) -> DataFrame:
     pages = read_table(spark, root, "pages")
     return pages.select(F.col("page_id").alias("meeting_id"),
-                        F.concat(F.lit("user"), F.col("page_id").cast("string"), F.lit("@"),
+                        F.concat(F.lit("user."), F.col("page_id").cast("string"), F.lit("@"),
                                  F.regexp_extract("url", "://([^/:]+)", 1)).alias("email"))
 
 
@@ -244,9 +244,9 @@ LEFT JOIN (SELECT conv_id, text AS title FROM conversations WHERE turn = 0) c ON
     "b3_summaries": """
 SELECT m.*, c.text AS summary FROM b3_meetings m LEFT JOIN (SELECT conv_id, text FROM conversations WHERE turn = 1) c ON c.conv_id = m.meeting_id""",
     "b4_mentions": """
-SELECT DISTINCT meeting_id, speaker_name, term AS entity_name, kind AS entity_type FROM b2_text
-JOIN (SELECT 'from' AS term, 'Competitor' AS kind UNION ALL SELECT 'was', 'Competitor' UNION ALL SELECT 'with', 'Competitor'
-      UNION ALL SELECT 'ther', 'Product' UNION ALL SELECT 'thin', 'Product') d
+SELECT DISTINCT meeting_id, speaker_name, name AS entity_name, kind AS entity_type FROM b2_text
+JOIN (SELECT 'from' AS term, 'from' AS name, 'Competitor' AS kind UNION ALL SELECT 'was', 'was', 'Competitor' UNION ALL SELECT 'with', 'with', 'Competitor'
+      UNION ALL SELECT 'ther', 'Stand-in ther', 'Product' UNION ALL SELECT 'thin', 'Stand-in thin', 'Product') d
 ON regexp_matches(lower(sentence), concat('(^|[^\\p{L}\\p{N}_])', term, '([^\\p{L}\\p{N}_]|$)'))""",
     "b4_entities": """
 SELECT DISTINCT meeting_id, entity_name, entity_type FROM b4_mentions""",
@@ -279,7 +279,7 @@ SELECT conv_id AS meeting_id, turn AS pos,
                             WHEN 3 THEN concat(' within ', turn, ' business days') WHEN 4 THEN ' before the March billing' ELSE '' END) AS item
 FROM conversations""",
     "b9_addresses": """
-SELECT page_id AS meeting_id, concat('user', page_id, '@', regexp_extract(url, '://([^/:]+)', 1)) AS email FROM pages""",
+SELECT page_id AS meeting_id, concat('user.', page_id, '@', regexp_extract(url, '://([^/:]+)', 1)) AS email FROM pages""",
 }
 
 DEPENDS = {"b3_summaries": ("b3_meetings",), "b4_mentions": ("b2_text",), "b4_entities": ("b4_mentions",)}
