@@ -357,8 +357,9 @@ def competitor_meetings(entities: DataFrame, meetings: DataFrame) -> DataFrame:
     counts = comp.groupBy("competitor").agg(F.count(F.lit(1)).alias("mentions"))
     rows = comp.join(meetings.select("meeting_id", "title", F.col("overall_sentiment").alias("sentiment"),
                                      "sentiment_score", "call_type", "start_time"), "meeting_id")
-    # one row per competitor name: bounded by the dictionary, so broadcast
-    return (rows.join(F.broadcast(counts), "competitor")
+    # one row per competitor name: broadcast by its size at run time, beyond
+    # that a join whose hot competitors are split
+    return (rows.join(counts, "competitor")
             .orderBy(F.col("mentions").desc(), F.col("competitor"), F.col("start_time").desc(), F.col("meeting_id")))
 
 
