@@ -71,7 +71,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(docs, labels)
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"),
                          F.col("toxicity_score").alias("score"),
-                         (F.col("toxicity_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+                         (F.col("toxicity_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "toxic_passages")
 
 
 def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Each word carries the log-odds of toxic against other text under a Dirichlet
 prior, from the documents that hold the word or its stem. A linear scan finds every
 maximal-scoring run of words; a run's score is judged against the extreme
 value distribution of the best runs of non-toxic documents, which makes
-scores of short and long documents comparable.
+scores of short and long documents comparable. Runs that chance would give
+less than ``E_VALUE`` times in a text of that length are its toxic passages.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ TOP = 6.0
 # labelled documents of each class that the model is fitted on, at most
 MAX_PER_CLASS = 12_000
 THRESHOLD = 0.7
+E_VALUE = 0.05  # a passage counts where chance gives fewer of its kind in the text
 CACHE_WORDS = 400_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -91,33 +93,31 @@ class ToxicityModel:
         """Score in nats above what chance gives in ``n`` words."""
         return self.scale * score - math.log(max(self.size * n, 1e-9))
 
-    def significant(self, text: str | None, e_value: float = 0.01) -> list[tuple[int, int, float]]:
-        """Every toxic passage: first word, end, expected number by chance."""
+    def judge(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
+        """The document's evidence and its toxic passages, left to right:
+        first word, word after the last, expected number by chance."""
         n, found = self.segments(text)
-        e = [(lo, hi, math.exp(min(50.0, -self.normalised(s, n)))) for lo, hi, s in found]
-        return [x for x in e if x[2] <= e_value]
+        marks = [self.normalised(score, n) for _, _, score in found]
+        passages = [(lo, hi, math.exp(-mark)) for (lo, hi, _), mark in zip(found, marks) if mark >= SURE]
+        return combined(marks), passages
 
-    def evidence(self, text: str | None) -> float:
-        """The document's evidence: the best passage, plus what the further
-        significant ones add, each discounted by its rank."""
-        n, found = self.segments(text)
-        return self.combined(n, sorted((s for _, _, s in found), reverse=True))
-
-    def combined(self, n: int, runs: list[float]) -> float:
-        if not len(runs):
-            return EMPTY
-        marks = [self.normalised(s, n) for s in runs]
-        extra = sum(max(0.0, m) / (k * k) for k, m in enumerate(marks[1:], 2))
-        return max(EMPTY, min(60.0, marks[0] + extra))
-
-    def probability(self, text: str | None) -> float:
-        z = self.intercept + self.slope * self.evidence(text)
+    def probability(self, evidence: float) -> float:
+        z = self.intercept + self.slope * evidence
         return 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, z))))
 
 
+SURE = -math.log(E_VALUE)
 EMPTY = -10.0  # evidence of a text without a single positive word
 
 
+def combined(marks: list[float]) -> float:
+    """The best run, significant or not, plus what each further significant
+    passage adds, discounted by its rank."""
+    best, *others = sorted(marks, reverse=True) or [EMPTY]
+    extra = sum(m / (k * k) for k, m in enumerate(others, 2) if m >= SURE)
+    return max(EMPTY, min(60.0, best + extra))
+
+
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring runs (first, end, score), left to right, in linear
     time: a new positive word extends back over the latest run that starts
@@ -140,8 +140,8 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def held_out(doc_id: Column) -> Column:
-    """Documents never learned from."""
-    return F.pmod(F.crc32(doc_id.cast("string")), F.lit(3)) == 1
+    """Documents never learned from; without an id there is no label to learn."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
 def _sample(labels: DataFrame, per_class: int) -> DataFrame:
@@ -241,50 +241,68 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) ->
     at = counted["bin"].to_numpy(dtype=np.int64)
     counts[0, at], counts[1, at] = counted["other"].to_numpy(), counted["toxic"].to_numpy()
     model = ToxicityModel(log_odds(*counts))
+    held = sample.where(part == 0).select("text", "toxic")
+
+    def told(of) -> pd.DataFrame:
+        """One row of figures for each calibration document."""
+        def figures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = [(toxic, *of(text)) for text, toxic in zip(batch["text"].tolist(), batch["toxic"].tolist())]
+                yield pd.DataFrame(rows, columns=["toxic", "n", "x"])
+
+        return held.mapInPandas(figures, "toxic int, n long, x double").toPandas()
+
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def best_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text, toxic in zip(batch["text"].tolist(), batch["toxic"].tolist()):
-                n, found = sent.value.segments(text)
-                # the runs that can count: further ones hardly add
-                rows.append((toxic, n, sorted((s for _, _, s in found), reverse=True)[:20]))
-            yield pd.DataFrame(rows, columns=["toxic", "n", "runs"])
-
-    runs = (sample.where(part == 0).select("text", "toxic")
-            .mapInPandas(best_runs, "toxic int, n long, runs array<double>")).toPandas()
+    def best_run(text: str | None) -> tuple[int, float]:
+        n, found = sent.value.segments(text)
+        return n, max((score for _, _, score in found), default=0.0)
+
+    runs = told(best_run)
     if runs["toxic"].nunique() < 2:
         return model
-    y = runs["toxic"].to_numpy(dtype=float)
-    n = runs["n"].to_numpy(dtype=float)
-    best = np.array([r[0] if len(r) else 0.0 for r in runs["runs"]])
-    model.scale, model.size = fit_extremes(best[y == 0], n[y == 0])
-    x = np.array([model.combined(int(m), list(r)) for m, r in zip(n, runs["runs"])])
-    model.intercept, model.slope = fit_logistic(x, y)
+    clean = runs[runs["toxic"] == 0]
+    model.scale, model.size = fit_extremes(clean["x"].to_numpy(), clean["n"].to_numpy(dtype=float))
+    fitted = docs.sparkSession.sparkContext.broadcast(model)
+    # the very evidence that documents are scored by
+    evidence = told(lambda text: (0, fitted.value.judge(text)[0]))
+    model.intercept, model.slope = fit_logistic(evidence["x"].to_numpy(), evidence["toxic"].to_numpy(dtype=float))
     return model
 
 
-def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> Column:
-    """Column with the probability that a text is toxic; NULL and empty texts
-    score as neutral text of no words."""
+def judged(docs: DataFrame, model: ToxicityModel, text: str = "text") -> Column:
+    """Column ``score, first, end, e_value``: the probability that a text is
+    toxic and its toxic passages in lists of equal length. NULL and empty
+    texts score as neutral text of no words and hold no passage."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.probability(t) for t in texts.tolist()], dtype="float64")
+    @F.pandas_udf("score double, first array<int>, end array<int>, e_value array<double>")
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts.tolist():
+            evidence, passages = sent.value.judge(t)
+            rows.append((sent.value.probability(evidence), *([p[k] for p in passages] for k in range(3))))
+        return pd.DataFrame(rows, columns=["score", "first", "end", "e_value"])
 
-    return scored(docs[text].cast("string"))
+    return judge(docs[text].cast("string"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -> DataFrame:
-    """``docs`` with ``toxicity_score`` added. Labels are used to fit only;
-    languages, sources and ids are never inputs of a score."""
+    """``docs`` with ``toxicity_score`` and ``toxic_passages`` added (columns
+    of these names are replaced): every passage ``first, end, e_value`` of the
+    text, counted in words, that chance gives less than ``E_VALUE`` times.
+    Texts are scanned whole, whatever their length. Repeated rows each get the
+    same result; labels are used to fit only; languages, sources and ids are
+    never inputs of a score."""
     model = train(docs, labels, per_class)
-    return docs.withColumn("toxicity_score", score(docs, model))
+    kept = [docs[c] for c in docs.columns if c not in ("toxicity_score", "toxic_passages")]
+    return (docs.select(*kept, judged(docs, model).alias("_judged"))
+            .withColumn("toxicity_score", F.col("_judged.score"))
+            .withColumn("toxic_passages", F.arrays_zip("_judged.first", "_judged.end", "_judged.e_value"))
+            .drop("_judged"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that score ``threshold`` or more."""
     model = train(docs, labels)
-    return docs.where(score(docs, model) < threshold)
+    return docs.where(judged(docs, model)["score"] < threshold)

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from colloquy.llm import decontamination, line_dedup, line_frequency, lsh_forest, masked_lm, pii, secrets, toxicity
 
@@ -203,6 +204,53 @@ def test_maximal_segments_are_the_best_disjoint_ones():
         assert all(s[a:k].sum() > 0 and s[k:b].sum() > 0 for a, b, _ in runs for k in range(a + 1, b))
 
 
+def best_first(scores, lo, hi):
+    """Maximal runs by their definition: the best run (of equal ones the
+    shortest), then the same on its left and right."""
+    runs = [(sum(scores[a:b]), a - b, a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)]
+    best = max(runs, default=(0,))
+    if best[0] <= 0:
+        return []
+    _, _, a, b = best
+    return best_first(scores, lo, a) + [(a, b)] + best_first(scores, b, hi)
+
+
+def test_every_maximal_segment_is_found():
+    rng = random.Random(44)
+    for _ in range(150):
+        s = [rng.uniform(-2, 1.5) for _ in range(rng.randint(0, 24))]
+        assert [(a, b) for a, b, _ in toxicity.maximal_segments(toxicity.np.array(s))] == best_first(s, 0, len(s))
+
+
+def test_passages_are_the_significant_segments(spark, make):
+    score = toxicity.np.zeros(toxicity.BINS)
+    for word, x in (("foul", 10.0), ("vile", 5.0), ("rude", 1.5), ("fine", -2.0)):
+        score[toxicity.bin_of("w " + word)] = x
+    model = toxicity.ToxicityModel(score, 1.2, 0.05, -3.0, 0.8)
+    rng = random.Random(45)
+    texts = [" ".join(rng.choice(["foul", "vile", "rude", "fine", "so", "then", "we", "go"]) for _ in range(n)) for n in (0, 1, 9, 24, 40) * 5]
+    texts += [None, "so " * 60_000 + "foul vile rude " + "so " * 60_000 + "rude vile"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3])]
+    docs = make(rows)
+    got = docs.select("doc_id", toxicity.judged(docs, model).alias("j")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        words, seen, points = toxicity.words_of(texts[r.doc_id]), Counter(), []
+        for w in words:
+            seen[w] += 1
+            points.append(max((score[b] for b in toxicity.features(w)), key=abs))
+            points[-1] = (points[-1] / seen[w] ** 2 if points[-1] > toxicity.DRIFT else points[-1]) - toxicity.DRIFT
+        if len(words) > 100:  # too long for the definition; known by hand
+            assert list(zip(r.j["first"], r.j["end"]))[0] == (60_000, 60_003) and len(r.j["first"]) == 1
+            continue
+        e = {(a, b): 0.05 * len(words) * math.exp(-1.2 * sum(points[a:b])) for a, b in best_first(points, 0, len(points))}
+        want = {k: x for k, x in e.items() if x <= toxicity.E_VALUE}
+        assert dict(zip(zip(r.j["first"], r.j["end"]), r.j["e_value"])) == pytest.approx(want)
+        marks = sorted((-math.log(x) for x in e.values()), reverse=True)
+        z = max(-10, min(60, sum(m / (k * k) for k, m in enumerate(marks, 1) if k == 1 or m >= -math.log(toxicity.E_VALUE)))) if marks else -10
+        assert r.j["score"] == pytest.approx(1 / (1 + math.exp(3.0 - 0.8 * z)))
+
+
 def test_toxicity_learns_and_keeps_clean(spark, make):
     rng = random.Random(6)
     bad = ["zorgish", "vilefoo", "scumbar"]
@@ -218,7 +266,10 @@ def test_toxicity_learns_and_keeps_clean(spark, make):
     marks += [(900, 1), (None, 1), (901, None), (0, 1)]
     labels = spark.createDataFrame(marks, "doc_id long, toxic int")
     docs = make(rows)
-    out = toxicity.toxicity(docs, labels).withColumn("held", toxicity.held_out(docs["doc_id"])).collect()
+    named = docs.withColumn("toxic_passages", F.lit("x")).withColumn("toxicity_score", F.lit("x"))  # replaced
+    out = toxicity.toxicity(named, labels).withColumn("held", toxicity.held_out(F.col("doc_id"))).collect()
+    assert all(r["held"] is False for r in out if r["doc_id"] is None)
+    assert all(any(w in toxicity.words_of(r["text"])[p["first"]:p["end"]] for w in bad) for r in out for p in r["toxic_passages"])
     assert len(out) == len(rows) and all(0 <= r["toxicity_score"] <= 1 for r in out)
     held = [r for r in out if r["held"] and r["doc_id"] is not None and r["doc_id"] < 600]
     assert held and all((r["toxicity_score"] >= 0.7) == (r["doc_id"] % 5 == 0) for r in held)
