@@ -111,24 +111,36 @@ class BenchmarkIndex:
         return np.repeat(at, n), self.item[entry], self.pos[entry]
 
 
-def banded_distance(pattern: np.ndarray, window: np.ndarray, budget: int) -> tuple[int, int]:
-    """Least edits that turn ``pattern`` into some substring of ``window``,
-    and the end of that substring. Only cells that a path of at most
-    ``budget`` edits starting anywhere can reach are of interest, so the
-    caller passes a window just wider than the band. More than ``budget``
+def banded_distance(pattern: np.ndarray, text: np.ndarray, low: int, budget: int) -> tuple[int, int]:
+    """Least edits that turn ``pattern`` into some substring of ``text`` along
+    the ``2 (budget + 1)`` diagonals from ``low`` on, and the end of that
+    substring. Only the cells of these diagonals are computed: cell ``d`` of
+    row ``i`` stands at text position ``low + d + i``. More than ``budget``
     edits are reported as ``budget + 1``."""
-    n = len(window)
-    row = np.zeros(n + 1, dtype=np.int64)  # the match may begin anywhere
-    ramp = np.arange(n + 1)
+    width = 2 * (budget + 1)
+    none = budget + 1
+    ramp = np.arange(width)
+    place = low + ramp
+    # the characters under the band; a code no text has stands for places outside
+    first, last = low, low + width + len(pattern) - 1
+    under = np.full(last - first, np.iinfo(np.uint64).max, dtype=np.uint64)
+    a, b = max(first, 0), min(last, len(text))
+    if a < b:
+        under[a - first:b - first] = text[a:b]
+    row = np.where((place >= 0) & (place <= len(text)), 0, none)  # the match may begin anywhere
     for i, c in enumerate(pattern):
-        step = np.empty(n + 1, dtype=np.int64)
-        step[0] = i + 1
-        step[1:] = np.minimum(row[:-1] + (window != c), row[1:] + 1)
-        row = np.minimum.accumulate(step - ramp) + ramp  # edits that skip text
-        if row.min() > budget:
-            return budget + 1, 0
+        step = row + (under[i:i + width] != c)
+        step[:-1] = np.minimum(step[:-1], row[1:] + 1)  # a character of the pattern left out
+        place += 1
+        if place[0] < 0 or place[-1] > len(text):
+            step[(place < 0) | (place > len(text))] = none
+        row = np.minimum(np.minimum.accumulate(step - ramp) + ramp, none)  # characters of the text left out
+        if place[-1] > len(text):
+            row[place > len(text)] = none
+        if row.min() >= none:
+            return none, 0
     end = int(row.argmin())
-    return min(int(row[end]), budget + 1), end
+    return int(row[end]), int(place[end])
 
 
 def find_regions(index: BenchmarkIndex, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
@@ -163,13 +175,13 @@ def find_regions(index: BenchmarkIndex, texts: list[str]) -> list[tuple[int, int
         d, k, b = (int(x) for x in keys[:, begin[g]])
         m, budget = int(index.length[k]), int(index.budget[k])
         low = b * (budget + 1) - m
-        lo, hi = max(0, low - budget), min(len(texts[d]), low + 2 * (budget + 1) + m + budget)
         name, text = index.items[k][1], texts[d]
-        exact = text.find(name, lo, hi)
+        exact = text.find(name, max(0, low), max(0, low + 2 * (budget + 1) - 1 + m))
         if exact >= 0:
             edits, start, end = 0, exact, exact + m
         else:
-            edits, end = banded_distance(codes(name), codes(text[lo:hi]), budget)
+            lo = max(0, low)
+            edits, end = banded_distance(codes(name), codes(text[lo:max(0, low + 2 * (budget + 1) + m)]), low - lo, budget)
             if edits > budget:
                 continue
             end += lo

@@ -155,6 +155,53 @@ def edit_distance_within(pattern, text):
     return min(row)
 
 
+def band_brute(pattern, text, low, budget):
+    """Least edits over alignments whose cells all lie on the band's diagonals."""
+    best, cells = budget + 1, {}
+    for i in range(len(pattern) + 1):
+        for t in range(len(text) + 1):
+            if low <= t - i < low + 2 * (budget + 1):
+                ways = [0] if i == 0 else []
+                if (i - 1, t - 1) in cells:
+                    ways.append(cells[i - 1, t - 1] + (pattern[i - 1] != text[t - 1]))
+                ways += [cells[c] + 1 for c in ((i - 1, t), (i, t - 1)) if c in cells]
+                if ways:
+                    cells[i, t] = min(ways)
+                    if i == len(pattern):
+                        best = min(best, cells[i, t])
+    return best
+
+
+def test_alignment_stays_in_its_band():
+    rng = random.Random(46)
+    codes = decontamination.codes
+    for _ in range(400):
+        text = "".join(rng.choice("abc") for _ in range(rng.randint(0, 30)))
+        at = rng.randint(0, len(text))
+        pattern = list(text[at:at + rng.randint(1, 14)]) or ["a"]
+        for _ in range(rng.randint(0, 3)):
+            pattern[rng.randrange(len(pattern))] = rng.choice(["", "a", "b", "ca"])
+        pattern, budget = "".join(pattern) or "b", rng.randint(0, 3)
+        low = at + rng.randint(-6, 3)
+        edits, end = decontamination.banded_distance(codes(pattern), codes(text), low, budget)
+        assert edits == band_brute(pattern, text, low, budget)
+        if edits <= budget:
+            assert min(band_brute(pattern, text[k:end], -len(pattern) - 40, 60) for k in range(end + 1)) <= edits
+        # some pair of overlapping bands holds every alignment within the budget
+        whole = min(decontamination.banded_distance(codes(pattern), codes(text), b * (budget + 1) - len(pattern), budget)[0]
+                    for b in range(-1, (len(text) + len(pattern)) // (budget + 1) + 2))
+        assert whole == min(edit_distance_within(pattern, text), budget + 1)
+
+
+def test_regions_of_texts_longer_than_a_chunk(monkeypatch):
+    monkeypatch.setattr(decontamination, "CHUNK_CHARS", 37)
+    rng = random.Random(47)
+    item = decontamination.normalise(prose(rng, 30))
+    text = decontamination.normalise(prose(rng, 40)) + " " + item[:60] + "x" + item[60:] + " " + decontamination.normalise(prose(rng, 300)) + item
+    found = decontamination.find_regions(decontamination.BenchmarkIndex([(5, item)]), [text, "", item])
+    assert {(d, end, edits) for d, _, _, end, _, edits in found} >= {(0, text.index("x" + item[60:]) + 1 + len(item) - 60, 1), (0, len(text), 0), (2, len(item), 0)}
+
+
 def test_decontamination_equals_full_alignment(spark, make):
     rng = random.Random(12)
     items = [(k, prose(rng, 16, 7)) for k in range(6)] + [(90, "short"), (91, None), (92, "")]
