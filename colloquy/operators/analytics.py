@@ -19,7 +19,9 @@ from .. import dictionaries as DICT
 from ..dictionaries import DEFAULT, Dictionaries
 from ..functions import classify as C
 from ..functions import text as X
+from ..session import written
 from .ordering import global_top_k, group_ordinals
+from .selection import FINISH_ROWS, values_at_ranks
 
 
 # ------------------------------------------------------------ segment level
@@ -224,29 +226,22 @@ def score_summary(meetings: DataFrame, group: str = "call_type", value: str = "s
                     C.six_places("q75").alias("q75"), "max"))
 
 
-def exact_quartiles(df: DataFrame, group: str, value: str, probs=(0.25, 0.5, 0.75)) -> DataFrame:
-    """Exact linear-interpolated quantiles per group without collecting a
-    group's values in one buffer: rank values with ``group_ordinals``, keep
-    the two ranks around each position 1+(n-1)p, interpolate."""
-    ranked = group_ordinals(df.filter(F.col(value).isNotNull()).select(group, value), group, [value],
-                            ordinal_col="_rn", size_col="_n")
-    aggs = []
-    near = F.lit(False)
-    for p in probs:
-        pos = F.lit(1.0) + (F.col("_n") - 1).cast("double") * F.lit(p)
-        lo, hi = F.floor(pos), F.ceil(pos)
-        near = near | (F.col("_rn") == lo) | (F.col("_rn") == hi)
-        tag = f"{int(round(p * 100)):02d}"
-        aggs += [F.max(F.when(F.col("_rn") == lo, F.col(value))).alias(f"_lo{tag}"),
-                 F.max(F.when(F.col("_rn") == hi, F.col(value))).alias(f"_hi{tag}"),
-                 F.max(pos - lo).alias(f"_f{tag}")]
-    g = ranked.filter(near).groupBy(group).agg(*aggs)
-    cols = [group]
-    for p in probs:
-        tag = f"{int(round(p * 100)):02d}"
-        lo_v, hi_v, frac = F.col(f"_lo{tag}"), F.col(f"_hi{tag}"), F.col(f"_f{tag}")
-        cols.append((lo_v + (hi_v - lo_v) * frac).alias(f"q{tag}"))
-    return g.select(*cols)
+def exact_quartiles(df: DataFrame, group: str, value: str, probs=(0.25, 0.5, 0.75),
+                    finish_rows: int = FINISH_ROWS) -> DataFrame:
+    """Exact linear-interpolated quantiles per group: the two ranks around
+    each position 1+(n-1)p are selected by narrowing value intervals, so a
+    group's values are neither sorted nor gathered, then interpolated."""
+    sizes = written(df.filter(F.col(value).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("size")))
+    at = {f"{int(round(p * 100)):02d}": F.lit(1.0) + (F.col("size") - 1).cast("double") * F.lit(p) for p in probs}
+    ends = [F.struct(F.lit(end + tag).alias("tag"), f(pos).alias("rank"))
+            for tag, pos in at.items() for end, f in (("lo", F.floor), ("hi", F.ceil))]
+    wanted = sizes.select(group, "size", F.explode(F.array(*ends)).alias("e")).select(group, "size", "e.*")
+    found = values_at_ranks(df, group, value, wanted, finish_rows).groupBy(F.col(group).alias("_k")).agg(
+        *[F.max(F.when(F.col("tag") == end + tag, F.col("x"))).alias(f"_{end}{tag}") for tag in at for end in ("lo", "hi")])
+    both = sizes.join(found, F.col(group).eqNullSafe(F.col("_k")))
+    return both.select(group, *[
+        (F.col(f"_lo{tag}") + (F.col(f"_hi{tag}") - F.col(f"_lo{tag}")) * (pos - F.floor(pos))).alias(f"q{tag}")
+        for tag, pos in at.items()])
 
 
 def approx_quartiles(df: DataFrame, group: str, value: str, accuracy: int = 10_000) -> DataFrame:

@@ -11,6 +11,7 @@ from testpaths import SF_SMALL
 
 from colloquy.operators import analytics as A
 from colloquy.operators import graph as G
+from colloquy.operators import selection
 from colloquy.operators.ordering import group_ordinals, top_k_per_group
 from colloquy.sources import bindings as B
 
@@ -62,6 +63,33 @@ def test_quartiles_match_numpy(spark):
         assert np.allclose(got[g], exp, rtol=0, atol=1e-12)
 
 
+def quartiles_of(rows, **settings):
+    return {r[0]: tuple(r)[1:] for r in A.exact_quartiles(rows, "g", "x", **settings).collect()}
+
+
+def test_quartiles_by_rounds_match_numpy(spark, monkeypatch):
+    monkeypatch.setattr(selection, "PIECES", 8)  # more rounds
+    rnd = random.Random(8)
+    rows = [("hot", rnd.lognormvariate(0, 6)) for _ in range(3000)]  # a group with most of the rows, far outliers
+    rows += [("tied", rnd.choice([1.0, 1.0, 1.0, 1.0, 2.5, -3.0])) for _ in range(700)]
+    rows += [("same", 4.0)] * 400 + [(None, float(k)) for k in range(333)] + [("one", -7.0), ("two", 1.0), ("two", 2.0), ("hot", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(7)
+    want = {g: np.quantile([x for k, x in rows if k == g and x is not None], [0.25, 0.5, 0.75])
+            for g in ("hot", "tied", "same", None, "one", "two")}
+    for finish in (0, 1, 5, 100, 10_000):
+        got = quartiles_of(df, finish_rows=finish)
+        assert set(got) == set(want) and all(np.allclose(got[g], want[g], rtol=1e-12, atol=0) for g in want)
+    assert quartiles_of(df.limit(0)) == {}
+
+
+def test_quartiles_of_whole_numbers_and_no_sort(spark):
+    df = spark.range(5001).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 5003).alias("x"))
+    got = quartiles_of(df, finish_rows=50)
+    for g in (0, 1):
+        assert np.allclose(got[g], np.quantile([i * 7919 % 5003 for i in range(5001) if i % 2 == g], [0.25, 0.5, 0.75]))
+    assert "rangepartitioning" not in plan_text(A.exact_quartiles(df, "g", "x", finish_rows=50)).lower()
+
+
 def test_resolution_shift_brute_force(spark):
     rows = []
     rnd = random.Random(11)
