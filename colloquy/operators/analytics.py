@@ -20,7 +20,7 @@ from ..dictionaries import DEFAULT, Dictionaries
 from ..functions import classify as C
 from ..functions import text as X
 from ..session import written
-from .ordering import global_top_k, group_ordinals
+from .ordering import global_top_k, group_ordinals, top_k_per_group
 from .selection import FINISH_ROWS, values_at_ranks
 
 
@@ -173,6 +173,11 @@ def account_stats(meetings: DataFrame, d: Dictionaries = DEFAULT) -> DataFrame:
         F.avg("sentiment_score").alias("_avg"),
         F.count_if(F.col("call_type") == "Support").alias("support_calls"),
         F.count(F.lit(1)).alias("total_calls")))
+    return account_report(g)
+
+
+def account_report(g: DataFrame) -> DataFrame:
+    """Risk and rounded average of ``customer, _avg, support_calls, total_calls``."""
     return g.select("customer", C.account_risk("_avg", "support_calls").alias("risk"),
                     C.fixed_round("_avg", 2).alias("avg_sentiment"), "support_calls", "total_calls")
 
@@ -203,6 +208,11 @@ def daily_timeline(meetings: DataFrame, days: int = DICT.TIMELINE_DAYS) -> DataF
     last, as in the reference)."""
     g = meetings.groupBy(F.to_date("start_time").alias("date")).agg(
         F.avg("sentiment_score").alias("_avg"), F.count(F.lit(1)).alias("count"))
+    return last_days(g, days)
+
+
+def last_days(g: DataFrame, days: int = DICT.TIMELINE_DAYS) -> DataFrame:
+    """The timeline of ``date, _avg, count``."""
     last = global_top_k(g, [F.col("date").desc_nulls_first()], days)
     # the day is reported as ISO text, as the dashboard returns it
     return (last.orderBy(F.col("date").asc_nulls_last())
@@ -300,6 +310,33 @@ def topics_matching(topics: DataFrame, patterns: Sequence[str], k: int = DICT.TO
     return global_top_k(g, [F.col("count").desc(), F.col("topic")], k)
 
 
+def topics_by_section(topics: DataFrame, sections: dict[str, Sequence[str]], k: int = DICT.TOP_TOPICS) -> DataFrame:
+    """``topics_matching`` for several named pattern lists in one pass:
+    ``section, topic, count``, the first ``k`` topics of each section. A topic
+    row counts once in every section it matches."""
+    own = F.array(*[F.when(X.contains_any("topic", patterns), F.lit(name)) for name, patterns in sections.items()])
+    g = (topics.select(F.explode(F.array_compact(own)).alias("section"), "topic").groupBy("section", "topic")
+         .agg(F.count(F.lit(1)).alias("count")))
+    return top_k_per_group(g, "section", [F.col("count").desc(), F.col("topic")], k).drop("rank")
+
+
+def meeting_groups(meetings: DataFrame, d: Dictionaries = DEFAULT) -> DataFrame:
+    """All meetings together and by call type, sentiment, account of the title
+    and day, in one aggregation: ``part`` tells which (``all, call_type,
+    sentiment, customer, day``), with ``count, _avg, minutes, support_calls``."""
+    keys = {"call_type": F.col("call_type"), "sentiment": F.col("overall_sentiment"),
+            "customer": C.account_from_title("title", d), "day": F.to_date("start_time")}
+    base = meetings.select(*[c.alias(k) for k, c in keys.items()], "sentiment_score", "duration",
+                           (F.col("call_type") == "Support").alias("_support"))
+    g = (base.groupingSets([[], *[[F.col(k)] for k in keys]], *keys)
+         .agg(F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("count"), F.avg("sentiment_score").alias("_avg"),
+              F.sum("duration").alias("minutes"), F.count_if("_support").alias("support_calls")))
+    part, every = F.lit("all"), (1 << len(keys)) - 1
+    for i, k in enumerate(keys):  # a set bit of the id is a key that isn't grouped by
+        part = F.when(F.col("_gid") == every - (1 << (len(keys) - 1 - i)), F.lit(k)).otherwise(part)
+    return g.select(part.alias("part"), *keys, "count", "_avg", "minutes", "support_calls")
+
+
 def product_priorities(issues: DataFrame, features: DataFrame, tab: str = "all", query: str = "") -> DataFrame:
     """ALG5 (SET3, AGG27, FIL15, SRT10): issues and features tagged and
     concatenated, each carrying the overall maximum volume, filtered by tab

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dictionaries import DEFAULT, Dictionaries
+from ..functions import classify as C
 from ..operators import analytics as A
+from ..session import written
 
 SECTIONS = ("meeting", "transcript", "action_items", "topics", "key_moments", "entities")
 # columns of one section or two; NULL in the others
@@ -81,26 +83,37 @@ def meeting_detail(meetings: DataFrame, segments: DataFrame | None = None, actio
 def dashboard(meetings: DataFrame, topics: DataFrame, d: Dictionaries = DEFAULT) -> DataFrame:
     """ALG14: KPIs, call-type and sentiment breakdowns, account risk (top
     12), issue and feature lists and the timeline as one tagged table
-    (section, item, value, n, label, support_calls)."""
+    (section, item, value, n, label, support_calls). Meetings and topics are
+    each read and aggregated once; the parts are made from the groups, which
+    are written to the checkpoint folder at once."""
     def rows(df, section, item, value=None, n=None, label=None, support_calls=None):
         def c(x, t):
             return F.lit(None).cast(t) if x is None else (F.col(x) if isinstance(x, str) else x).cast(t)
-        return df.select(F.lit(section).alias("section"), c(item, "string").alias("item"), c(value, "double").alias("value"),
+        return df.select((F.lit(section) if isinstance(section, str) else section).alias("section"), c(item, "string").alias("item"), c(value, "double").alias("value"),
                          c(n, "long").alias("n"), c(label, "string").alias("label"),
                          c(support_calls, "long").alias("support_calls"))
 
-    figures = {"total_meetings": "total_meetings", "average_sentiment": "avg_sentiment", "total_hours": "total_hours"}
-    k = A.kpis(meetings).select(F.explode(F.array(*[
-        F.struct(F.lit(item).alias("item"), F.col(c).cast("double").alias("value")) for item, c in figures.items()])).alias("k"))
+    groups = written(A.meeting_groups(meetings, d))
+
+    def of(part, *names):
+        return groups.where(F.col("part") == part).select(*names)
+
+    # a total over no meetings is still a row
+    total = of("all", "count", "_avg", "minutes").agg(
+        F.coalesce(F.max("count"), F.lit(0)).alias("total_meetings"), C.fixed_round(F.max("_avg"), 2).alias("average_sentiment"),
+        C.fixed_round(F.max("minutes") / F.lit(60.0), 1).alias("total_hours"))
+    k = total.select(F.explode(F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).cast("double").alias("value"))
+                                         for c in total.columns])).alias("k"))
+    accounts = of("customer", "customer", "_avg", "support_calls", F.col("count").alias("total_calls")).where("customer IS NOT NULL")
+    by_topic = A.topics_by_section(topics, {"product_risk": d.issue_patterns, "feature_requests": d.feature_patterns})
     parts = [
         rows(k, "kpis", "k.item", "k.value"),
-        rows(A.count_by(meetings, "call_type"), "call_type", "call_type", n="count"),
-        rows(A.count_by(meetings, "overall_sentiment"), "sentiment", "overall_sentiment", n="count"),
-        rows(A.account_risk_top(A.account_stats(meetings, d)), "customer_risk", "customer", "avg_sentiment",
+        rows(of("call_type", "call_type", "count"), "call_type", "call_type", n="count"),
+        rows(of("sentiment", "sentiment", "count"), "sentiment", "sentiment", n="count"),
+        rows(A.account_risk_top(A.account_report(accounts)), "customer_risk", "customer", "avg_sentiment",
              "total_calls", "risk", "support_calls"),
-        rows(A.topics_matching(topics, d.issue_patterns), "product_risk", "topic", n="count"),
-        rows(A.topics_matching(topics, d.feature_patterns), "feature_requests", "topic", n="count"),
-        rows(A.daily_timeline(meetings), "timeline", "date", "sentiment", "count"),
+        rows(by_topic, F.col("section"), "topic", n="count"),
+        rows(A.last_days(of("day", F.col("day").alias("date"), "_avg", "count")), "timeline", "date", "sentiment", "count"),
     ]
     out = parts[0]
     for p in parts[1:]:

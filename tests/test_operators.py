@@ -13,6 +13,7 @@ from colloquy.operators import analytics as A
 from colloquy.operators import graph as G
 from colloquy.operators import selection
 from colloquy.operators.ordering import group_ordinals, top_k_per_group
+from colloquy.plans import detail as DT
 from colloquy.sources import bindings as B
 
 
@@ -90,6 +91,34 @@ def test_quartiles_of_whole_numbers_and_no_sort(spark):
     assert "rangepartitioning" not in plan_text(A.exact_quartiles(df, "g", "x", finish_rows=50)).lower()
 
 
+def test_dashboard_parts_equal_their_own_queries(spark):
+    m, d = B.b3_meetings(spark, SF_SMALL), B.b3_dictionaries().with_(issue_patterns=B.B5_ISSUE_PATTERNS, feature_patterns=B.B5_FEATURE_PATTERNS)
+    m = m.unionByName(m.limit(1).withColumns({c: F.lit(None).cast(m.schema[c].dataType) for c in ("title", "call_type", "overall_sentiment", "start_time")}))
+    topics = B.b5_topics(spark, SF_SMALL)
+    got = {}
+    for r in DT.dashboard(m, topics, d).collect():
+        got.setdefault(r.section, set()).add((r["item"], r["value"], r["n"], r["label"], r["support_calls"]))
+    k = A.kpis(m).first()
+    assert {x[:2] for x in got["kpis"]} == {("total_meetings", float(k.total_meetings)), ("average_sentiment", k.avg_sentiment), ("total_hours", k.total_hours)}
+    for section, key in (("call_type", "call_type"), ("sentiment", "overall_sentiment")):
+        assert {(x[0], x[2]) for x in got[section]} == {(r[key], r["count"]) for r in A.count_by(m, key).collect()}
+    assert got["customer_risk"] == {(r.customer, r.avg_sentiment, r.total_calls, r.risk, r.support_calls)
+                                    for r in A.account_risk_top(A.account_stats(m, d)).collect()}
+    for section, patterns in (("product_risk", d.issue_patterns), ("feature_requests", d.feature_patterns)):
+        assert {(x[0], x[2]) for x in got[section]} == {tuple(r) for r in A.topics_matching(topics, patterns).collect()}
+    assert {x[:3] for x in got["timeline"]} == {tuple(r) for r in A.daily_timeline(m).collect()}
+    none = DT.dashboard(m.limit(0), topics.limit(0), d).collect()
+    assert {(r["item"], r["value"]) for r in none} == {("total_meetings", 0.0), ("average_sentiment", None), ("total_hours", None)}
+
+
+def test_topics_of_all_sections_in_one_pass(spark):
+    t = spark.createDataFrame([("bug and wish",), ("bug and wish",), ("bug",), ("other",), (None,)], "topic string")
+    both = A.topics_by_section(t, {"a": ["bug"], "b": ["wish"], "c": []}, 1)
+    assert sorted(map(tuple, both.collect())) == [("a", "bug and wish", 2), ("b", "bug and wish", 2)]
+    ran = plan_text(both).split("Initial Plan")[0]
+    assert ran.count("Scan ExistingRDD") == 1 and "WindowGroupLimit" in ran
+
+
 def test_resolution_shift_brute_force(spark):
     rows = []
     rnd = random.Random(11)
