@@ -23,7 +23,6 @@ from .common import keep
 
 MAX_LEN = 2048
 END_ID = 0
-NUMBERING_SALTS = 64
 # entries of a worker's word cache; beyond that it starts anew (speed only)
 CACHE_WORDS = 600_000
 
@@ -134,14 +133,38 @@ def plan_sequences(counts: np.ndarray) -> Groups:
     length down, the gap it leaves is looked up among single lengths, then
     sums of two, then sums of three, taking as many copies at once as all
     parts have left. What fits nothing exactly goes best-fit, longest first.
-    A few odd lengths may pack tighter by best-fit alone, which is then taken.
+    Where the residuals would take more sequences than best-fit needs for
+    everything, the last combinations, those of the shortest lengths, are
+    undone until they don't: as few of them as doubling and bisection find.
     """
-    left = counts.astype(np.int64).copy()
-    left[0] = 0
-    plain = _best_fit(left)
-    exact = _exact_complements(left)
-    mixed = exact + _best_fit(left)
-    return mixed if sum(t for t, _ in mixed) <= sum(t for t, _ in plain) else plain
+    rest = counts.astype(np.int64).copy()
+    rest[0] = 0
+    goal = _sequences(_best_fit(rest))
+    exact = _exact_complements(rest)
+
+    def without_last(n: int) -> Groups:
+        residual = rest.copy()
+        for times, parts in exact[len(exact) - n:]:
+            for length, copies in parts:
+                residual[length] += times * copies
+        return exact[:len(exact) - n] + _best_fit(residual)
+
+    low, undone, plan = 0, 0, without_last(0)
+    while _sequences(plan) > goal:  # with all of them undone it is the goal
+        low, undone = undone, min(len(exact), max(1, 2 * undone))
+        plan = without_last(undone)
+    while undone - low > 1:
+        middle = (low + undone) // 2
+        trial = without_last(middle)
+        if _sequences(trial) > goal:
+            low = middle
+        else:
+            undone, plan = middle, trial
+    return plan
+
+
+def _sequences(groups: Groups) -> int:
+    return sum(times for times, _ in groups)
 
 
 def _exact_complements(left: np.ndarray) -> Groups:
@@ -240,19 +263,28 @@ def pack(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     ``max_len``. An empty input gives no rows; repeated rows each get a place
     of their own; which of two equal rows gets which place is not fixed."""
     spark = pieces.sparkSession
-    ident = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
-    placed = keep(pieces.withColumn("_salt", F.pmod(F.xxhash64(*ident), F.lit(NUMBERING_SALTS)).cast("int")))
-    by_salt = placed.groupBy("length", "_salt").agg(F.count("*").alias("n"))
-    # at most max_len * NUMBERING_SALTS rows, whatever the corpus
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = by_salt.select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
+
+    def ranks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        seen = np.zeros(max_len + 1, dtype=np.int64)
+        for length in batches:
+            at = length.to_numpy()
+            yield length.groupby(at).cumcount().astype("int64") + seen[at]
+            seen += np.bincount(at, minlength=max_len + 1)
+
+    # numbered within task and length where the pieces are made; the written
+    # table fixes the numbers, whichever attempt of a task wrote them
+    rank = F.pandas_udf("long")(ranks).asNondeterministic()
+    placed = keep(pieces.withColumn("_task", F.spark_partition_id()).withColumn("_rank", rank(F.col("length").cast("long"))))
+    by_task = placed.groupBy("length", "_task").agg(F.count("*").alias("n"))
+    # a row for each task and length
+    before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = by_task.select("length", "_task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
     counts = np.zeros(max_len + 1, dtype=np.int64)
-    for row in by_salt.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most max_len rows
+    for row in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most max_len rows
         counts[row["length"]] = row["n"]
     places = spark.sparkContext.broadcast(_places(plan_sequences(counts)))
-    order = Window.partitionBy("length", "_salt").orderBy(*ident)
-    numbered = (placed.withColumn("_rank", F.row_number().over(order) - 1)
-                .join(F.broadcast(starts), ["length", "_salt"])
+    # a key has at most the rows of one task
+    numbered = (placed.join(keep(starts), ["length", "_task"])
                 .withColumn("_ordinal", (F.col("_first") + F.col("_rank")).cast("long")))
 
     @F.pandas_udf("struct<sequence_id: long, offset: long>")

@@ -71,6 +71,40 @@ def best_fit(counts):
     return len(gaps)
 
 
+def test_undone_combinations_leave_the_others():
+    undone = []
+    for seed in range(400):
+        rng = np.random.default_rng(seed)
+        counts = np.concatenate(([0], rng.integers(0, 5, 40) * (rng.random(40) < 0.4)))
+        rest = counts.astype(np.int64)
+        exact = packing._exact_complements(rest)
+        groups = packing.plan_sequences(counts)
+        goal = best_fit(counts)
+        assert packing._sequences(groups) <= goal
+
+        def cost(n):
+            residual = rest.copy()
+            for times, parts in exact[len(exact) - n:]:
+                for length, copies in parts:
+                    residual[length] += times * copies
+            return packing._sequences(exact[:len(exact) - n] + packing._best_fit(residual))
+
+        kept = next(k for k in range(len(exact), -1, -1) if groups[:k] == exact[:k])
+        undone.append(len(exact) - kept)
+        assert not undone[-1] or cost(undone[-1] - 1) > goal  # one less is too many sequences
+        assert cost(0) > goal or kept == len(exact)
+    assert 0 < sum(u > 0 for u in undone) < 200
+
+
+def test_equal_lengths_over_several_tasks(spark):
+    # rows of one length, in many batches and tasks, with repeats
+    pieces = spark.range(0, 30_000, numPartitions=7).selectExpr("id % 900 AS doc_id", "0 AS piece", "0L AS start", "cast(if(id % 3 = 0, 5, 2) as long) AS length", "7L AS ids_crc32")
+    got = packing.pack(pieces, 9).toPandas().sort_values(["sequence_id", "offset"])
+    assert len(got) == 30_000 and not got.duplicated(["sequence_id", "offset"]).any()
+    before = got.groupby("sequence_id")["length"].cumsum() - got["length"]
+    assert (before == got["offset"]).all() and got["sequence_id"].nunique() == 10_000
+
+
 def test_exact_complements_fill_gaps():
     counts = np.zeros(11, dtype=int)
     counts[[7, 3, 6, 2, 5, 1]] = [4, 4, 2, 4, 3, 2]
