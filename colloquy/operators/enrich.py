@@ -85,17 +85,17 @@ def speaker_roles(turns: DataFrame, meetings: DataFrame, speaker_col: str = "spe
                   d: Dictionaries = DEFAULT) -> DataFrame:
     """ENR14: attach ``speaker_role`` to every turn.
 
-    The rule depends only on (meeting, speaker), so it is evaluated once per
-    distinct pair (partially aggregated before the shuffle, so a long meeting
-    contributes one row per speaker) and joined back on both keys.
-    ``meetings`` must carry meeting_id, all_emails, host, call_type.
+    ``meetings`` must carry meeting_id, all_emails, host, call_type; one row
+    of it comes to each turn by one equi-join (a very long meeting is split by
+    AQE) and the rule is a column of the joined row. Turns without a meeting
+    id or a speaker have no role.
     """
-    pairs = turns.select("meeting_id", speaker_col).distinct()
-    roles = (pairs.join(meetings.select("meeting_id", "all_emails", "host", "call_type"), "meeting_id", "left")
-             .select("meeting_id", speaker_col,
-                     C.speaker_role(F.col(speaker_col), F.col("all_emails"), F.col("host"),
-                                    F.col("call_type"), d).alias("speaker_role")))
-    return turns.join(roles, on=["meeting_id", speaker_col], how="left")
+    known = meetings.select("meeting_id", F.col("all_emails").alias("_emails"), F.col("host").alias("_host"),
+                            F.col("call_type").alias("_call_type"))
+    speaker = F.col(speaker_col)
+    role = C.speaker_role(speaker, F.col("_emails"), F.col("_host"), F.col("_call_type"), d)
+    return (turns.join(known, "meeting_id", "left")
+            .select(*turns.columns, F.when(F.col("meeting_id").isNotNull() & speaker.isNotNull(), role).alias("speaker_role")))
 
 
 # ----------------------------------------------------------------- mentions
