@@ -77,9 +77,16 @@ def _ordered(line: Column, classes: Column) -> Column:
     return F.sort_array(coded)
 
 
+def _lines(docs: DataFrame) -> DataFrame:
+    """``_uid, _th, pos, line``. The key is made before the lines are taken
+    apart: made behind that, every line would carry and hash its whole text."""
+    return (docs.select(*row_key(), F.split("text", "\n").alias("_lines"))
+            .select("_uid", "_th", F.posexplode("_lines").alias("pos", "line")))
+
+
 def line_rows(docs: DataFrame, ranks: Column) -> DataFrame:
     """One row per line with words: ``_uid, _th, pos, codes``."""
-    lines = docs.select(*row_key(), F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line", F.lit(" \t\r")) != "")
+    lines = _lines(docs).where(F.trim("line", F.lit(" \t\r")) != "")
     return lines.select("_uid", "_th", "pos", _ordered(F.col("line"), ranks).alias("codes"))
 
 
@@ -185,7 +192,7 @@ def verified(docs: DataFrame, ranks: Column, candidates: DataFrame, threshold: f
     ends = (cand.select(F.explode(F.array(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.col("afirst").alias("first")),
                                           F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"), F.col("bfirst").alias("first")))).alias("e"))
             .select("e.h1", "e.h2", "e.first._uid", "e.first._th", "e.first.pos").distinct())
-    lines = docs.select(*row_key(), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = _lines(docs)
     # both sides read the one exchange by (h1, h2)
     sets = (only_needed(lines, ends, ["_uid", "_th", "pos"])
             .select("h1", "h2", _ordered(F.col("line"), ranks).alias("codes")).dropDuplicates(["h1", "h2"]))

@@ -177,3 +177,63 @@ def test_every_query_runs_and_the_pipeline_keeps_its_columns(spark):
         assert stage(spark, docs, SMALL).columns == docs.columns, name
     packed = corpus_pipeline.run(spark, SMALL)
     assert 0 < packed.select("doc_id").distinct().count() < docs.count()
+
+
+def awkward_docs():
+    rng = np.random.default_rng(5)
+    words = np.array(["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(700)])
+
+    def lines(n):
+        return "\n".join(" ".join(rng.choice(words, 11)) for _ in range(n))
+
+    own = {i: lines(int(rng.integers(5, 14))) for i in range(60)}
+    rows = [(i, t) for i, t in own.items()] + [(100, None), (101, None), (102, ""), (103, " \n\t\n"), (104, "word")]
+    rows += [(200, own[3]), (5, own[5]), (5, own[5]), (None, own[7] + "\n" + lines(30)), (None, None), (201, lines(4000)), (202, "x " * 40_000)]
+    near = own[9].split(" ")
+    rows.append((203, " ".join([*near[:-1], "other"])))
+    leak = lines(3)
+    rows.append((204, own[11] + "\n" + leak.upper() + "\n" + lines(9)))
+    toxic = {i for i in own if i % 6 == 0}
+    bad = ["zorgish", "vilefoo", "scumbar"]
+    rows = [(i, " ".join([*bad, t, *bad]) if i in toxic else t) for i, t in rows]
+    return rows, toxic, leak, own
+
+
+def write_tables(spark, folder, rows, marks, items):
+    docs = spark.createDataFrame([(i, t, "en", f"s{k % 2}", len(t or ""), k, k, "_task") for k, (i, t) in enumerate(rows)],
+                                 "doc_id long, text string, lang string, source string, n_chars long, _uid long, n int, _task string")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return docs
+
+
+def test_pipeline_takes_awkward_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rows, toxic, leak, own = awkward_docs()
+    marks = [(i, int(i in toxic)) for i in own] + [(None, 1), (100, None), (5, 0)]
+    docs = write_tables(spark, str(tmp_path), rows, marks, [(1, leak), (2, None), (3, "")])
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        seen[name] = [r["doc_id"] for r in docs.select("doc_id").collect()]
+    alone = set(own) - toxic - {3, 5, 9}  # clean documents without a copy
+    assert all(alone <= set(ids) for ids in seen.values())
+    assert not set(seen["ngram_jaccard_join"]) & {200, 203} and {3, 5, 9} - toxic <= set(seen["ngram_jaccard_join"])
+    assert 204 in seen["ngram_jaccard_join"] and 204 not in seen["benchmark_decontamination"]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).toPandas()
+    left = docs.select("doc_id", "text").collect()
+    assert packed["length"].sum() == sum(len(Tokenizer.from_file(PATH).encode(r.text or "", add_special_tokens=False).ids) + 1 for r in left)
+    for _, g in packed.sort_values("offset").groupby("sequence_id"):
+        assert (g["offset"].to_numpy() == np.concatenate(([0], g["length"].cumsum().to_numpy()[:-1]))).all() and g["length"].sum() <= 2048
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    write_tables(spark, str(tmp_path), [], [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
