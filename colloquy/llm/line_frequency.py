@@ -72,7 +72,9 @@ def _lines(docs: DataFrame, host: str) -> DataFrame:
     all the line's places; lines without words are left out. Repeats of a row
     have the same places, so they add nothing."""
     line = F.lower(F.trim(F.regexp_replace("line", BLANKS, " ")))
-    rows = (docs.select(*row_key(), *_place(host), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "line"))
+    # keys first: made behind the explode, every line would hash its whole text
+    rows = (docs.select(*row_key(), *_place(host), F.split(F.col("text").cast("string"), "\n").alias("_all"))
+            .select(*ROW, F.posexplode("_all").alias("pos", "line"))
             .select(*ROW, "pos", line.alias("line")).where("line <> ''")
             .select(*ROW, "pos", F.xxhash64("line").alias("hash"), F.size(F.split("line", " ")).alias("words")))
     once = rows.groupBy(*ROW, "hash", "pos").agg(F.first("words").alias("words"))
