@@ -23,7 +23,7 @@ def _m(spark, root):
 
 
 def _listed(spark, root):
-    """Meetings with their summary, which the list filters search as well."""
+    """Whole meetings, with their summary, which the list filters search as well."""
     return B.with_summary(spark, root, _m(spark, root))
 
 
@@ -203,22 +203,22 @@ def agg28_filtered_total(spark, root):
     return FL.count_meetings(_listed(spark, root), search="the")
 
 
-@register("fil6_non_internal", sql("SELECT * FROM m WHERE call_type != 'Internal'"))
+@register("fil6_non_internal", B.with_bindings("SELECT * FROM b3_summaries WHERE call_type != 'Internal'", "b3_summaries"))
 def fil6_non_internal(spark, root):
     """FIL6: meetings that are not internal calls (NULL excluded)."""
-    return _m(spark, root).filter(F.col("call_type") != "Internal")
+    return _listed(spark, root).filter(F.col("call_type") != "Internal")
 
 
-@register("fil10_point_lookup", sql("SELECT * FROM m WHERE meeting_id = 42"))
+@register("fil10_point_lookup", B.with_bindings("SELECT * FROM b3_summaries WHERE meeting_id = 42", "b3_summaries"))
 def fil10_point_lookup(spark, root):
     """FIL10: one meeting by key."""
-    return FL.lookup(_m(spark, root), "meeting_id", 42)
+    return FL.lookup(_listed(spark, root), "meeting_id", 42)
 
 
-@register("fil11_date_drilldown", sql("SELECT * FROM m WHERE CAST(start_time AS DATE) = DATE '2024-01-01'"))
+@register("fil11_date_drilldown", B.with_bindings("SELECT * FROM b3_summaries WHERE CAST(start_time AS DATE) = DATE '2024-01-01'", "b3_summaries"))
 def fil11_date_drilldown(spark, root):
     """FIL11: meetings starting on a given day."""
-    return FL.on_date(_m(spark, root), "2024-01-01")
+    return FL.on_date(_listed(spark, root), "2024-01-01")
 
 
 # ------------------------------------------------------- enrichment

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from testpaths import SF_SMALL
@@ -14,6 +15,7 @@ from colloquy.operators import graph as G
 from colloquy.operators import selection
 from colloquy.operators.ordering import group_ordinals, top_k_per_group
 from colloquy.plans import detail as DT
+from colloquy.plans.registry import all_queries
 from colloquy.sources import bindings as B
 
 
@@ -264,3 +266,17 @@ def test_touching_edges_read_each_edge_once(spark):
     assert sorted(r.id for r in around.collect()) == sorted(ends & set(ids))
     plan = plan_text(touching)
     assert "Generate" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("name", ["fil6_non_internal", "fil10_point_lookup", "fil11_date_drilldown"])
+def test_listed_meetings_are_whole(spark, scratch, name):
+    """The list queries return the summary of each meeting as well."""
+    import datetime as dt
+
+    events = [(1, dt.datetime(2024, 1, 1, 9), 42, "view", "{}", 1.0), (2, dt.datetime(2024, 1, 1, 10), 44, "error", "{}", 2.0)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, props string, value double").write.parquet(f"{scratch}/events.parquet")
+    said = [(42, 0, "user", "first"), (42, 1, "assistant", "second"), (44, 0, "user", "alone")]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(f"{scratch}/conversations.parquet")
+    got = {r.meeting_id: (r.title, r.summary) for r in all_queries()[name].build(spark, scratch).collect()}
+    expected = {42: ("first", "second"), 44: ("alone", None)}
+    assert got == ({42: expected[42]} if name == "fil10_point_lookup" else expected)
