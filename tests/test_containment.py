@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from colloquy.operators import containment as K
 from colloquy.operators import enrich as E
 from colloquy.operators import retrieval as R
+from colloquy.plans.registry import all_queries
 
 
 def like(text, pattern):
@@ -73,3 +74,38 @@ def test_whole_words_of_a_large_dictionary(spark, texts):
     turns = spark.createDataFrame([(i, "s", t) for i, t in texts], "meeting_id long, speaker_name string, sentence string")
     got = {(r.meeting_id, r.entity_name) for r in E.dictionary_mentions(turns, dictionary).collect()}
     assert got == {(i, w) for i, t in texts for w in terms if t and re.search(rf"(?<!\w){re.escape(w.lower())}(?!\w)", t.lower())}
+
+
+def test_only_standing_anchors_leave_a_text(spark, texts):
+    anchors = ["okta", "bababa", "", "été", "x", "no tex", "0% a", "abc"]
+    df = spark.createDataFrame(texts, "id long, text string")
+    got = {r.id: sorted(r.a) for r in df.select("id", K._standing(anchors, [F.lower("text")]).alias("a")).collect()}
+    assert got == {i: sorted(a for a in anchors if a in (t or "").lower()) for i, t in texts}
+
+
+def test_words_meet_their_terms_in_a_join(spark, texts):
+    """No text is listed by its runs for terms that are words."""
+    dictionary = spark.createDataFrame([(f"Word{i}", f"w{i}", "T") for i in range(60)] + [("okta", "o", "T"), ("100%", "p", "T")],
+                                       "term string, entity_name string, entity_type string")
+    turns = spark.createDataFrame([(i, "s", t) for i, t in texts] + [(90, None, "word7 WORD8,word7")], "meeting_id long, speaker_name string, sentence string")
+    out = E.dictionary_mentions(turns, dictionary)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "_word" in plan
+    assert {tuple(r)[:3] for r in out.collect() if r.meeting_id == 90} == {(90, None, "w7"), (90, None, "w8")}
+    assert {r.meeting_id for r in out.collect() if r.entity_name == "p"} == {i for i, t in texts if t and "100%" in t.split()}
+
+
+def test_questions_of_every_hundredth_conversation(spark, scratch):
+    said = [(0, 0, "The end"), (1, 0, "The end"), (100, 0, "of it"), (100, 1, "not asked"), (200, 0, "a b c"), (300, 0, None)]
+    spark.createDataFrame(said, "conv_id long, turn long, text string").write.parquet(f"{scratch}/conversations.parquet")
+    docs = [(1, "s", "the start\nof it and of%it"), (2, "s", "a_b_c"), (3, "s", None)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{scratch}/documents.parquet")
+    got = {(r.qid, r.meeting_id): r.score for r in all_queries()["alg6_search_many"].build(spark, scratch).collect()}
+    assert got == {(0, 1): 11.0, (100, 1): 11.0, (200, 2): 11.0}
+
+
+def test_wildcards_take_time_linear_in_the_text(spark):
+    """Parts that stand often, with a last one that is not there."""
+    lines = spark.createDataFrame([(1, "ab" * 6000 + "!", "x")], "meeting_id long, sentence string, note string")
+    asked = spark.createDataFrame([(1, "a%b%a%b%a%b%z"), (2, "a%b%a%B_!"), (3, "%"), (4, "b%!%")] + [(q, f"none%{q}") for q in range(10, 60)], "qid long, question string")
+    assert sorted(r.qid for r in R._hits(lines, asked, "sentence").collect()) == [3, 4]
