@@ -12,7 +12,7 @@ from testpaths import SF_SMALL
 
 from colloquy.operators import analytics as A
 from colloquy.operators import graph as G
-from colloquy.operators import selection
+from colloquy.operators import selection, sinks
 from colloquy.operators.ordering import group_ordinals, top_k_per_group
 from colloquy.plans import detail as DT
 from colloquy.plans.registry import all_queries
@@ -280,3 +280,15 @@ def test_listed_meetings_are_whole(spark, scratch, name):
     got = {r.meeting_id: (r.title, r.summary) for r in all_queries()[name].build(spark, scratch).collect()}
     expected = {42: ("first", "second"), 44: ("alone", None)}
     assert got == ({42: expected[42]} if name == "fil10_point_lookup" else expected)
+
+
+def test_key_violations_dealt_by_key(spark):
+    """The tasks are as asked for, whatever AQE would join up; the rows are the same."""
+    rows = [(i % 700, str(i % 700)) for i in range(1000)] + [(None, "a"), (5000, None)]
+    df = spark.createDataFrame(rows, "a long, b string")
+    dealt = sinks.key_violations(df, ["a", "b"], tasks=13)
+    assert dealt.rdd.getNumPartitions() == 13
+    assert "hashpartitioning(a" in plan_text(dealt) and ", 13), REPARTITION_BY_NUM" in plan_text(dealt)
+    got = sorted(map(tuple, dealt.select(F.coalesce("a", F.lit(-1)), F.coalesce("b", F.lit("-")), "rows").collect()))
+    assert got == sorted([(i, str(i), 2) for i in range(300)] + [(-1, "a", 1), (5000, "-", 1)], key=lambda r: (r[0], r[1]))
+    assert dealt.count() == sinks.key_violations(df, ["a", "b"]).count()
