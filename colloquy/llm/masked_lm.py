@@ -8,8 +8,9 @@ the tree is deep instead of one per class. A word that shares its class with
 others also has its probability within the class, from its count over the
 whole corpus, with a share kept for words never counted.
 
-Training takes the window of every word of every text. The classes of the
-texts are written once, dealt evenly over trainers whose number follows the
+A text's words are looked up once and their classes written, which training
+and scoring read. Training takes the window of every word of every text. The
+classes of the texts are dealt evenly over trainers whose number follows the
 corpus; each trains a copy on its share and the copies are averaged, row by
 row, by Spark.
 """
@@ -19,8 +20,9 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import keep
 
@@ -37,6 +40,7 @@ UNKNOWN = 0.5  # count that each of these classes keeps for words never counted
 CLASSES = FREQUENT + OTHER + 1  # and one for the places outside a text
 OUTSIDE = CLASSES - 1
 DEPTH = (CLASSES - 1).bit_length()  # steps of the tree
+TOP = min(6, DEPTH)  # the first steps have few nodes: what they learn is one matrix product
 SIDE = 2  # words seen on either side
 WIDTH = 24
 ROUNDS = 2  # each learns its share of the words, together all of them
@@ -85,13 +89,18 @@ def _tree() -> tuple[np.ndarray, np.ndarray]:
 
 NODES, TURNS = _tree()
 N_NODES = (1 << DEPTH) - 1
+TOP_NODES = (1 << TOP) - 1
+# where the rows of a table lie, two numbers (as the parts of a complex one) at a time
+_PAIRS = np.arange(2 * SIDE * CLASSES * WIDTH // 2).reshape(-1, WIDTH // 2)
+_PLACES = (np.arange(2 * SIDE) * CLASSES)[:, None]
+_NEAR = [k + (k >= SIDE) for k in range(2 * SIDE)]  # places of a window around its target
 
 
 def _add_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """Add each of ``rows`` to the row of ``table`` at its place; on flat
     places, which numpy adds several times faster than whole rows."""
-    places = (at[:, None] * table.shape[1] + np.arange(table.shape[1])).ravel()
-    np.add.at(table.reshape(-1), places, rows.astype(table.dtype, copy=False).ravel())
+    pairs = np.ascontiguousarray(rows, table.dtype).reshape(-1).view(np.complex64)
+    np.add.at(table.reshape(-1).view(np.complex64), np.take(_PAIRS, at, axis=0).reshape(-1), pairs)
 
 
 @dataclass
@@ -114,27 +123,33 @@ class Network:
     def forward(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hidden layer, the steps' outputs (turned so that more is likelier)
         and the nodes' rows."""
-        h = np.repeat(self.hidden[None], len(window), axis=0)
-        for k in range(2 * SIDE):
-            h += np.take(self.near[k], window[:, k + (k >= SIDE)], axis=0)
+        h = np.take(self.near[0], window[:, _NEAR[0]], axis=0)
+        for k in range(1, 2 * SIDE):
+            h += np.take(self.near[k], window[:, _NEAR[k]], axis=0)
+        h += self.hidden
         np.tanh(h, out=h)
         target = window[:, SIDE]
-        nodes = NODES[target]
+        nodes = np.take(NODES, target, axis=0)
         rows = np.take(self.out, nodes, axis=0)
-        z = (np.matmul(rows, h[:, :, None])[:, :, 0] + self.bias[nodes]) * TURNS[target]
+        z = np.einsum("nlk,nk->nl", rows, h)
+        z += np.take(self.bias, nodes)
+        z *= np.take(TURNS, target, axis=0)
         return h, z, rows
 
     def learn(self, window: np.ndarray) -> None:
         h, z, rows = self.forward(window)
         target = window[:, SIDE]
-        d = TURNS[target] / (1 + np.exp(np.clip(z, -30, 30)))
-        step = RATE / len(target) ** 0.5
+        nodes = np.take(NODES, target, axis=0)
+        step = np.float32(RATE / len(target) ** 0.5)
+        d = step * np.take(TURNS, target, axis=0) / (1 + np.exp(np.clip(z, -30, 30)))
         back = np.einsum("nl,nlk->nk", d, rows) * (1 - h * h)
-        _add_rows(self.out, NODES[target].ravel(), (step * d[:, :, None] * h[:, None, :]).reshape(-1, WIDTH))
-        np.add.at(self.bias, NODES[target].ravel(), step * d.ravel())
-        self.hidden += step * back.sum(axis=0)
-        for k in range(2 * SIDE):
-            _add_rows(self.near[k], window[:, k + (k >= SIDE)], step * back)
+        top = np.zeros((len(target), TOP_NODES), np.float32)
+        top[np.arange(len(target))[:, None], nodes[:, :TOP]] = d[:, :TOP]
+        self.out[:TOP_NODES] += top.T @ h
+        _add_rows(self.out, nodes[:, TOP:], np.einsum("nl,nk->nlk", d[:, TOP:], h))
+        np.add.at(self.bias, nodes.reshape(-1), d.reshape(-1))
+        self.hidden += back.sum(axis=0)
+        _add_rows(self.near, window.T[_NEAR] + _PLACES, np.broadcast_to(back, (2 * SIDE, *back.shape)))
 
     def rows(self) -> np.ndarray:
         """All parameters as rows of WIDTH numbers."""
@@ -208,42 +223,84 @@ class WithinClass:
         return words.join(self.counts, "word", "left").select(key, self.log_p().alias("p")).groupBy(key).agg(F.sum("p").alias("within"))
 
 
-def training_windows(docs: DataFrame, sent: Broadcast) -> DataFrame:
-    """``stream``: the classes of all texts, BLOCK targets in a row (16-bit
-    numbers), written once to the shared folder and dealt evenly, so no
-    trainer gets a long text whole. Every word of every text is a target
+def _blocks(texts: Iterable[np.ndarray]) -> Iterator[bytes]:
+    """The texts' classes, BLOCK targets at a time."""
+    edge = np.full(SIDE, OUTSIDE)
+    held: list[np.ndarray] = []
+    size = 0
+    for classes in texts:
+        wide = np.concatenate([edge, classes, edge]).astype(np.uint16)
+        at, end = SIDE, len(wide) - SIDE
+        while at < end:
+            to = min(end, at + BLOCK - size)
+            piece = wide[at - SIDE:to + SIDE].copy()
+            piece[:SIDE] |= SEEN
+            piece[len(piece) - SIDE:] |= SEEN
+            held.append(piece)
+            size += to - at
+            at = to
+            if size == BLOCK:
+                yield np.concatenate(held).tobytes()
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held).tobytes()
+
+
+def _dealt(texts: DataFrame, classes_of: Callable[[list], Iterator[np.ndarray]]) -> DataFrame:
+    """``stream``: the classes of the texts of the one column, BLOCK targets in
+    a row (16-bit numbers), written once to the shared folder and dealt evenly,
+    so no trainer gets a long text whole. Every word of every text is a target
     once; words marked SEEN are only there to be seen by their neighbours."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes = _known(sent.value)
-        edge = np.full(SIDE, OUTSIDE)
-        held: list[np.ndarray] = []
-        size = 0
+        blocks = _blocks(chain.from_iterable(classes_of(batch.iloc[:, 0].tolist()) for batch in batches))
+        while some := list(islice(blocks, 64)):
+            yield pd.DataFrame({"stream": some})
 
-        for batch in batches:
-            rows = []
-            for text in batch["text"].tolist():
-                wide = np.concatenate([edge, classes.of(text), edge]).astype(np.uint16)
-                at, end = SIDE, len(wide) - SIDE
-                while at < end:
-                    to = min(end, at + BLOCK - size)
-                    piece = wide[at - SIDE:to + SIDE].copy()
-                    piece[:SIDE] |= SEEN
-                    piece[len(piece) - SIDE:] |= SEEN
-                    held.append(piece)
-                    size += to - at
-                    at = to
-                    if size == BLOCK:
-                        rows.append(np.concatenate(held).tobytes())
-                        held, size = [], 0
-            yield pd.DataFrame({"stream": rows})
-        if held:
-            yield pd.DataFrame({"stream": [np.concatenate(held).tobytes()]})
-
-    rows = keep(docs.select(F.col("text").cast("string").alias("text")).mapInPandas(cut, "stream binary"))
+    rows = keep(texts.mapInPandas(cut, "stream binary"))
     trainers = -(-rows.count() // TRAINER_BLOCKS) or 1
     return keep(rows.repartition(trainers, F.xxhash64("stream")))
 
 
+def training_windows(docs: DataFrame, sent: Broadcast) -> DataFrame:
+    """The training table of all texts of ``docs``, as ``_dealt`` makes it."""
+    return _dealt(docs.select(F.col("text").cast("string")), lambda texts: map(_known(sent.value).of, texts))
+
+
+def _coded_windows(coded: DataFrame) -> DataFrame:
+    """The same of texts whose classes are written."""
+    return _dealt(coded.select("classes"), lambda texts: (np.frombuffer(b, np.uint16) for b in texts))
+
+
+def coded(docs: DataFrame, frequent: list[str], known: dict[str, float]) -> DataFrame:
+    """``doc_id, n_words, p, others, classes, row``, written once, so that
+    texts are taken apart once to be learned and scored: the classes of the
+    words (16-bit numbers), the sum of log P(word | class) of the words at hand
+    and the other words."""
+    sent = docs.sparkSession.sparkContext.broadcast((frequent, known))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _at_hand(*sent.value)
+        for batch in batches:
+            n_words, sums, classes, others, ends = [], [], [], [], [0]
+            for text in batch.column("text").to_pylist():
+                words = words_of(text)
+                codes = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
+                n_words.append(len(words))
+                sums.append(float(np.take(table.p, codes).sum()))
+                classes.append(np.take(table.classes, codes).tobytes())
+                others += map(words.__getitem__, np.flatnonzero(codes >= len(table.known)).tolist())
+                ends.append(len(others))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(others, pa.string()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(sums, pa.float64()), lists, pa.array(classes, pa.binary())],
+                names=["doc_id", "n_words", "p", "others", "classes"])
+
+    fields = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("p", T.DoubleType()),
+                           T.StructField("others", T.ArrayType(T.StringType())), T.StructField("classes", T.BinaryType())])
+    return keep(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(encode, fields)
+                .withColumn("row", F.monotonically_increasing_id()))
+
+
 def targets(stream: bytes, turn: int, rounds: int) -> np.ndarray:
     """The windows of a row of the training table that are learned in a round:
     every ``rounds``-th target, so the rounds together take each once. They
@@ -254,12 +311,11 @@ def targets(stream: bytes, turn: int, rounds: int) -> np.ndarray:
     return wide[np.random.default_rng(turn).permutation(own)]
 
 
-def train(docs: DataFrame, frequent: list[str], rounds: int = ROUNDS) -> Network:
-    """The averaged network. Every word of every text is
+def train(table: DataFrame, rounds: int = ROUNDS) -> Network:
+    """The averaged network from a training table. Every word of every text is
     a target in one of the rounds; a trainer's copy weighs by the targets it saw. The driver receives one
     average per parameter row, whatever the corpus."""
-    spark = docs.sparkSession
-    table = training_windows(docs, spark.sparkContext.broadcast(frequent))
+    spark = table.sparkSession
     net = Network.start()
     fields = ", ".join(f"v{k} double" for k in range(WIDTH))
     for turn in range(rounds):
@@ -298,35 +354,55 @@ def score(docs: DataFrame, rounds: int = ROUNDS, corpus: DataFrame | None = None
     counts = word_counts(learned)
     frequent = vocabulary(counts)
     within = WithinClass(counts, frequent)
-    sent = docs.sparkSession.sparkContext.broadcast((frequent, train(learned, frequent, rounds), within.known))
-
-    @F.pandas_udf("struct<n_words: long, log_likelihood: double, others: array<string>>")
-    def scored(texts: pd.Series) -> pd.DataFrame:
-        vocab, net, known = sent.value
-        classes = _known(vocab)
-        rows = []
-        for text in texts.tolist():
-            words = words_of(text)
-            ids = np.array(list(map(classes.__getitem__, words)), dtype=np.int64)
-            p = np.array(list(map(known.get, words)), dtype=np.float64)  # not a number: not at hand
-            rows.append((len(words), net.log_likelihood(ids) + float(np.nansum(p)), [words[i] for i in np.flatnonzero(np.isnan(p)).tolist()]))
-        return pd.DataFrame(rows, columns=["n_words", "log_likelihood", "others"])
-
-    rows = keep(docs.select("doc_id", scored(F.col("text").cast("string")).alias("s"))
-                .select("doc_id", "s.*", F.monotonically_increasing_id().alias("row")))
-    others = within.summed(rows.select("row", F.explode("others").alias("word")), "row")
+    texts = coded(docs, frequent, within.known)
+    table = _coded_windows(texts) if corpus is None else training_windows(corpus, docs.sparkSession.sparkContext.broadcast(frequent))
+    sent = docs.sparkSession.sparkContext.broadcast(train(table, rounds))
+
+    @F.pandas_udf("double")
+    def scored(classes: pd.Series) -> pd.Series:
+        return pd.Series([sent.value.log_likelihood(np.frombuffer(b, np.uint16)) for b in classes.tolist()], dtype="float64")
+
+    rows = keep(texts.select("doc_id", "n_words", "row", (scored("classes") + F.col("p")).alias("log_likelihood")))
+    others = within.summed(texts.select("row", F.explode("others").alias("word")), "row")
     out = rows.join(others, "row", "left").select(
         "doc_id", "n_words", (F.col("log_likelihood") + F.coalesce("within", F.lit(0.0))).alias("log_likelihood"))
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 
-_KNOWN: dict[int, _Classes] = {}
+class _AtHand(dict):
+    """Places of words in ``classes`` and ``p`` (log P(word | class)): those
+    of ``known``, then one for every class of words that are not, whose p is
+    looked up elsewhere and 0 here."""
+
+    def __init__(self, frequent: list[str], known: dict[str, float]):
+        self.known = {w: i for i, w in enumerate(known)}
+        super().__init__(self.known)
+        self.classes = np.array([*map(_Classes(frequent).__getitem__, known), *range(FREQUENT, FREQUENT + OTHER)], np.uint16)
+        self.p = np.array([*known.values(), *[0.0] * OTHER])
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+            self.update(self.known)
+        self[word] = got = len(self.known) + zlib.crc32(word.encode("utf-8", "surrogatepass")) % OTHER
+        return got
+
+
+_TABLES: dict[tuple, dict] = {}
+
+
+def _kept(kind: type[dict], words: Iterable[str], *of) -> dict:
+    """A worker's table of the words, kept between batches and tasks."""
+    key = kind, zlib.crc32("\n".join(words).encode("utf-8", "surrogatepass"))
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = kind(*of)
+    return _TABLES[key]
 
 
 def _known(words: list[str]) -> _Classes:
-    """A worker's word classes, kept between batches."""
-    key = zlib.crc32("\n".join(words).encode("utf-8", "surrogatepass"))
-    if key not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[key] = _Classes(words)
-    return _KNOWN[key]
+    return _kept(_Classes, words, words)
+
+
+def _at_hand(frequent: list[str], known: dict[str, float]) -> _AtHand:
+    return _kept(_AtHand, known, frequent, known)

@@ -491,6 +491,54 @@ def test_masked_lm_learns_every_word_once(spark, make, rounds):
     assert got == want and sum(got.values()) == 11_467
 
 
+def test_masked_lm_looks_words_up_once(spark, make):
+    rng = random.Random(4)
+    texts = [prose(rng, n) for n in (1, 3, 60, 6000)] + [None, "", " \n", "Ünknown zzz W1 w1"] + [f"w{k} " * (k + 1) for k in range(40)]
+    frequent, known = VOCAB[:masked_lm.FREQUENT], {w: -k / 7 for k, w in enumerate(VOCAB[:600])}
+    known |= dict.fromkeys(frequent, 0.0)
+    rows = masked_lm.coded(make([*enumerate(texts), (None, texts[2])]), frequent, known)
+    classes = masked_lm._Classes(frequent)
+    got = rows.collect()
+    assert len(got) == len(texts) + 1 and len({r["row"] for r in got}) == len(got)
+    for r in got:
+        words = masked_lm.words_of(texts[2 if r["doc_id"] is None else r["doc_id"]])
+        assert r["n_words"] == len(words) and r["others"] == [w for w in words if w not in known]
+        assert masked_lm.np.frombuffer(r["classes"], "u2").tolist() == [classes[w] for w in words]
+        assert r["p"] == pytest.approx(sum(known.get(w, 0.0) for w in words), abs=1e-6)
+
+    def windows(table):
+        return Counter(tuple(w) for r in table.collect() for w in masked_lm.targets(r["stream"], 0, 1).tolist())
+
+    sent = spark.sparkContext.broadcast(frequent)
+    assert windows(masked_lm._coded_windows(rows)) == windows(masked_lm.training_windows(make([*enumerate(texts), (None, texts[2])]), sent))
+
+
+def test_masked_lm_step_is_the_plain_gradient():
+    np = masked_lm.np
+    rng = np.random.default_rng(2)
+    window = rng.integers(0, masked_lm.CLASSES, (300, 2 * masked_lm.SIDE + 1))
+    window[:100] = window[0]  # the same rows many times
+    net = masked_lm.Network.start(3)
+    near, out, bias, hidden = (x.astype(float) for x in (net.near, net.out, net.bias, net.hidden))
+    more = [np.zeros_like(x) for x in (near, out, bias, hidden)]
+    around = [(k, k + (k >= masked_lm.SIDE)) for k in range(2 * masked_lm.SIDE)]
+    step = masked_lm.RATE / len(window) ** 0.5
+    for w in window:
+        h = np.tanh(hidden + sum(near[k, w[at]] for k, at in around))
+        back = np.zeros_like(h)
+        for node, turn in zip(masked_lm.NODES[w[masked_lm.SIDE]], masked_lm.TURNS[w[masked_lm.SIDE]]):
+            d = step * turn / (1 + math.exp(turn * (out[node] @ h + bias[node])))
+            back += d * out[node] * (1 - h * h)
+            more[1][node] += d * h
+            more[2][node] += d
+        more[3] += back
+        for k, at in around:
+            more[0][k, w[at]] += back
+    net.learn(window)
+    for got, was, add in zip((net.near, net.out, net.bias, net.hidden), (near, out, bias, hidden), more):
+        assert np.allclose(got, was + add, atol=1e-5) and np.abs(add).max() > 1e-4
+
+
 def test_pii_surrogates_never_run_out(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     single = [f"{a.upper()}{b}{c}" for a in letters for b in letters for c in "aeiou"]
