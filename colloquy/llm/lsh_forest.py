@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, components, keep, only_needed, row_key
+from .common import NO_ID, components, emptied, keep, only_needed, row_key
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -92,14 +92,15 @@ def prefix_depth(threshold: float, target: float = RECALL) -> int:
 
 
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for uid, th, text in zip(batch["_uid"].tolist(), batch["_th"].tolist(), batch["text"].tolist()):
-            s = shingles(text)
-            h = int(np.int64(np.uint64(xxhash.xxh64_intdigest(s.tobytes())))) if len(s) else None
-            rows.append((uid, th, h, len(s), labels(s).tolist() if len(s) else []))
-        out = pd.DataFrame(rows, columns=["_uid", "_th", "h", "n", "labels"])
-        yield out.astype({"h": "Int64"})
+    with emptied(_WORDS):
+        for batch in batches:
+            rows = []
+            for uid, th, text in zip(batch["_uid"].tolist(), batch["_th"].tolist(), batch["text"].tolist()):
+                s = shingles(text)
+                h = int(np.int64(np.uint64(xxhash.xxh64_intdigest(s.tobytes())))) if len(s) else None
+                rows.append((uid, th, h, len(s), labels(s).tolist() if len(s) else []))
+            out = pd.DataFrame(rows, columns=["_uid", "_th", "h", "n", "labels"])
+            yield out.astype({"h": "Int64"})
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -129,7 +130,8 @@ def _verify(threshold: float):
         itself): for every class the copies it is similar to and the root of
         its group among these rows."""
         h = rows["h"].to_numpy()
-        sets = [shingles(t) for t in rows["text"].tolist()]
+        with emptied(_WORDS):
+            sets = [shingles(t) for t in rows["text"].tolist()]
         size = np.array([len(s) for s in sets], dtype=np.float32)
         shared = _overlaps(sets)
         near = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-4

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import emptied, keep
 
 MAX_LEN = 2048
 END_ID = 0
@@ -99,27 +99,50 @@ def _encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+class _Ranks:
+    """Numbers pieces within their length, in the order they come in a task."""
+
+    def __init__(self, max_len: int):
+        self.seen = np.zeros(max_len + 1, dtype=np.int64)
+
+    def of(self, lengths: pd.Series) -> pd.Series:
+        at = lengths.to_numpy(dtype=np.int64)
+        out = lengths.groupby(at).cumcount().astype("int64") + self.seen[at]
+        self.seen += np.bincount(at, minlength=len(self.seen))
+        return out
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN) -> DataFrame:
     """Pieces ``(doc_id, piece, start, length, ids_crc32)`` of each document's
     ids plus the end id. A NULL or empty text is the end id alone."""
+    return _ranked_pieces(docs, tokenizer_path, max_len).drop("_rank")
+
+
+def _ranked_pieces(docs: DataFrame, tokenizer_path: str, max_len: int) -> DataFrame:
+    """``token_pieces`` and ``_rank``, a piece's number within its task and
+    length. Numbered where the pieces are made: a function of its own would
+    keep a second Python worker, with its own word cache, for every core."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(tokenizer_path).text
+        encoder = _encoder(tokenizer_path)
+        ranks = _Ranks(max_len)
         end = struct.pack("<I", END_ID)
         step = 4 * max_len
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
-                ids = encode(text) + end
-                for piece, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at:at + step]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "object"})
+        with emptied(encoder, encoder.runs):
+            for batch in batches:
+                rows = []
+                for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
+                    ids = encoder.text(text) + end
+                    for piece, at in enumerate(range(0, len(ids), step)):
+                        part = ids[at:at + step]
+                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "object"})
+                out["_rank"] = ranks.of(out["length"])
+                yield out
 
     # ids travel as text: a NULL id would turn a batch of integers into floats
     slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = slim.mapInPandas(run, "doc_id string, piece int, start long, length long, ids_crc32 long")
+    out = slim.mapInPandas(run, "doc_id string, piece int, start long, length long, ids_crc32 long, _rank long")
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
@@ -262,19 +285,18 @@ def pack(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     """Add ``sequence_id, offset`` to pieces with a ``length`` of 1 to
     ``max_len``. An empty input gives no rows; repeated rows each get a place
     of their own; which of two equal rows gets which place is not fixed."""
-    spark = pieces.sparkSession
-
     def ranks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        seen = np.zeros(max_len + 1, dtype=np.int64)
-        for length in batches:
-            at = length.to_numpy()
-            yield length.groupby(at).cumcount().astype("int64") + seen[at]
-            seen += np.bincount(at, minlength=max_len + 1)
-
-    # numbered within task and length where the pieces are made; the written
-    # table fixes the numbers, whichever attempt of a task wrote them
+        yield from map(_Ranks(max_len).of, batches)
+
     rank = F.pandas_udf("long")(ranks).asNondeterministic()
-    placed = keep(pieces.withColumn("_task", F.spark_partition_id()).withColumn("_rank", rank(F.col("length").cast("long"))))
+    return _placed(pieces.withColumn("_rank", rank(F.col("length").cast("long"))), max_len)
+
+
+def _placed(ranked: DataFrame, max_len: int) -> DataFrame:
+    """``pack`` for pieces with their ``_rank`` within task and length."""
+    spark = ranked.sparkSession
+    # the written table fixes the numbers, whichever attempt of a task wrote them
+    placed = keep(ranked.withColumn("_task", F.spark_partition_id()))
     by_task = placed.groupBy("length", "_task").agg(F.count("*").alias("n"))
     # a row for each task and length
     before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
@@ -298,7 +320,7 @@ def pack(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
                              "offset": row[:, 4] + (k % row[:, 2]) * row[:, 0]})
 
     return (numbered.withColumn("_place", place(F.col("length").cast("long"), F.col("_ordinal")))
-            .select(*[F.col(c) for c in pieces.columns], "_place.sequence_id", "_place.offset"))
+            .select(*[F.col(c) for c in ranked.columns if c != "_rank"], "_place.sequence_id", "_place.offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN) -> DataFrame:
@@ -306,4 +328,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN)
     finds; one row per piece: ``doc_id, piece, start, length, ids_crc32,
     sequence_id, offset``. Only documents of more than ``max_len`` ids are
     cut. Other columns of the input are not carried."""
-    return pack(token_pieces(docs, tokenizer_path, max_len), max_len)
+    return _placed(_ranked_pieces(docs, tokenizer_path, max_len), max_len)

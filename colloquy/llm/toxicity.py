@@ -18,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import emptied, keep
 
 BINS = 1 << 18
 STEMS = (4, 6)  # a word also counts under its first letters
@@ -243,12 +244,13 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) ->
     model = ToxicityModel(log_odds(*counts))
     held = sample.where(part == 0).select("text", "toxic")
 
-    def told(of) -> pd.DataFrame:
+    def told(sent: Broadcast, of) -> pd.DataFrame:
         """One row of figures for each calibration document."""
         def figures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                rows = [(toxic, *of(text)) for text, toxic in zip(batch["text"].tolist(), batch["toxic"].tolist())]
-                yield pd.DataFrame(rows, columns=["toxic", "n", "x"])
+            with emptied(sent.value.words):
+                for batch in batches:
+                    rows = [(toxic, *of(text)) for text, toxic in zip(batch["text"].tolist(), batch["toxic"].tolist())]
+                    yield pd.DataFrame(rows, columns=["toxic", "n", "x"])
 
         return held.mapInPandas(figures, "toxic int, n long, x double").toPandas()
 
@@ -258,14 +260,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) ->
         n, found = sent.value.segments(text)
         return n, max((score for _, _, score in found), default=0.0)
 
-    runs = told(best_run)
+    runs = told(sent, best_run)
     if runs["toxic"].nunique() < 2:
         return model
     clean = runs[runs["toxic"] == 0]
     model.scale, model.size = fit_extremes(clean["x"].to_numpy(), clean["n"].to_numpy(dtype=float))
     fitted = docs.sparkSession.sparkContext.broadcast(model)
     # the very evidence that documents are scored by
-    evidence = told(lambda text: (0, fitted.value.judge(text)[0]))
+    evidence = told(fitted, lambda text: (0, fitted.value.judge(text)[0]))
     model.intercept, model.slope = fit_logistic(evidence["x"].to_numpy(), evidence["toxic"].to_numpy(dtype=float))
     return model
 
@@ -277,12 +279,14 @@ def judged(docs: DataFrame, model: ToxicityModel, text: str = "text") -> Column:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, first array<int>, end array<int>, e_value array<double>")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts.tolist():
-            evidence, passages = sent.value.judge(t)
-            rows.append((sent.value.probability(evidence), *([p[k] for p in passages] for k in range(3))))
-        return pd.DataFrame(rows, columns=["score", "first", "end", "e_value"])
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        with emptied(sent.value.words):
+            for texts in batches:
+                rows = []
+                for t in texts.tolist():
+                    evidence, passages = sent.value.judge(t)
+                    rows.append((sent.value.probability(evidence), *([p[k] for p in passages] for k in range(3))))
+                yield pd.DataFrame(rows, columns=["score", "first", "end", "e_value"])
 
     return judge(docs[text].cast("string"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 
@@ -11,7 +12,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from colloquy.llm import chat, packing, queries
+from colloquy.llm import chat, lsh_forest, packing, queries, toxicity
+from colloquy.llm.common import keep
 
 SMALL = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path(queries.TOKENIZER)
@@ -42,6 +44,23 @@ def test_packing_is_gapless_and_tight(spark, make):
     assert packing.pack_documents(make([]), PATH).count() == 0
 
 
+def test_pieces_are_numbered_by_the_one_python_function(make, monkeypatch):
+    kept, plans = [], []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().toString())
+        kept.append(keep(df))
+        return kept[-1]
+
+    monkeypatch.setattr(packing, "keep", noted)
+    packing.pack_documents(make(ODD + [(k, "word " * (k % 4)) for k in range(20, 90)]).repartition(3), PATH)
+    assert len(re.findall(r"MapInPandas|ArrowEvalPython", plans[0].split("== Physical Plan ==")[1])) == 1
+    numbers = defaultdict(list)
+    for r in kept[0].collect():
+        numbers[r["_task"], r["length"]].append(r["_rank"])
+    assert all(sorted(x) == list(range(len(x))) for x in numbers.values()) and max(map(len, numbers.values())) > 3
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_uses_every_piece_once(seed):
     rng = np.random.default_rng(seed)
@@ -239,3 +258,25 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
 
     write_tables(spark, str(tmp_path), [], [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_workers_keep_no_words_behind_a_task(make):
+    """Workers outlive their tasks: what they cache would lie beside the memory of the stages that follow."""
+    docs = make([(k, f"one two{k} three{k} four{k} five six" * 3) for k in range(40)])
+    toxic = toxicity.ToxicityModel(np.zeros(toxicity.BINS))
+
+    def left(batches):
+        for batch in batches:  # in a worker that runs the operators' functions first
+            list(lsh_forest._signatures(iter([batch.assign(_uid=batch["doc_id"], _th=0)])))
+            yield batch.assign(left=len(lsh_forest._WORDS))[["left"]]
+
+    assert {r["left"] for r in docs.select("doc_id", "text").mapInPandas(left, "left long").collect()} == {0}
+    packing.token_pieces(docs, PATH).collect()
+    docs.select(toxicity.judged(docs, toxic)).collect()
+
+    def found(batches):
+        for batch in batches:
+            encoder = packing._ENCODERS.get(PATH)
+            yield batch.assign(left=0 if encoder is None else len(encoder) + len(encoder.runs))[["left"]]
+
+    assert {r["left"] for r in docs.repartition(8).select("doc_id").mapInPandas(found, "left long").collect()} == {0}
