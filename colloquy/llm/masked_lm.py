@@ -40,7 +40,6 @@ UNKNOWN = 0.5  # count that each of these classes keeps for words never counted
 CLASSES = FREQUENT + OTHER + 1  # and one for the places outside a text
 OUTSIDE = CLASSES - 1
 DEPTH = (CLASSES - 1).bit_length()  # steps of the tree
-TOP = min(6, DEPTH)  # the first steps have few nodes: what they learn is one matrix product
 SIDE = 2  # words seen on either side
 WIDTH = 24
 ROUNDS = 2  # each learns its share of the words, together all of them
@@ -89,7 +88,6 @@ def _tree() -> tuple[np.ndarray, np.ndarray]:
 
 NODES, TURNS = _tree()
 N_NODES = (1 << DEPTH) - 1
-TOP_NODES = (1 << TOP) - 1
 # where the rows of a table lie, two numbers (as the parts of a complex one) at a time
 _PAIRS = np.arange(2 * SIDE * CLASSES * WIDTH // 2).reshape(-1, WIDTH // 2)
 _PLACES = (np.arange(2 * SIDE) * CLASSES)[:, None]
@@ -124,14 +122,14 @@ class Network:
         """Hidden layer, the steps' outputs (turned so that more is likelier)
         and the nodes' rows."""
         h = np.take(self.near[0], window[:, _NEAR[0]], axis=0)
+        h += self.hidden
         for k in range(1, 2 * SIDE):
             h += np.take(self.near[k], window[:, _NEAR[k]], axis=0)
-        h += self.hidden
         np.tanh(h, out=h)
         target = window[:, SIDE]
         nodes = np.take(NODES, target, axis=0)
         rows = np.take(self.out, nodes, axis=0)
-        z = np.einsum("nlk,nk->nl", rows, h)
+        z = np.matmul(rows, h[:, :, None])[:, :, 0]
         z += np.take(self.bias, nodes)
         z *= np.take(TURNS, target, axis=0)
         return h, z, rows
@@ -140,15 +138,14 @@ class Network:
         h, z, rows = self.forward(window)
         target = window[:, SIDE]
         nodes = np.take(NODES, target, axis=0)
-        step = np.float32(RATE / len(target) ** 0.5)
-        d = step * np.take(TURNS, target, axis=0) / (1 + np.exp(np.clip(z, -30, 30)))
+        d = np.take(TURNS, target, axis=0) / (1 + np.exp(np.clip(z, -30, 30)))
+        step = RATE / len(target) ** 0.5
         back = np.einsum("nl,nlk->nk", d, rows) * (1 - h * h)
-        top = np.zeros((len(target), TOP_NODES), np.float32)
-        top[np.arange(len(target))[:, None], nodes[:, :TOP]] = d[:, :TOP]
-        self.out[:TOP_NODES] += top.T @ h
-        _add_rows(self.out, nodes[:, TOP:], np.einsum("nl,nk->nlk", d[:, TOP:], h))
+        d *= step
+        _add_rows(self.out, nodes, np.einsum("nl,nk->nlk", d, h))
         np.add.at(self.bias, nodes.reshape(-1), d.reshape(-1))
-        self.hidden += back.sum(axis=0)
+        self.hidden += step * back.sum(axis=0)
+        back *= step
         _add_rows(self.near, window.T[_NEAR] + _PLACES, np.broadcast_to(back, (2 * SIDE, *back.shape)))
 
     def rows(self) -> np.ndarray:
