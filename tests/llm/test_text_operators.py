@@ -88,6 +88,24 @@ def test_line_dedup_of_nothing(make):
     assert line_dedup.dedup_lines(make([(1, None), (2, "")])).count() == 2
 
 
+def test_line_dedup_of_long_lines(make):
+    """Long lines that share rare words only are no candidates; variants of a
+    long line are found, documents that share an id among them."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.sample(VOCAB, 100))) for i in range(200)]
+    docs = make(rows)
+    classes = line_dedup.line_classes(line_dedup.line_rows(docs, line_dedup.rarity(docs)))
+    assert line_dedup._candidates(classes.withColumn("settled", F.lit(False)), 0.8).count() == 0
+    base = rows[0][1].split()
+    near = [(500 + i // 3, " ".join([*base[: 99 - 2 * i], *VOCAB[30 * i : 31 * i + 1]])) for i in range(0, 24)]
+    own = {(i, t): h for i, t, h in make(rows + near).select("doc_id", "text", F.xxhash64("text")).collect()}
+    ordered = sorted(rows + near, key=lambda r: (r[0], own[r]))
+    sets = [set(t.split()) for _, t in ordered]
+    want = {r for k, r in enumerate(ordered) if not any(len(sets[k] & o) >= 0.8 * len(sets[k] | o) - 1e-9 for o in sets[:k])}
+    got = {(r["doc_id"], r["text"]) for r in line_dedup.without_repeated_lines(make(rows + near)).collect()}
+    assert got == want and 200 < len(got) < 224
+
+
 def jaccard_brute(rows, t=0.8):
     sets = []
     for i, text, *_ in rows:
