@@ -97,3 +97,20 @@ def test_products_beyond_64_bits(spark, monkeypatch):
         spark.createDataFrame([("en", "x", 2 * big + 1), ("en", "y", 3 * big), ("en", "x y", big)], "lang string, phrase string, f long")))
     (row,) = phrase_mining.collocations(None).collect()
     assert row.score == 1000 * big * 10 * big // ((2 * big + 1) * 3 * big)
+
+
+def test_candidates_do_not_grow_with_the_shards(spark):
+    """More shards than the support: no phrase is a candidate for standing in one of them."""
+    rng = random.Random(8)
+    rows = [(" ".join(f"w{rng.randrange(300)}" for _ in range(400)) + ". of the end. " * 2, "en") for _ in range(40)]
+    chunks = phrase_mining.encoded_words(frame(spark, rows, 40))
+    n = sum(r.n for r in chunks.select("n").collect())
+    union = phrase_mining.candidates(chunks, n, 30, shard_words=100)
+    f = Counter()
+    for text, _ in rows:
+        for piece in text.split("."):
+            w = piece.split()
+            f.update(tuple(w[i:i + k]) for k in range(1, 6) for i in range(len(w) - k + 1))
+    frequent = sum(c >= 30 for c in f.values())
+    assert len(rows) > 30 and sum(c < 30 for c in f.values()) > 40_000
+    assert frequent - 2 <= np.unpackbits(union).sum() <= frequent + 2
