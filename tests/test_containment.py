@@ -88,13 +88,15 @@ def test_words_meet_their_terms_in_a_join(spark, texts):
     assert {r.meeting_id for r in out.collect() if r.entity_name == "p"} == {i for i, t in texts if t and "100%" in t.split()}
 
 
-def test_questions_of_every_hundredth_conversation(spark, scratch):
-    said = [(0, 0, "The end"), (1, 0, "The end"), (100, 0, "of it"), (100, 1, "not asked"), (200, 0, "a b c"), (300, 0, None)]
+def test_questions_of_every_conversation(spark, scratch):
+    said = [(0, 0, "The end"), (1, 0, "The of"), (2, 0, "a b c d"), (3, 0, "of it and more"), (7, 0, "It and of%it no"),
+            (100, 0, "of it"), (100, 1, "not asked"), (200, 0, "a b c"), (300, 0, None)]
     spark.createDataFrame(said, "conv_id long, turn long, text string").write.parquet(f"{scratch}/conversations.parquet")
-    docs = [(1, "s", "the start\nof it and of%it"), (2, "s", "a_b_c"), (3, "s", None)]
+    docs = [(1, "s", "the start\nof it and of%it"), (2, "s", "a_b_c"), (3, "s", None), (4, "s", "of\\it\\and\\more")]
     spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{scratch}/documents.parquet")
     got = {(r.qid, r.meeting_id): r.score for r in all_queries()["alg6_search_many"].build(spark, scratch).collect()}
-    assert got == {(0, 1): 11.0, (100, 1): 11.0, (200, 2): 11.0}
+    assert got == {(0, 1): 11.0, (1, 1): 10.0, (2, 2): 11.0, (3, 4): 11.0, (100, 1): 11.0, (100, 4): 11.0,
+                   (200, 1): 12.0, (200, 2): 11.0, (200, 4): 11.0}
 
 
 def test_wildcards_take_time_linear_in_the_text(spark):
