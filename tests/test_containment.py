@@ -104,3 +104,16 @@ def test_wildcards_take_time_linear_in_the_text(spark):
     lines = spark.createDataFrame([(1, "ab" * 6000 + "!", "x")], "meeting_id long, sentence string, note string")
     asked = spark.createDataFrame([(1, "a%b%a%b%a%b%z"), (2, "a%b%a%B_!"), (3, "%"), (4, "b%!%")] + [(q, f"none%{q}") for q in range(10, 60)], "qid long, question string")
     assert sorted(r.qid for r in R._hits(lines, asked, "sentence").collect()) == [3, 4]
+
+
+def test_a_text_is_gone_through_once_for_anchors_of_all_lengths(spark, texts):
+    rng = random.Random(5)
+    terms = ["", "é", "\x00", "a\x00"] + ["".join(rng.choice("abxy \n") for _ in range(1 + n % 7)) for n in range(60)]
+    df = spark.createDataFrame(texts + [(83, "a\x00b"), (84, "bxy")], "id long, text string")
+    asked = spark.createDataFrame([(k, t) for k, t in enumerate(terms)], "k int, term string")
+    out = K.containing(df.withColumn("low", F.lower("text")), ["low"], asked, "term", lambda c: F.col(c).contains(F.col("term")))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    got = [(r.id, r.k) for r in out.select("id", "k").collect()]
+    rows = {i: t.lower() for i, t in [*texts, (83, "a\x00b"), (84, "bxy")] if t is not None}
+    assert len(got) == len(set(got))
+    assert {g for g in got if g[0] != 80} == {(i, k) for i, t in rows.items() for k, w in enumerate(terms) if w in t}
